@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +40,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spindrift-checkpoint-"))
     return df.checkpoint()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's source to the executors, once for an application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="spindrift-code-")) / "spindrift-code.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for p in sorted(root.rglob("*.py")):
+            out.write(p, str(p.relative_to(root.parent)))
+    sc.addPyFile(str(path))  # Spark's own file server hands it on
+    _shipped.add(sc.applicationId)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """mapInArrow whose functions may come from modules of this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
