@@ -6,6 +6,7 @@ import tempfile
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,3 +64,14 @@ def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """mapInArrow whose functions may come from modules of this package."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def rewritten(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared checkpoint folder and read again."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spindrift-checkpoint-"))
+    path = f"{sc.getCheckpointDir()}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
