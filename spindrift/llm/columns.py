@@ -43,5 +43,5 @@ def map_texts(df: DataFrame, keys: list[str], text: str, of: Callable, schema: s
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), *out], names=names)
 
     ddl = ", ".join([*(field(df, k) for k in keys), schema])
-    names = [*keys, *(x.split()[0] for x in schema.split(", "))]
+    names = [*keys, *(x.split()[0] for x in schema.split(", "))]  # no blank after a comma within a type
     return map_arrow(df.select(*keys, text), run, ddl)

@@ -107,6 +107,19 @@ def offsets(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def shards_of(items: DataFrame, item_id: str, item_text: str, limit: int) -> list[list[tuple[str, bytes]]]:
+    """The items with id and text, in lists of about `limit` bytes; one empty list for none."""
+    listed = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null")
+    shards, size = [[]], 0
+    for row in listed.orderBy("i", "t").toLocalIterator():
+        if size and size + len(row.t) > limit:
+            shards.append([])
+            size = 0
+        shards[-1].append((row.i, row.t.encode()))
+        size += len(row.t)
+    return shards
+
+
 def find(df: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, limit: int = LIMIT) -> DataFrame:
     """One row per row of df: id, n_words, n_hit, items (sorted array), spans (array of code-point ranges).
 
@@ -116,15 +129,8 @@ def find(df: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text"
     """
     schema = f"{field(df, id)}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start: bigint, end: bigint>>, `{text}` string, _ranges array<bigint>"
     names = [id, "n_words", "n_hit", "items", "spans", text, "_ranges"]
-    listed = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null")
-    shards, size = [[]], 0
-    for row in listed.orderBy("i", "t").toLocalIterator():  # one shard at a time stays here
-        if size and size + len(row.t) > limit:
-            shards.append([])
-            size = 0
-        shards[-1].append((row.i, row.t.encode()))
-        size += len(row.t)
     out = df.select(id, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("array<struct<start: bigint, end: bigint>>").alias("spans"), F.col(text), F.lit(None).cast("array<bigint>").alias("_ranges"))
+    shards = shards_of(items, item_id, item_text, limit)
     for k, shard in enumerate(shards):
         sent = df.sparkSession.sparkContext.broadcast(shard)
         last = k == len(shards) - 1
@@ -156,10 +162,17 @@ def contaminated_fraction(found: DataFrame):
     return F.when(found["n_words"] > 0, found["n_hit"] / found["n_words"]).otherwise(F.lit(0.0))
 
 
-def clean(df: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of df that hold no window of any item, with all their columns.
+def clean(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, limit: int = LIMIT) -> DataFrame:
+    """The rows of df that hold no window of any item, with all their columns; a narrow filter, no shuffle."""
+    at = df.columns.index(text)
+    for shard in shards_of(items, item_id, item_text, limit):
+        sent = df.sparkSession.sparkContext.broadcast(shard)
 
-    Ids that occur on several rows are judged together: one contaminated row takes all.
-    """
-    hit = find(df, items, id, text, **options).where("n_hit > 0").select(F.col(id).alias("_hit")).distinct()
-    return df.join(hit, F.col(id).eqNullSafe(F.col("_hit")), "left_anti")
+        def run(batches, sent=sent, key=uuid4().hex):
+            vocabulary, tree = automaton(key, sent.value, width)
+            for batch in batches:
+                keep = [not scan(t or b"", vocabulary, tree, width)[1] for t in texts(batch.column(at))]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        df = map_arrow(df, run, ", ".join(field(df, c) for c in df.columns))
+    return df

@@ -3,9 +3,11 @@
 Rows with the same digest meet in three steps: Spark's partial aggregation joins those of one
 task, salted groups join those of one (digest, salt), and the winners of the salts are joined
 at last. A third of all rows in one group so reaches the last step as SALTS rows. Digests only
-propose: the two steps that follow compare the whole contents, and a digest that stands for
-several contents is resolved by content. Contents of which there is but one digest row have
-nothing to be compared with, so they never leave their task.
+propose: the same three steps then run over the whole contents, compared as grouping keys, and a
+digest that stands for several contents is resolved by content.
+
+A content whose digest occurs once has nothing to be compared with; sieve keeps those from being
+shuffled.
 """
 
 from __future__ import annotations
@@ -15,7 +17,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm import sieve
 from spindrift.llm.columns import ascii_lower
+from spindrift.runtime import cut_lineage
 
 SALTS = 32
 
@@ -34,46 +38,53 @@ def classes(df: DataFrame, id: str = "doc_id", text: str = "text", digest: Calla
     """
     content = ascii_lower(F.coalesce(F.col(text), F.lit("")))
     base = df.select(F.col(id).alias("_id"), content.alias("_content"))
-    base = base.withColumn("_digest", digest(F.col("_content"))).withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
+    base = base.withColumn("_digest", F.unhex(digest(F.col("_content")))).withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
 
-    salted = base.groupBy("_digest", "_salt").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_top"))
+    rows = cut_lineage(base.select("_id", "_digest", "_salt"))
+    salted = rows.groupBy("_digest", "_salt").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_top"))
     groups = salted.groupBy("_digest").agg(F.sum("_n").alias("_n"), F.max("_top").alias("_top"))
     single = groups.where("_n = 1").select("_digest", F.col("_top").alias("_keep"), F.col("_n").alias("_size"))
     several = groups.where("_n > 1").select("_digest")
 
     # the contents of the proposed groups, whole, compared as grouping keys
-    proposed = base.join(several, "_digest", "left_semi")
+    proposed = sieve.among(base, several, "_digest")
     by_salt = proposed.groupBy("_digest", "_salt", "_content").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_top"))
     whole = by_salt.groupBy("_digest", "_content").agg(F.sum("_n").alias("_size"), F.max("_top").alias("_keep"))
-    counted = whole.groupBy("_digest").agg(
-        F.count(F.lit(1)).alias("_contents"), F.first("_keep").alias("_keep"), F.first("_size").alias("_size")
+    counted = cut_lineage(
+        whole.groupBy("_digest").agg(F.count(F.lit(1)).alias("_contents"), F.first("_keep").alias("_keep"), F.first("_size").alias("_size"))
     )
-    agreed = counted.where("_contents = 1").select("_digest", "_keep", "_size")
-    clash = counted.where("_contents > 1").select("_digest")
-    settled = single.unionByName(agreed)
+    settled = single.unionByName(counted.where("_contents = 1").select("_digest", "_keep", "_size"))
 
     # the winner goes to each salt of its digest, so that no join key holds more than a salt's rows
     targets = salted.select("_digest", "_salt").join(settled, "_digest")
-    rows = base.select("_id", "_digest", "_salt")
-    plain = rows.join(targets, ["_digest", "_salt"])
-    clashing = base.join(clash, "_digest", "left_semi")
-    apart = clashing.join(whole.join(clash, "_digest", "left_semi"), ["_digest", "_content"])
-    out = plain.select("_id", "_keep", "_size", "_digest").unionByName(apart.select("_id", "_keep", "_size", "_digest"))
+    out = rows.join(targets, ["_digest", "_salt"]).select("_id", "_keep", "_size", "_digest")
+    clash = counted.where("_contents > 1").select("_digest")
+    if not clash.isEmpty():
+        clashing = proposed.join(clash, "_digest", "left_semi")
+        apart = clashing.join(whole.join(clash, "_digest", "left_semi"), ["_digest", "_content"])
+        out = out.unionByName(apart.select("_id", "_keep", "_size", "_digest"))
     return out.select(
         F.col("_id").alias(id),
         F.col("_keep").alias("keep_id"),
         F.col("_size").cast("long").alias("group_size"),
         F.col("_id").eqNullSafe(F.col("_keep")).alias("kept"),
-        F.col("_digest").alias("digest"),
+        F.lower(F.hex("_digest")).alias("digest"),
     )
 
 
 def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df that stay, with all their columns; of rows that repeat id and content one stays."""
-    lost = classes(df, id, text).where(~F.col("kept")).select(F.col(id).alias("_lost")).distinct()
-    kept = df.join(lost, F.col(id) == F.col("_lost"), "left_anti")
-    # only rows that bear a repeated id can still repeat
-    again = df.groupBy(id).count().where("count > 1").select(F.col(id).alias("_again"))
-    once = kept.join(again, F.col(id).eqNullSafe(F.col("_again")), "left_anti")
-    more = kept.join(again, F.col(id).eqNullSafe(F.col("_again")), "left_semi")
-    return once.unionByName(more.withColumn("_c", ascii_lower(F.coalesce(F.col(text), F.lit("")))).dropDuplicates([id, "_c"]).drop("_c"))
+    """The rows of df that stay, with all their columns.
+
+    Of rows that repeat an id and content one stays. A row without id stays once for each content,
+    for no other row can be told to stand for it.
+    """
+    lost = cut_lineage(classes(df, id, text).where(~F.col("kept")).select(id).where(F.col(id).isNotNull()).distinct())
+    kept = sieve.without(df, lost, id)
+    again = df.groupBy(id).count().where("count > 1").select(id)
+    if again.isEmpty():  # so a null id is on one row at most
+        return kept
+    content = ascii_lower(F.coalesce(F.col(text), F.lit("")))
+    nameless = kept.where(F.col(id).isNull()).withColumn("_content", content)
+    named_again = sieve.among(kept, again.where(F.col(id).isNotNull()), id).withColumn("_content", content)
+    more = nameless.unionByName(named_again).dropDuplicates([id, "_content"]).drop("_content")
+    return sieve.without(kept.where(F.col(id).isNotNull()), again.where(F.col(id).isNotNull()), id).unionByName(more)

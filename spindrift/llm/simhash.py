@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm import sieve
 from spindrift.llm.columns import map_texts
 from spindrift.llm.graph import components
 from spindrift.runtime import cut_lineage, map_arrow
@@ -185,12 +186,13 @@ def link(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = WID
 def representatives(df: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of df whose id names their component: one document of each group, with all columns.
 
-    Of rows that repeat that id one stays (the least by text); a row without id stays always.
+    Of rows that repeat that id one stays; a row without id stays always.
     """
-    linked = link(df.where(F.col(id).isNotNull()), id, text, **options)
-    lost = linked.groupBy(id).agg(F.min("component_id").alias("c")).where(F.col("c") < F.col(id)).select(F.col(id).alias("_lost"))
-    kept = df.join(lost, F.col(id) == F.col("_lost"), "left_anti")
-    again = df.where(F.col(id).isNotNull()).groupBy(id).count().where("count > 1").select(F.col(id).alias("_again"))
-    once = kept.join(again, F.col(id) == F.col("_again"), "left_anti")
-    more = kept.join(again, F.col(id) == F.col("_again"), "left_semi")
-    return once.unionByName(more.dropDuplicates([id]))
+    named = df.where(F.col(id).isNotNull())
+    linked = link(named, id, text, **options)
+    lost = cut_lineage(linked.groupBy(id).agg(F.min("component_id").alias("c")).where(F.col("c") < F.col(id)).select(id))
+    kept = sieve.without(df, lost, id)
+    again = cut_lineage(named.groupBy(id).count().where("count > 1").select(id))
+    if again.isEmpty():
+        return kept
+    return sieve.without(kept, again, id).unionByName(sieve.among(kept, again, id).dropDuplicates([id]))

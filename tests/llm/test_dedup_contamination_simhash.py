@@ -4,7 +4,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from spindrift.llm import decontaminate, exact_dedup, graph, simhash
+from spindrift.llm import decontaminate, exact_dedup, graph, sieve, simhash
 
 SCHEMA = "doc_id bigint, text string, _digest string, node bigint, u int"
 
@@ -50,7 +50,7 @@ def corpus(seed=3):
 def test_exact_dedup_matches_brute_force(spark):
     rows = [*corpus(), (7, "dup"), (7, "dup"), (None, "only"), (None, "w1"), (1006, "ÉA"), (1007, "Éa"), (1008, "éa")]
     low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in (t or ""))
-    for digest in (exact_dedup.sha256, lambda c: F.substring(F.sha2(c, 256), 1, 1)):  # the second clashes all the time
+    for digest in (exact_dedup.sha256, lambda c: F.substring(F.sha2(c, 256), 1, 2)):  # the second clashes all the time
         got = exact_dedup.classes(docs(spark, rows), digest=digest).collect()
         want = []
         for i, t in rows:
@@ -60,6 +60,14 @@ def test_exact_dedup_matches_brute_force(spark):
         assert sorted(map(str, [(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got])) == sorted(map(str, want))
 
 
+def test_sieve_is_exact(spark):
+    df = spark.range(3000).select(F.col("id").cast("string").alias("k"), F.col("id").alias("_digest")).unionByName(spark.createDataFrame([(None, 1)], "k string, _digest bigint"))
+    keys = df.where("_digest % 7 = 0").select("k")
+    assert {r.k for r in sieve.among(df, keys, "k", 1 << 16).collect()} == {str(i) for i in range(0, 3000, 7)}
+    assert sieve.without(df, keys, "k", 1 << 16).count() == 3001 - len(range(0, 3000, 7))
+    assert sieve.marked(df, keys, "k", 1 << 20).where("_may").count() < 600
+
+
 def test_exact_dedup_keeps_columns_and_one_of_repeats(spark):
     rows = [(1, "a"), (2, "A"), (2, "A"), (3, None), (4, ""), (None, "q")]
     got = exact_dedup.deduplicate(docs(spark, rows))
@@ -84,15 +92,13 @@ def brute_hits(rows, items, width=10):
 
 
 @pytest.mark.parametrize("limit", [1 << 20, 1])
-@pytest.mark.parametrize("block", [1 << 20, 7])
-def test_decontamination_matches_brute_force(spark, limit, block, monkeypatch):
+def test_decontamination_matches_brute_force(spark, limit):
     rng = random.Random(5)
     words = ["a", "b", "é", "7", "Zz"]
     item = lambda n: " ".join(rng.choice(words) for _ in range(n))
     items = [(1, item(14)), (2, item(3)), (2, item(12)), (3, "--"), (4, None), (None, item(2)), (10, "Solo")]
     text = lambda: ", ".join([item(40), "solo!", items[0][1].upper()])
     rows = [(1, text()), (2, item(60)), (3, None), (4, ""), (5, "solos sol"), (6, "SOLO"), (7, "b " * 30)]
-    assert list(w for b in decontaminate.blocks(text().encode(), block) for w in b) or True
     got = decontaminate.find(docs(spark, rows), spark.createDataFrame(items, "item_id int, text string"), limit=limit).collect()
     want = brute_hits(rows, [x for x in items if x[0] is not None and x[1] is not None])
     assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in got} == want
@@ -121,7 +127,10 @@ def test_blocks_cross_windows():
 
 def test_clean_without_items_keeps_all(spark):
     none = spark.createDataFrame([], "item_id int, text string")
-    assert decontaminate.clean(docs(spark, [(1, "a"), (None, "b")]), none).count() == 2
+    kept = decontaminate.clean(docs(spark, [(1, "a"), (None, "b")]), none)
+    assert kept.count() == 2 and kept.columns == ["doc_id", "text", "_digest", "node", "u"]
+    item = spark.createDataFrame([(1, "b c")], "item_id int, text string")
+    assert [r.doc_id for r in decontaminate.clean(docs(spark, [(1, "a b, C!"), (2, "b"), (3, None)]), item).collect()] == [2, 3]
 
 
 def test_masks_cover_every_pair_within_the_radius():
