@@ -5,10 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import decontaminate, exact_dedup, simhash
+from spindrift.llm import decontaminate, exact_dedup, language, packing, quality, simhash, toxicity
 from spindrift.runtime import table
 
 
+TOXIC_AT, GOOD_AT = 0.7, 0.3
+
+
+def tokenizer() -> str:
+    """The place of the vocabulary on this machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def held_out(parts: int, held: int):
+    return (toxicity.crc_split(F.col("doc_id"), parts) == held).alias("held_out")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", held_out(3, 1), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = packing.pack_partitions(table(spark, sf_dir, "documents"), tokenizer())
+    slim = placed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.merge_leftovers(slim).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, toxicity.crc_split(F.col("doc_id"), 4) != 2)
+    found = language.predict(docs, model)
+    return found.select("doc_id", held_out(4, 2), "lang_pred", "score", F.to_json("shares").alias("shares"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    found = quality.score(docs, model)
+    return found.select("doc_id", held_out(5, 0), "score", (F.col("score") >= GOOD_AT).cast("int").alias("predicted"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -32,6 +73,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op5_packing": op5_packing,
+    "op6_language": op6_language,
+    "op9_quality": op9_quality,
     "op3_decontaminate": op3_decontaminate,
     "op4_exact_dedup": op4_exact_dedup,
     "op8_simhash": op8_simhash,
