@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import decontaminate, exact_dedup, language, packing, quality, simhash, toxicity
+from spindrift.llm import decontaminate, exact_dedup, language, packing, pii, quality, secrets, simhash, toxicity
 from spindrift.runtime import table
 
 
@@ -67,12 +67,37 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents"), secrets.train(secrets.samples(spark)))
+    return found.select(
+        "doc_id",
+        *(secrets.count(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"),
+        secrets.joined(F.col("found")).alias("spans"),
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.link(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"), pii.train())
+    kind = F.array(*(F.lit(k) for k in pii.KINDS))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kind, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(k):
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+
+    return found.select("doc_id", *(count(k) for k in range(4)), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
 QUERIES = {
+    "op7_secrets": op7_secrets,
+    "op10_pii": op10_pii,
     "op1_toxicity": op1_toxicity,
     "op5_packing": op5_packing,
     "op6_language": op6_language,
