@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import decontaminate, exact_dedup, language, packing, pii, quality, secrets, simhash, toxicity
+from spindrift.llm import decontaminate, exact_dedup, language, packing, passages, pii, quality, secrets, simhash, toxicity
 from spindrift.runtime import table
 
 
@@ -50,6 +50,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(5, 0), "score", (F.col("score") >= GOOD_AT).cast("int").alias("predicted"))
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -96,6 +100,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_passages": op2_passages,
     "op7_secrets": op7_secrets,
     "op10_pii": op10_pii,
     "op1_toxicity": op1_toxicity,
