@@ -1,4 +1,8 @@
-"""Registered queries of the reference operators, each with its oracle SQL."""
+"""Registered queries of the engine, each with its oracle SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import importlib
+
+from spindrift.queries.registry import ORACLES, QUERIES
+
+for _family in ("merging", "seasons"):
+    importlib.import_module(f"spindrift.queries.{_family}")
