@@ -4,5 +4,5 @@ import importlib
 
 from spindrift.queries.registry import ORACLES, QUERIES
 
-for _family in ("merging", "seasons"):
+for _family in ("merging", "seasons", "tracks"):
     importlib.import_module(f"spindrift.queries.{_family}")
