@@ -4,5 +4,5 @@ import importlib
 
 from spindrift.queries.registry import ORACLES, QUERIES
 
-for _family in ("merging", "seasons", "tracks", "statistics"):
+for _family in ("merging", "seasons", "tracks", "statistics", "images"):
     importlib.import_module(f"spindrift.queries.{_family}")
