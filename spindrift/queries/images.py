@@ -262,3 +262,12 @@ def bilinear_remap(spark, sf_dir):
     a, w = F.radians(F.lit(30.0)), F.col("weight")
     m = lambda e: F.sum(w * e) / F.sum(w)
     return p.join(g, ["cx", "cy"]).groupBy("x", "y").agg(_R(m(F.col("u") * F.cos(a) - F.col("v") * F.sin(a)), "ru", 8), _R(m(F.col("u") * F.sin(a) + F.col("v") * F.cos(a)), "rv", 8))
+
+
+@query(ctes(PX) + ", g AS (SELECT image, count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM px WHERE NOT (image%50=7 AND x=7) GROUP BY image) SELECT a.image, a.n=b.n AND a.x0=b.x0 AND a.x1=b.x1 AND a.y0=b.y0 AND a.y1=b.y1 AS same FROM g a JOIN g b ON b.image=a.image+1")
+def image_grid_check(spark, sf_dir):
+    """Whether the two images of a pair lie on the same grid."""
+    p = px(spark, sf_dir).where("not (image % 50 = 7 and x = 7)")
+    g = p.groupBy("image").agg(F.struct(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).alias("a"))
+    other = g.select((F.col("image") - 1).alias("image"), F.col("a").alias("b"))
+    return g.join(other, "image").select("image", (F.col("a") == F.col("b")).alias("same"))

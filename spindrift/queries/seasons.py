@@ -242,17 +242,17 @@ def date_pairing(spark, sf_dir):
     ctes(VEC)
     + """, f AS (SELECT sensor, CAST(t0 AS DATE) AS d, min(flag) AS lo, max(flag) AS hi FROM vec GROUP BY ALL HAVING max(flag)>=4 AND min(flag)<=0), w AS (SELECT DISTINCT CAST(t0 AS DATE) AS d FROM vec),
  t AS (SELECT w.d, f.d AS fd, f.sensor, row_number() OVER (PARTITION BY w.d ORDER BY abs(date_diff('day',w.d,f.d)), date_diff('day',w.d,f.d), f.sensor) AS r FROM w JOIN f ON f.d BETWEEN w.d-5 AND w.d+5)
-SELECT CAST(w.d AS VARCHAR) AS d, CAST(t.fd AS VARCHAR) AS used, t.sensor FROM w LEFT JOIN t ON t.d=w.d AND t.r=1"""
+SELECT CAST(w.d AS VARCHAR) AS d, CAST(t.fd AS VARCHAR) AS used, coalesce(t.sensor,0) AS sensor FROM w LEFT JOIN t ON t.d=w.d AND t.r=1"""
 )
 def mask_reference(spark, sf_dir):
-    """The nearest day within five with a usable file, earlier days first; none gives null."""
+    """The nearest day within five with a usable file, earlier days first; none gives null and sensor 0."""
     v = vec(spark, sf_dir).withColumn("d", F.to_date("t0"))
     f = v.groupBy("sensor", "d").agg(F.min("flag").alias("lo"), F.max("flag").alias("hi")).where("hi >= 4 and lo <= 0")
     best = f.groupBy("d").agg(F.min("sensor").alias("sensor")).withColumnRenamed("d", "fd")
     w = v.select("d").distinct()
     tries = w.select("d", F.posexplode(F.array(*(F.lit(k) for k in (0, -1, 1, -2, 2, -3, 3, -4, 4, -5, 5)))).alias("o", "k")).withColumn("fd", F.date_add("d", F.col("k")))
     used = tries.join(best, "fd").groupBy("d").agg(F.min_by(F.struct("fd", "sensor"), "o").alias("u"))
-    return w.join(used, "d", "left").select(F.col("d").cast("string").alias("d"), F.col("u.fd").cast("string").alias("used"), F.col("u.sensor").alias("sensor"))
+    return w.join(used, "d", "left").select(F.col("d").cast("string").alias("d"), F.col("u.fd").cast("string").alias("used"), F.coalesce("u.sensor", F.lit(0)).alias("sensor"))
 
 
 @query(

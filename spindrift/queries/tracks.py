@@ -332,3 +332,35 @@ def matchup_derive(spark, sf_dir):
         (F.round((t1 - t0) / 3.6e9 - 48, 5) + 0.0).alias("col_ddur"),
         F.round((t0 - day0("2024-01-01")) / (30 * 86.4e9), 6).alias("elapsed"),
     )
+
+
+@query(ctes(FIX) + "SELECT traj_id, rec_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY traj_id, ts ORDER BY rec_id) AS r FROM fix) WHERE r=1")
+def traj_unique_time(spark, sf_dir):
+    """The first record of each time stays."""
+    return fix(spark, sf_dir).groupBy("traj_id", "ts").agg(F.min("rec_id").alias("rec_id")).select("traj_id", "rec_id", "ts")
+
+
+@query(ctes(FIX) + "SELECT rec_id, source AS val_source, round(lat,6) AS val_lat, traj_id AS prd_id FROM fix WHERE source IN ('gps','argos') AND lat>65")
+def nested_access(spark, sf_dir):
+    """Fields of the two sides of a matchup by their path."""
+    m = fix(spark, sf_dir).select("rec_id", F.struct("source", "lat").alias("val"), F.struct(F.col("traj_id").alias("id")).alias("prd"))
+    return m.where(F.col("val.source").isin("gps", "argos") & (F.col("val.lat") > 65)).select("rec_id", F.col("val.source").alias("val_source"), F.round("val.lat", 6).alias("val_lat"), F.col("prd.id").alias("prd_id"))
+
+
+_A2 = geo.WGS84.a**2 * geo.Laea().pole
+
+
+@query(
+    ctes(FIX)
+    + f""", a AS (SELECT rec_id, CAST(rec_id%2000-1000 AS DOUBLE)*1500 AS x0, CAST(rec_id%1700-850 AS DOUBLE)*1700+37 AS y0 FROM fix), b AS (SELECT *, asin(1-(x0*x0+y0*y0)/{_A2!r}) AS be FROM a),
+ c AS (SELECT rec_id, degrees(be+{_E2 / 3 + 31 * _E2**2 / 180 + 517 * _E2**3 / 5040!r}*sin(2*be)+{23 * _E2**2 / 360 + 251 * _E2**3 / 3780!r}*sin(4*be)+{761 * _E2**3 / 45360!r}*sin(6*be)) AS lat, degrees(atan2(x0,-y0)) AS lon FROM b),
+ r AS (SELECT rec_id, lon, {_S.scale!r}*tan(pi()/4-radians(lat)/2)/pow((1-{_SE!r}*sin(radians(lat)))/(1+{_SE!r}*sin(radians(lat))),{_SE / 2!r}) AS rho FROM c)
+SELECT rec_id, round(rho*sin(radians(lon+45)),2)+0.0 AS x, round(0-rho*cos(radians(lon+45)),2)+0.0 AS y FROM r"""
+)
+def grid_remap(spark, sf_dir):
+    """A place on one grid as a place on another: inverse, then forward."""
+    k = F.col("rec_id")
+    lat, lon = geo.Laea().inverse((k % 2000 - 1000).cast("double") * 1500, (k % 1700 - 850).cast("double") * 1700 + 37)
+    x, y = _S.forward(F.col("lat"), F.col("lon"))
+    rows = fix(spark, sf_dir).select("rec_id", lat.alias("lat"), lon.alias("lon"))
+    return rows.select("rec_id", (F.round(x, 2) + 0.0).alias("x"), (F.round(y, 2) + 0.0).alias("y"))
