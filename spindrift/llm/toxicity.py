@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from spindrift.llm import wordhash
 from spindrift.llm.columns import map_texts, texts
-from spindrift.runtime import map_arrow
+from spindrift.runtime import cut_lineage, map_arrow
 
 ORDER, BUCKETS, SAMPLE, FIT_SHARE, DISCOUNT, PASSAGE = 5, 1 << 19, 60_000, 5, 0.75, 12
 SHARED = 2  # the number of the class whose counts are shared
@@ -166,7 +166,7 @@ def fit(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text"
     rest = {r.id: int(r.y) for r in rows if r.fit}
     sent = df.sparkSession.sparkContext.broadcast(chosen)
     counted = map_arrow(df.select(id, text), lambda batches: _count(batches, sent.value), "c int, g bigint, n bigint")
-    grams = counted.groupBy("c", "g").agg(F.sum("n").alias("n"))
+    grams = cut_lineage(counted.groupBy("c", "g").agg(F.sum("n").alias("n")))  # read many times below
 
     def entry(kind: int, key: Column, rows: DataFrame, value: Column, *by: str) -> DataFrame:
         return rows.select(F.lit(kind).alias("t"), *(by or (F.lit(0).alias("c"),)), key.alias("k"), value.cast("double").alias("v"))
