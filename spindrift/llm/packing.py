@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.llm import sieve
 from spindrift.llm.columns import field, texts
 from spindrift.llm.tokens import Encoder
 from spindrift.runtime import cut_lineage, map_arrow
@@ -144,9 +145,11 @@ def merge_leftovers(pieces: DataFrame, length: int = LENGTH, group: int = GROUP)
 
     # each task has about `group` windows of two numbers
     moved = map_arrow(left.repartition(groups, "sequence_id"), run, "_own bigint, _into bigint, _at bigint").where("_own != _into")
-    rows = pieces.where("open = 0").drop("open").join(moved, F.col("sequence_id") == F.col("_own"), "left")
-    rows = rows.withColumn("offset", F.col("offset") + F.coalesce("_at", F.lit(0))).withColumn("sequence_id", F.coalesce("_into", "sequence_id"))
-    return rows.drop("_own", "_into", "_at")
+    moved = cut_lineage(moved)
+    rows = sieve.marked(pieces.where("open = 0").drop("open"), moved.select(F.col("_own").alias("sequence_id")), "sequence_id")
+    again = rows.where("_may").join(moved, F.col("sequence_id") == F.col("_own"), "left")
+    again = again.withColumn("offset", F.col("offset") + F.coalesce("_at", F.lit(0))).withColumn("sequence_id", F.coalesce("_into", "sequence_id"))
+    return rows.where("not _may").drop("_may").unionByName(again.drop("_own", "_into", "_at", "_may"))
 
 
 def pack(df: DataFrame, tokenizer: str, **options) -> DataFrame:
