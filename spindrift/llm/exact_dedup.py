@@ -47,11 +47,13 @@ def classes(df: DataFrame, id: str = "doc_id", text: str = "text", digest: Calla
     several = groups.where("_n > 1").select("_digest")
 
     # the contents of the proposed groups, whole, compared as grouping keys
-    proposed = sieve.among(base, several, "_digest")
+    proposed = sieve.marked(base, several, "_digest").where("_may").drop("_may")
     by_salt = proposed.groupBy("_digest", "_salt", "_content").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_top"))
     whole = by_salt.groupBy("_digest", "_content").agg(F.sum("_n").alias("_size"), F.max("_top").alias("_keep"))
     counted = cut_lineage(
-        whole.groupBy("_digest").agg(F.count(F.lit(1)).alias("_contents"), F.first("_keep").alias("_keep"), F.first("_size").alias("_size"))
+        whole.groupBy("_digest")
+        .agg(F.count(F.lit(1)).alias("_contents"), F.first("_keep").alias("_keep"), F.first("_size").alias("_size"))
+        .join(several, "_digest", "left_semi")  # the sieve lets a few others pass
     )
     settled = single.unionByName(counted.where("_contents = 1").select("_digest", "_keep", "_size"))
 
