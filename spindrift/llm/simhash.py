@@ -29,7 +29,7 @@ from spindrift.llm.columns import map_texts
 from spindrift.llm.graph import components
 from spindrift.runtime import cut_lineage, map_arrow
 
-BITS, WIDTH, SEED, RADIUS, BUCKET = 64, 4, 42, 4, 4096
+BITS, WIDTH, SEED, RADIUS, BUCKET, SALTS = 64, 4, 42, 4, 4096, 16
 BLOCK = 1 << 16
 SPACES = re.compile(rb"[\x20\x09-\x0d]+")
 
@@ -151,7 +151,7 @@ def _balls(batches):
 
 
 def edges(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints fp that connect all pairs within the radius."""
+    """Edges (a, b) between distinct fingerprints fp that connect all pairs within the radius, 4 at most."""
     table = F.array(*(F.struct(F.lit(i).cast("byte").alias("t"), F.lit(signed(m)).alias("m")) for i, m in enumerate(masks(radius))))
     rows = fps.select("fp", F.explode(table).alias("x")).select("x.t", F.col("fp").bitwiseAND(F.col("x.m")).alias("key"), "fp")
     rows = rows.repartition("t", "key").sortWithinPartitions("t", "key", "fp")
@@ -175,11 +175,15 @@ def link(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = WID
     """
     fp = cut_lineage(fingerprints(df, id, text, width))
     nodes = fp.groupBy("fp").agg(F.min(id).alias("node"))
-    joined_up = components(edges(nodes.select("fp"), radius, bucket), "a", "b")
+    roots = components(edges(nodes.select("fp"), radius, bucket), "a", "b")
     # the smallest fingerprint names a part; the smallest id of all its members names the component
-    part = nodes.join(joined_up, nodes["fp"] == joined_up["node"], "left").select(nodes["fp"], nodes["node"], F.coalesce("root", nodes["fp"]).alias("root"))
-    name = part.groupBy("root").agg(F.min("node").alias("component_id"))
-    named = part.join(name, "root").select(F.col("fp").alias("_fp"), "component_id")
+    linked = nodes.join(roots, F.col("fp") == roots["node"]).select("fp", nodes["node"], "root")
+    name = linked.groupBy("root").agg(F.min("node").alias("component_id"))
+    # a part may be large: its members find its name under one of SALTS keys
+    name = name.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    members = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    alone = nodes.join(roots, F.col("fp") == roots["node"], "left_anti").select(F.col("fp").alias("_fp"), F.col("node").alias("component_id"))
+    named = members.join(name, ["root", "salt"]).select(F.col("fp").alias("_fp"), "component_id").unionByName(alone)
     return fp.join(named, F.col("fp") == F.col("_fp")).select(id, "fp", "component_id")
 
 
