@@ -12,10 +12,12 @@ cut into shards of that size, and each shard is one more narrow scan over what t
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import islice
 from uuid import uuid4
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,17 +109,21 @@ def offsets(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def shards_of(items: DataFrame, item_id: str, item_text: str, limit: int) -> list[list[tuple[str, bytes]]]:
-    """The items with id and text, in lists of about `limit` bytes; one empty list for none."""
+def shards_of(items: DataFrame, item_id: str, item_text: str, limit: int) -> Iterator[tuple[Broadcast, bool]]:
+    """The items with id and text, broadcast in lists of about `limit` bytes, and whether a list is the last; one empty list for none.
+
+    One list at a time is on the driver.
+    """
+    sc = items.sparkSession.sparkContext
     listed = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null")
-    shards, size = [[]], 0
+    held, size = [], 0
     for row in listed.orderBy("i", "t").toLocalIterator():
         if size and size + len(row.t) > limit:
-            shards.append([])
-            size = 0
-        shards[-1].append((row.i, row.t.encode()))
+            yield sc.broadcast(held), False
+            held, size = [], 0
+        held.append((row.i, row.t.encode()))
         size += len(row.t)
-    return shards
+    yield sc.broadcast(held), True
 
 
 def find(df: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, limit: int = LIMIT) -> DataFrame:
@@ -130,10 +136,7 @@ def find(df: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text"
     schema = f"{field(df, id)}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start: bigint, end: bigint>>, `{text}` string, _ranges array<bigint>"
     names = [id, "n_words", "n_hit", "items", "spans", text, "_ranges"]
     out = df.select(id, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("array<struct<start: bigint, end: bigint>>").alias("spans"), F.col(text), F.lit(None).cast("array<bigint>").alias("_ranges"))
-    shards = shards_of(items, item_id, item_text, limit)
-    for k, shard in enumerate(shards):
-        sent = df.sparkSession.sparkContext.broadcast(shard)
-        last = k == len(shards) - 1
+    for sent, last in shards_of(items, item_id, item_text, limit):
 
         def run(batches, sent=sent, last=last, key=uuid4().hex):
             vocabulary, tree = automaton(key, sent.value, width)
@@ -165,8 +168,7 @@ def contaminated_fraction(found: DataFrame):
 def clean(df: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, limit: int = LIMIT) -> DataFrame:
     """The rows of df that hold no window of any item, with all their columns; a narrow filter, no shuffle."""
     at = df.columns.index(text)
-    for shard in shards_of(items, item_id, item_text, limit):
-        sent = df.sparkSession.sparkContext.broadcast(shard)
+    for sent, _ in shards_of(items, item_id, item_text, limit):
 
         def run(batches, sent=sent, key=uuid4().hex):
             vocabulary, tree = automaton(key, sent.value, width)
