@@ -24,6 +24,7 @@ from spindrift.llm.tokens import Encoder
 from spindrift.runtime import cut_lineage, map_arrow
 
 LENGTH, OPEN, LEAST, END, GROUP = 4096, 32, 32, 2, 50_000
+GROUP_TEXT = 1 << 20  # characters encoded at once
 
 
 class Packer:
@@ -90,20 +91,21 @@ def pack_partitions(df: DataFrame, tokenizer: str, id: str = "doc_id", text: str
                 arrays = [take, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(ids, pa.binary()), pa.array([0] * len(rows), pa.int32())]
                 return pa.RecordBatch.from_arrays(arrays, names=names)
 
+            group: list[tuple[int, str]] = []
             for i, t in enumerate(texts(batch.column(1))):
-                tokens = encoder.encode(t.decode()) if t else np.zeros(0, np.uint32)
-                if end is not None:
-                    tokens = np.append(tokens, np.uint32(end))
-                for a, n, sequence, offset in packer.place(len(tokens)):
-                    rows.append((a, n, len(tokens), sequence, offset))
-                    ids.append(tokens[a : a + n].astype("<u4").tobytes())
-                    held.append(i)
-                    size += n
-                if size > 1 << 20:
-                    yield flush()
-                    rows, ids, size, held = [], [], 0, []
-            if rows:
-                yield flush()
+                group.append((i, (t or b"").decode()))
+                size += len(group[-1][1])
+                if size > GROUP_TEXT or i == batch.num_rows - 1:
+                    for (k, _), tokens in zip(group, encoder.encode_many([x for _, x in group]), strict=True):
+                        if end is not None:
+                            tokens = np.append(tokens, np.uint32(end))
+                        for a, n, sequence, offset in packer.place(len(tokens)):
+                            rows.append((a, n, len(tokens), sequence, offset))
+                            ids.append(tokens[a : a + n].astype("<u4").tobytes())
+                            held.append(k)
+                    if rows:
+                        yield flush()
+                    group, rows, ids, size, held = [], [], [], 0, []
         if packer.open:
             n = len(packer.open)
             fill, own = zip(*packer.open, strict=True)

@@ -15,7 +15,7 @@ import numpy as np
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\s0-9a-zªµºß-öø-ÿ²³¹¼-¾]+")
 #: Characters that neither normalisation nor the two libraries' tables treat differently.
 SAFE = re.compile("[\t\n\r\x20-\x7e\xa0-\xff‐-‧‰-⁞€]*")
-SLICE, KEPT = 1 << 19, 400_000
+SLICE, KEPT = 1 << 19, 800_000
 _made: dict[str, Encoder] = {}
 
 
@@ -77,30 +77,43 @@ class Encoder:
             self.first[self.known : upto], self.size[self.known : upto] = self.used + starts, last - starts
             self.used, self.known = need, upto
 
-    def gather(self, numbers: list[int]) -> np.ndarray:
-        n = np.array(numbers, np.int64)
+    def gather(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered splits, end to end, and where each split's end."""
         size = self.size[n]
         end = np.cumsum(size)
         total = int(end[-1]) if len(end) else 0
-        return self.flat[np.arange(total) + np.repeat(self.first[n] - (end - size), size)]
+        return self.flat[np.arange(total) + np.repeat(self.first[n] - (end - size), size)], end
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; texts of any length are taken in slices that end at a blank."""
+        if self.known > KEPT:
+            self.clear()
+        parts: list[tuple[int, bool, np.ndarray]] = []  # text, whether ids already, ids or numbers of splits
+        for i, text in enumerate(texts):
+            at = 0
+            while at < len(text):
+                end = len(text)
+                if end - at > SLICE:
+                    end = text.find(" ", at + SLICE)
+                    end = len(text) if end < 0 else end
+                part = text[at:end]
+                if not SAFE.fullmatch(part) or any(x in part for x in self.special):
+                    parts.append((i, True, self.whole(part)))
+                else:
+                    parts.append((i, False, np.array(list(map(self.number.__getitem__, SPLIT.findall(part.lower()))), np.int64)))
+                at = end
+        if self.number.new:
+            self.learn()
+        numbers = [x for _, done, x in parts if not done]
+        flat, ends = self.gather(np.concatenate(numbers)) if numbers else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        ends, read, at = np.r_[0, ends], 0, 0
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        for i, done, x in parts:
+            if not done:
+                read += len(x)
+                x, at = flat[at : ends[read]], int(ends[read])
+            out[i].append(x)
+        return [np.concatenate(x) if len(x) > 1 else x[0] if x else np.zeros(0, np.uint32) for x in out]
 
     def encode(self, text: str) -> np.ndarray:
-        """The ids of a text of any length, taken in slices that end at a blank."""
-        out, at = [], 0
-        while at < len(text):
-            end = len(text)
-            if end - at > SLICE:
-                end = text.find(" ", at + SLICE)
-                end = len(text) if end < 0 else end
-            part = text[at:end]
-            if not SAFE.fullmatch(part) or any(x in part for x in self.special):
-                out.append(self.whole(part))
-            else:
-                if self.known > KEPT:
-                    self.clear()
-                numbers = list(map(self.number.__getitem__, SPLIT.findall(part.lower())))
-                if len(self.number) > self.known:
-                    self.learn()
-                out.append(self.gather(numbers))
-            at = end
-        return np.concatenate(out) if out else np.zeros(0, np.uint32)
+        return self.encode_many([text])[0]
