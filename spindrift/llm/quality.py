@@ -62,7 +62,7 @@ def statistics(text: bytes | None) -> list[float]:
         sum(map(eq, words, words[1:])) / k,
         max(seen.values()) / k,
         sum(h[_SYMBOLS]) / max(1.0, h[32]),
-        float(max(map(len, words[:10000]))) if k else 0.0,
+        float(max(map(len, seen))),
     ]
 
 

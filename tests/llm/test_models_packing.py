@@ -177,3 +177,8 @@ def test_best_fit_wastes_little():
             at += n
         assert at <= 100
     assert len(used) * 100 < 1.05 * sum(size.values())
+
+
+def test_longest_word_is_of_the_whole_text():
+    text = b"word " * 12_000 + b"x" * 900 + b" word"
+    assert dict(zip(quality.NAMES, quality.statistics(text), strict=True))["long_word"] == 900
