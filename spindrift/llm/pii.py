@@ -7,8 +7,9 @@ characters that overlap by half. Each window is decoded by itself; a span that a
 is left to its neighbour, and what all windows of a text propose is reconciled globally: the set
 of disjoint spans of the greatest total score, base spans first.
 
-Every kind has a digit or an at sign, so windows are laid where those are (with MARGIN characters
-on both sides); windows elsewhere could only propose spans that are dropped.
+Every span that is kept has a digit, an at sign or the word at, so windows are laid where those are
+(with MARGIN characters, half a window, on both sides, which holds all that windows over the whole
+text are sure to hold); windows elsewhere could only propose spans that are dropped.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from spindrift.llm.columns import map_texts
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + len(KINDS)  # 0: none
-WINDOW, MARGIN, HIDDEN, EMBED = 96, 40, 16, 10
+WINDOW, MARGIN, HIDDEN, EMBED = 96, 48, 16, 10
 SLICE = 2048  # windows decoded at once
 #: The base patterns.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -34,8 +35,14 @@ _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++){3,}+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9]){15,}+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_MARK = re.compile(r"[0-9@]")
+#: The words of a spelt-out address, whatever is around them.
+_AT, _DOT = (rf"(?<![^\W_]){x}(?![^\W_])" for x in ("at", "dot"))
+_MARK = re.compile(rf"[0-9@]|{_AT}", re.IGNORECASE)
+_SPELT = re.compile(rf"[^\W_][\W_]*{_AT}[\W_]*[^\W_].*?(?:{_DOT}|\.)[\W_]*[^\W_]", re.IGNORECASE | re.DOTALL)
 _DIGITS = re.compile(r"[0-9]")
+#: Spelt out beyond doubt: at and dot are both words, or at stands in brackets.
+_SURE = re.compile(rf"{_AT}[\W_]*[^\W_][\w.-]*[\W_]*{_DOT}[\W_]*[^\W_]|[\[({{<]\s*{_AT}\s*[\])}}>]\s*[\w-]+\.[^\W_]", re.IGNORECASE)
+FORM = 3.0  # what that adds to a span's score, as its emissions are weak on letters and blanks
 
 SYMBOLS = {c: i for i, c in enumerate("\0 aA0@.-_+()[]:,;/\n")}
 _CODE = np.full(256, 0, np.int64)
@@ -219,7 +226,7 @@ def samples(n: int = 1500, seed: int = 5) -> list[tuple[str, list[tuple[int, int
     def email():
         user = rng.choice([name(), name() + "." + name(), name() + d(2), name() + "_" + name()])
         host, top = name() + rng.choice(["", d(1)]), rng.choice(["com", "org", "net", "example.com"])
-        return rng.choice([f"{user}@{host}.{top}"] * 3 + [f"{user} @ {host}.{top}", f"{user} (at) {host} dot {top}" + d(1), f"{user}{d(1)} [at] {host}.{top}", f"{user}@{host} dot {top}"])
+        return rng.choice([f"{user}@{host}.{top}"] * 3 + [f"{user} @ {host}.{top}", f"{user} (at) {host} dot {top}", f"{user} at {host} dot {top}", f"{user}{rng.choice([' [at] ', '[at]', '(at)', ' AT ', '_at_'])}{host}{rng.choice([' [dot] ', '[dot]', '(dot)', ' DOT ', '_dot_'])}{top}", f"{user}{d(1)} [at] {host}.{top}", f"{user}@{host} dot {top}"])
 
     def ip():
         parts = [str(rng.randint(0, 255)) for _ in range(4)]
@@ -284,7 +291,7 @@ def train(labelled: list[tuple[str, list[tuple[int, int, int]]]] | None = None,
 
 
 def windows(text: str) -> list[int]:
-    """Where windows begin: overlapping by half, over every stretch within MARGIN of a digit or at sign."""
+    """Where windows begin: overlapping by half, over every stretch within MARGIN of a digit, an at sign or the word at."""
     out, upto = [], -1
     half = WINDOW // 2
     for m in _MARK.finditer(text):
@@ -305,7 +312,7 @@ def plausible(kind: int, part: str) -> bool:
     """Whether a proposed span can be what it is said to be: the checks of the base kinds hold for it too."""
     digits = "".join(c for c in part if c in "0123456789")
     if kind == 0:
-        return "@" in part or (bool(digits) and "at" in part.lower() and "." in part)
+        return "@" in part or (bool(digits) and "at" in part.lower() and "." in part) or bool(_SPELT.search(part))
     if kind == 1:
         parts = re.findall(r"[0-9]+", part)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -332,7 +339,7 @@ def proposals(text: str, begins: list[int], tags: np.ndarray, margin: np.ndarray
                 end -= 1
             part = text[start:end]
             if len(part) >= 7 and plausible(kind - 1, part):
-                score = float(margin[w, a:b].mean())
+                score = float(margin[w, a:b].mean()) + (FORM if kind == 1 and _SURE.search(part) else 0.0)
                 key = start, end, kind - 1
                 out[key] = max(out.get(key, -1e9), score)
     return out

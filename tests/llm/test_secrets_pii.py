@@ -149,3 +149,19 @@ def test_gradient_is_right():
         down = m.gradient(codes, tags)[0]
         v[i] = old
         assert abs((up - down) / 2e-3 - g[k][i]) < 1e-4
+
+
+def test_spelt_out_addresses_without_digits():
+    rng = random.Random(8)
+    name = lambda: "".join(rng.choice(["ber", "lin", "ka", "mo", "ser", "ti", "ros"]) for _ in range(rng.randint(2, 3)))
+    forms = ["{} (at) {} dot com", "{} at {} dot org", "{} [at] {} [dot] net", "{} AT {} DOT com"]
+    filler = "they went on to the other side and then they came over here again . "
+    model, caught = pii.train(), 0
+    for k in range(80):
+        address = forms[k % 4].format(name(), name())
+        text = filler * 3 + "write to " + address + ", " + filler * 3
+        begin = text.index(address)
+        _, found = pii.find_batch(model, [text], 3.0)[0]
+        caught += any(kind == 0 and a < begin + len(address) and begin < b for kind, a, b in found)
+    assert caught >= 64
+    assert pii.find_batch(model, ["we meet at noon. " + filler * 5], 3.0)[0] == ([], [])
