@@ -110,8 +110,11 @@ def track(a: np.ndarray, b: np.ndarray, limit: float) -> tuple[float, float, flo
     return float(at[0]), float(at[1]), value, flag
 
 
-def correct(vectors: pd.DataFrame, furthest: float = 10.0, least: int = 5, radius: float = 1.5, limit: int = 10_000) -> pd.DataFrame:
-    """Worst first, vectors further than `furthest` from the mean of their neighbours take that mean (flag 13) or go (12) where these are too few."""
+def correct(vectors: pd.DataFrame, furthest: float = 10.0, least: int = 5, radius: float = 1.5) -> pd.DataFrame:
+    """Worst first, vectors further than `furthest` from the mean of their neighbours take that mean (flag 13) or, if they have it already, go (12).
+
+    A vector goes from 0 to 13 to 12, so this ends, with no vector further than `furthest`.
+    """
     v = vectors.sort_values(["y", "x"], kind="stable").reset_index(drop=True)
     xy, d, flag = v[["x", "y"]].to_numpy(float), v[["dx", "dy"]].to_numpy(float).copy(), v["flag"].to_numpy().copy()
     near = [np.flatnonzero((k := ((xy - p) ** 2).sum(1)) <= radius**2) for p in xy]
@@ -125,9 +128,7 @@ def correct(vectors: pd.DataFrame, furthest: float = 10.0, least: int = 5, radiu
         return float(np.hypot(*(d[i] - mean))), mean
 
     gaps = np.array([off(i)[0] for i in range(len(v))])
-    for _ in range(limit):
-        if not len(gaps) or gaps.max() <= furthest:
-            break
+    while len(gaps) and not gaps.max() <= furthest:
         i = int(gaps.argmax())
         _, mean = off(i)
         if flag[i] == 13 or mean is None:

@@ -177,3 +177,22 @@ def test_outliers_are_corrected():
 
 def test_uncertainty_tables():
     assert len(dims.SIGMAS) == 32 and len(dims.FINAL_FLAG) == 23 and dims.FINAL_FLAG[16] == 22
+
+
+def test_correction_ends_with_no_outlier_left():
+    import pandas as pd
+
+    n = 130
+    y, x = np.divmod(np.arange(n * n), n)
+    d = np.random.default_rng(9).normal(0, 200, (n * n, 2))
+    got = tracking.correct(pd.DataFrame({"x": x, "y": y, "dx": d[:, 0], "dy": d[:, 1], "flag": 0}))
+    assert (got["flag"] != 0).sum() > 10_000
+    flag, dx, dy = (got[c].to_numpy().reshape(n, n) for c in ("flag", "dx", "dy"))
+    good = np.pad(np.isin(flag, (0, 13)), 1)
+    dx, dy = np.pad(dx, 1), np.pad(dy, 1)
+    for i, j in np.argwhere(good):
+        near = good[i - 1 : i + 2, j - 1 : j + 2].copy()
+        near[1, 1] = False
+        if near.sum() >= 5:
+            off = [a[i, j] - a[i - 1 : i + 2, j - 1 : j + 2][near].mean() for a in (dx, dy)]
+            assert np.hypot(*off) <= 10 + 1e-6
