@@ -9,6 +9,7 @@ from pathlib import Path
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def session(app: str = "spindrift", master: str | None = None, **conf: str) -> SparkSession:
@@ -30,16 +31,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which executors share: the one that spark.checkpoint.dir names.
 
-    The folder is the one the session names in spark.checkpoint.dir; only where none is
-    set (a local test session) a temporary one is used.
+    Only where none is named and Spark runs in one process (local mode, as in tests) a temporary
+    folder is made; on a cluster that would be another machine's disk, so it is an error there.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spindrift-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise df in the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -60,7 +69,7 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     """mapInArrow whose functions may come from modules of this package."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
@@ -69,9 +78,6 @@ def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
 def rewritten(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared checkpoint folder and read again."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spindrift-checkpoint-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
