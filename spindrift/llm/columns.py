@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from spindrift.runtime import map_arrow
 
@@ -21,6 +22,16 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def quoted(name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that scratch columns beside it can't clash with them; select("row.*") undoes it."""
+    return F.struct(*(quoted(c) for c in df.columns))
+
+
 def field(df: DataFrame, name: str, alias: str | None = None) -> str:
     """DDL of one column of df, for the schema of a Python stage."""
     return f"`{alias or name}` {df.schema[name].dataType.simpleString()}"
@@ -36,12 +47,13 @@ def texts(column: pa.Array) -> Iterator[bytes | None]:
 
 def map_texts(df: DataFrame, keys: list[str], text: str, of: Callable, schema: str) -> DataFrame:
     """keys and what `of` makes of each text: of(list of bytes or None) -> list of Arrow arrays, for a batch."""
+    made = StructType.fromDDL(schema)
+    names = [*keys, *made.names]
 
     def run(batches):
         for batch in batches:
             out = of(list(texts(batch.column(len(keys)))))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), *out], names=names)
 
-    ddl = ", ".join([*(field(df, k) for k in keys), schema])
-    names = [*keys, *(x.split()[0] for x in schema.split(", "))]  # no blank after a comma within a type
-    return map_arrow(df.select(*keys, text), run, ddl)
+    whole = StructType([*(StructField(k, df.schema[k].dataType) for k in keys), *made.fields])
+    return map_arrow(df.select(*(quoted(k) for k in keys), quoted(text)), run, whole)

@@ -18,17 +18,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm import sieve
-from spindrift.llm.columns import ascii_lower
+from spindrift.llm.columns import ascii_lower, quoted
 from spindrift.runtime import cut_lineage
 
-SALTS = 32
+SALTS, PER_SALT = 32, 10_000_000
 
 
 def sha256(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def classes(df: DataFrame, id: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256, salts: int = SALTS) -> DataFrame:
+def classes(df: DataFrame, id: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256, salts: int | None = None) -> DataFrame:
     """One row per row of df: id, keep_id, group_size, kept, digest.
 
     Contents are equal when identical after lower-casing A-Z; a null text is an empty one. The
@@ -38,16 +38,19 @@ def classes(df: DataFrame, id: str = "doc_id", text: str = "text", digest: Calla
     """
     content = ascii_lower(F.coalesce(F.col(text), F.lit("")))
     base = df.select(F.col(id).alias("_id"), content.alias("_content"))
-    base = base.withColumn("_digest", F.unhex(digest(F.col("_content")))).withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int"))
+    base = base.withColumn("_digest", F.unhex(digest(F.col("_content"))))
 
-    rows = cut_lineage(base.select("_id", "_digest", "_salt"))
+    plain = cut_lineage(base.select("_id", "_digest"))
+    salts = salts or max(SALTS, plain.count() // PER_SALT)  # so that a salt of the hottest digest has PER_SALT rows at most
+    salt = F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int")
+    rows, base = plain.withColumn("_salt", salt), base.withColumn("_salt", salt)
     salted = rows.groupBy("_digest", "_salt").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_top"))
     groups = salted.groupBy("_digest").agg(F.sum("_n").alias("_n"), F.max("_top").alias("_top"))
     single = groups.where("_n = 1").select("_digest", F.col("_top").alias("_keep"), F.col("_n").alias("_size"))
     several = groups.where("_n > 1").select("_digest")
 
     # the contents of the proposed groups, whole, compared as grouping keys
-    proposed = sieve.marked(base, several, "_digest").where("_may").drop("_may")
+    proposed = sieve.maybe(base, several, "_digest")
     by_salt = proposed.groupBy("_digest", "_salt", "_content").agg(F.count(F.lit(1)).alias("_n"), F.max("_id").alias("_top"))
     whole = by_salt.groupBy("_digest", "_content").agg(F.sum("_n").alias("_size"), F.max("_top").alias("_keep"))
     counted = cut_lineage(
@@ -75,18 +78,18 @@ def classes(df: DataFrame, id: str = "doc_id", text: str = "text", digest: Calla
 
 
 def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df that stay, with all their columns.
+    """The rows of df that stay, with all their columns, whatever those are named.
 
-    Of rows that repeat an id and content one stays. A row without id stays once for each content,
-    for no other row can be told to stand for it.
+    Rows go by id and content: a row stays where its content has no row of a larger id, though
+    another text under the same id may go. Of rows that repeat an id and content one stays. A row
+    without id stays once for each content, for no other row can be told to stand for it.
     """
-    lost = cut_lineage(classes(df, id, text).where(~F.col("kept")).select(id).where(F.col(id).isNotNull()).distinct())
-    kept = sieve.without(df, lost, id)
-    again = df.groupBy(id).count().where("count > 1").select(id)
-    if again.isEmpty():  # so a null id is on one row at most
+    digest = sha256(ascii_lower(F.coalesce(quoted(text), F.lit(""))))
+    found = classes(df.select(quoted(id).alias("id"), quoted(text).alias("text")), "id", "text")
+    found = cut_lineage(found.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")))
+    lost = found.where("id is not null and not kept").select("id", "digest")
+    kept = sieve.without(df, lost, id, digest)
+    again = found.where("n > 1 and (kept or id is null)").select("id", "digest")
+    if again.isEmpty():
         return kept
-    content = ascii_lower(F.coalesce(F.col(text), F.lit("")))
-    nameless = kept.where(F.col(id).isNull()).withColumn("_content", content)
-    named_again = sieve.among(kept, again.where(F.col(id).isNotNull()), id).withColumn("_content", content)
-    more = nameless.unionByName(named_again).dropDuplicates([id, "_content"]).drop("_content")
-    return sieve.without(kept.where(F.col(id).isNotNull()), again.where(F.col(id).isNotNull()), id).unionByName(more)
+    return sieve.once(kept, again, id, digest)

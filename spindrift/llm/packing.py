@@ -148,10 +148,10 @@ def merge_leftovers(pieces: DataFrame, length: int = LENGTH, group: int = GROUP)
     # each task has about `group` windows of two numbers
     moved = map_arrow(left.repartition(groups, "sequence_id"), run, "_own bigint, _into bigint, _at bigint").where("_own != _into")
     moved = cut_lineage(moved)
-    rows = sieve.marked(pieces.where("open = 0").drop("open"), moved.select(F.col("_own").alias("sequence_id")), "sequence_id")
-    again = rows.where("_may").join(moved, F.col("sequence_id") == F.col("_own"), "left")
+    rows = sieve.marked(pieces.where("open = 0").drop("open"), moved.select("_own"), "sequence_id")
+    again = rows.where("may").select("row.*").join(moved, F.col("sequence_id") == F.col("_own"), "left")
     again = again.withColumn("offset", F.col("offset") + F.coalesce("_at", F.lit(0))).withColumn("sequence_id", F.coalesce("_into", "sequence_id"))
-    return rows.where("not _may").drop("_may").unionByName(again.drop("_own", "_into", "_at", "_may"))
+    return rows.where("not may").select("row.*").unionByName(again.drop("_own", "_into", "_at"))
 
 
 def pack(df: DataFrame, tokenizer: str, **options) -> DataFrame:

@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.columns import map_texts
+from spindrift.llm.columns import map_texts, quoted
 from spindrift.llm.toxicity import labelled
 
-SAMPLE, TREES, DEPTH, BINS, RULES = 20_000, 40, 3, 32, 400
+SAMPLE, TREES, DEPTH, BINS = 20_000, 40, 3, 32
 NAMES = ["n_words", "word_len", "upper", "digit", "punct", "symbol", "pipe", "bang", "stop", "beyond_ascii", "space", "lines", "line_words", "line_repeat", "line_top", "unique", "adjacent", "top_word", "end_symbol", "long_word"]
 _UPPER, _LOWER, _DIGIT = slice(65, 91), slice(97, 123), slice(48, 58)
 _SYMBOLS = [ord(c) for c in "#$%&*+<=>@[\\]^_`{|}~"]
@@ -67,13 +67,14 @@ def statistics(text: bytes | None) -> list[float]:
 
 
 def measure(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """The named columns and the statistics of every row's text, as _q_<name>."""
+    """row (a struct of the named columns) and the statistics of every row's text."""
 
     def of(batch):
         x = np.array([statistics(t) for t in batch], float).reshape(len(batch), len(NAMES))
         return [pa.array(x[:, k]) for k in range(len(NAMES))]
 
-    return map_texts(df, keys, text, of, ", ".join(f"_q_{n} double" for n in NAMES))
+    rows = df.select(F.struct(*(quoted(k) for k in keys)).alias("row"), quoted(text).alias("text"))
+    return map_texts(rows, ["row"], "text", of, ", ".join(f"{n} double" for n in NAMES))
 
 
 @dataclass(frozen=True)
@@ -83,7 +84,7 @@ class Condition:
     at: float
 
     def column(self) -> Column:
-        x = F.col(f"_q_{self.name}")
+        x = F.col(self.name)
         return x > self.at if self.above else x <= self.at
 
     def holds(self, x: np.ndarray) -> np.ndarray:
@@ -177,7 +178,6 @@ def learn(x: np.ndarray, y: np.ndarray) -> Model:
         m = np.logical_and.reduce([c.holds(x) for c in q])
         if 0.002 < m.mean() < 0.998:
             kept.setdefault(np.packbits(m).tobytes(), (q, m))
-    kept = dict(list(kept.items())[:RULES])
     if not kept:
         return Model(float(np.log(y.mean() / (1 - y.mean()))), [])
     r = np.stack([m for _, m in kept.values()], 1).astype(np.float64)
@@ -198,13 +198,13 @@ def learn(x: np.ndarray, y: np.ndarray) -> Model:
 
 def fit(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", parts: int = 5, held: int = 0, sample: int = SAMPLE) -> Model:
     """Learns from rows of df with a label whose crc32(id) mod parts is not `held`."""
-    chosen = labelled(labels, label, id, parts, held, sample).select(F.col("id").alias("_id"), F.col("y").alias("_y"))
-    some = df.select(id, text).join(F.broadcast(chosen), F.col(id) == F.col("_id"))  # at most `sample` ids
-    rows = measure(some, ["_y"], text).toArrow()
+    chosen = labelled(labels, label, id, parts, held, sample).select(F.col("id"), F.col("y"))
+    some = df.select(quoted(id).alias("id"), quoted(text).alias("text")).join(F.broadcast(chosen), "id")  # at most `sample` ids
+    rows = measure(some, ["y"]).select("row.y", *NAMES).toArrow()
     if not rows.num_rows:
         return learn(np.zeros((0, len(NAMES))), np.zeros(0))
-    x = np.stack([rows.column(f"_q_{n}").to_numpy() for n in NAMES], 1)
-    y = rows.column("_y").to_numpy().astype(float)
+    x = np.stack([rows.column(n).to_numpy() for n in NAMES], 1)
+    y = rows.column("y").to_numpy().astype(float)
     order = np.lexsort([*x.T, y])
     mixed = order[np.random.default_rng(3).permutation(len(order))]
     return learn(x[mixed], y[mixed])
@@ -212,9 +212,9 @@ def fit(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text"
 
 def score(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id and score (0 to 1) of every row; null and empty texts have all statistics zero."""
-    return measure(df, [id], text).select(id, model.score().alias("score"))
+    return measure(df, [id], text).select("row.*", model.score().alias("score"))
 
 
 def accept(df: DataFrame, model: Model, at: float, text: str = "text") -> DataFrame:
-    """The rows of df that score `at` or more, with all their columns; no shuffle."""
-    return measure(df, df.columns, text).where(model.score() >= at).select(*df.columns)
+    """The rows of df that score `at` or more, with all their columns, whatever those are named; no shuffle."""
+    return measure(df, df.columns, text).where(model.score() >= at).select("row.*")

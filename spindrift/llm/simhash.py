@@ -10,7 +10,9 @@ distinct fingerprints.
 Equal fingerprints are one node from the start. In a bucket, nodes are joined to spanning stars,
 never listed as pairs. A bucket of more than `bucket` nodes is not compared at all: its nodes
 are linked through the codes within half the radius of them, an exact way too (two codes at most
-`radius` apart have one in common), in which no code can gather more than its own ball.
+`radius` apart have one in common), in which no code can gather more than its own ball. At an odd
+radius a code has an inner and an outer ball, and two nodes of the outer one are linked only
+through a node of the inner one.
 """
 
 from __future__ import annotations
@@ -24,12 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm import sieve
-from spindrift.llm.columns import map_texts
+from spindrift.llm import sieve, skew
+from spindrift.llm.columns import map_texts, packed, quoted
 from spindrift.llm.graph import components
 from spindrift.runtime import cut_lineage, map_arrow
 
-BITS, WIDTH, SEED, RADIUS, BUCKET, SALTS = 64, 4, 42, 4, 4096, 16
+BITS, WIDTH, SEED, RADIUS, BUCKET = 64, 4, 42, 4, 4096
 BLOCK = 1 << 16
 SPACES = re.compile(rb"[\x20\x09-\x0d]+")
 
@@ -59,13 +61,14 @@ def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
     return int(np.packbits(ones * 2 > len(starts), bitorder="little").view("<u8")[0])
 
 
+def _codes(batch: list[bytes | None], width: int) -> pa.Array:
+    return pa.array(np.array([fingerprint(t, width) for t in batch], np.uint64).view(np.int64))
+
+
 def fingerprints(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """id and fp (the 64 bits as a long) for every row; a null text has no words."""
 
-    def of(batch):
-        return [pa.array(np.array([fingerprint(t, width) for t in batch], np.uint64).view(np.int64))]
-
-    return map_texts(df, [id], text, of, "fp bigint")
+    return map_texts(df, [id], text, lambda batch: [_codes(batch, width)], "fp bigint")
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -137,32 +140,39 @@ def _walk(radius: int, bucket: int):
 
 
 def _balls(batches):
-    """Links neighbours in rows sorted by (code, fp), where fp is within half the radius of code."""
-    last = None
+    """Links rows sorted by (code, outer, fp) to the first of their code, where that is an inner one."""
+    last = None  # (code, hub) of the code that may go on
     for batch in batches:
-        code, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if last is not None:
-            code, fp = np.r_[last[0], code], np.r_[last[1], fp]
-        same = (code[1:] == code[:-1]) & (fp[1:] != fp[:-1])
-        pairs = np.unique(np.stack([fp[1:][same], fp[:-1][same]], 1), axis=0)
-        last = code[-1], fp[-1]
+        code, outer, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        head = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        hub, inner = fp[head], outer[head] == 0
+        if last is not None and last[0] == code[0]:
+            inner = np.r_[last[1] is not None, inner[1:]]
+            hub = hub if last[1] is None else np.r_[last[1], hub[1:]]
+        size = np.diff(np.r_[head, len(code)])
+        a, b, ok = fp, np.repeat(hub, size), np.repeat(inner, size)
+        pairs = np.unique(np.stack([a, b], 1)[ok & (a != b)], axis=0)
+        last = code[-1], hub[-1] if inner[-1] else None
         if len(pairs):
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def edges(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints fp that connect all pairs within the radius, 4 at most."""
+    """Edges (a, b) between distinct fingerprints fp that connect all pairs within the radius."""
     table = F.array(*(F.struct(F.lit(i).cast("byte").alias("t"), F.lit(signed(m)).alias("m")) for i, m in enumerate(masks(radius))))
     rows = fps.select("fp", F.explode(table).alias("x")).select("x.t", F.col("fp").bitwiseAND(F.col("x.m")).alias("key"), "fp")
     rows = rows.repartition("t", "key").sortWithinPartitions("t", "key", "fp")
     found = cut_lineage(map_arrow(rows, _walk(radius, bucket), "a bigint, b bigint").distinct())
     hot = found.where("b is null").select(F.col("a").alias("fp")).distinct()
-    reach = [sum(1 << i for i in c) for k in range(radius // 2 + radius % 2 + 1) for c in combinations(range(BITS), k)]
-    around = F.array(*(F.lit(signed(m)) for m in reach)) if len(reach) < 4096 else None
-    if around is None:
-        raise ValueError("radius above 4 is not supported for oversized buckets")
-    codes = hot.select("fp", F.explode(around).alias("m")).select(F.col("fp").bitwiseXOR(F.col("m")).alias("code"), "fp")
-    linked = map_arrow(codes.repartition("code").sortWithinPartitions("code", "fp"), _balls, "a bigint, b bigint")
+    if radius > 4:
+        if not hot.isEmpty():
+            raise ValueError("radius above 4 is not supported for oversized buckets")
+        return found.where("b is not null")
+    # two codes at most `radius` apart have one that is within half of it of one of them and within the rest of the other
+    reach = [(int(k > radius // 2), sum(1 << i for i in c)) for k in range((radius + 1) // 2 + 1) for c in combinations(range(BITS), k)]
+    around = F.array(*(F.struct(F.lit(o).cast("byte").alias("outer"), F.lit(signed(m)).alias("m")) for o, m in reach))
+    codes = hot.select("fp", F.explode(around).alias("x")).select(F.col("fp").bitwiseXOR(F.col("x.m")).alias("code"), "x.outer", "fp")
+    linked = map_arrow(codes.repartition("code").sortWithinPartitions("code", "outer", "fp"), _balls, "a bigint, b bigint")
     return found.where("b is not null").unionByName(linked)
 
 
@@ -174,29 +184,34 @@ def link(df: DataFrame, id: str = "doc_id", text: str = "text", width: int = WID
     their own and join a component without naming it. An empty table gives an empty result.
     """
     fp = cut_lineage(fingerprints(df, id, text, width))
-    nodes = fp.groupBy("fp").agg(F.min(id).alias("node"))
-    roots = components(edges(nodes.select("fp"), radius, bucket), "a", "b")
+    n = fp.count()
+    nodes = cut_lineage(fp.groupBy("fp").agg(F.min(id).alias("_node")))
+    roots = components(edges(nodes.select("fp"), radius, bucket), "a", "b").withColumnRenamed("node", "fp")
     # the smallest fingerprint names a part; the smallest id of all its members names the component
-    linked = nodes.join(roots, F.col("fp") == roots["node"]).select("fp", nodes["node"], "root")
-    name = linked.groupBy("root").agg(F.min("node").alias("component_id"))
-    # a part may be large: its members find its name under one of SALTS keys
-    name = name.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    members = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
-    alone = nodes.join(roots, F.col("fp") == roots["node"], "left_anti").select(F.col("fp").alias("_fp"), F.col("node").alias("component_id"))
-    named = members.join(name, ["root", "salt"]).select(F.col("fp").alias("_fp"), "component_id").unionByName(alone)
-    return fp.join(named, F.col("fp") == F.col("_fp")).select(id, "fp", "component_id")
+    linked = cut_lineage(nodes.join(roots, "fp", "left").select("fp", "_node", F.coalesce("root", "fp").alias("root")))
+    name = linked.groupBy("root").agg(F.min("_node").alias("component_id"))
+    named = skew.lookup(linked.select("fp", "root"), name, "root", linked.count()).select("fp", "component_id")
+    return skew.lookup(fp, named, "fp", n).select(id, "fp", "component_id")
 
 
 def representatives(df: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of df whose id names their component: one document of each group, with all columns.
+    """The rows of df whose id names their component: one document of each group, with all columns, whatever those are named.
 
-    Of rows that repeat that id one stays; a row without id stays always.
+    Rows go by id and fingerprint: of two texts under one id only that may go which has a smaller
+    id in its own component. Of rows that repeat an id and fingerprint one stays; a row without id
+    stays always.
     """
-    named = df.where(F.col(id).isNotNull())
-    linked = link(named, id, text, **options)
-    lost = cut_lineage(linked.groupBy(id).agg(F.min("component_id").alias("c")).where(F.col("c") < F.col(id)).select(id))
-    kept = sieve.without(df, lost, id)
-    again = cut_lineage(named.groupBy(id).count().where("count > 1").select(id))
+    ids = df.select(quoted(id).alias("id"), quoted(text).alias("text")).where("id is not null")
+    linked = cut_lineage(link(ids, "id", "text", **options))
+    stays = F.col("component_id") == F.col("id")
+    by_id = cut_lineage(linked.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max(stays).alias("some")))
+    kept = sieve.without(df, by_id.where("not some").select("id"), id)
+    again = by_id.where("some and n > 1").select("id")
     if again.isEmpty():
         return kept
-    return sieve.without(kept, again, id).unionByName(sieve.among(kept, again, id).dropDuplicates([id]))
+    rows = sieve.among(kept, again, id)
+    rows = rows.select(packed(rows).alias("row"), quoted(id).alias("id"), quoted(text).alias("text"))
+    rows = map_texts(rows, ["row", "id"], "text", lambda batch: [_codes(batch, options.get("width", WIDTH))], "fp bigint")
+    good = linked.join(again, "id", "left_semi").where(stays).select("id", "fp").distinct()
+    chosen = rows.join(good, ["id", "fp"], "left_semi").groupBy("id", "fp").agg(F.first("row").alias("row")).select("row.*")
+    return sieve.without(kept, again, id).unionByName(chosen)

@@ -10,8 +10,10 @@ covers: over the whole text, over its strongest passage and over its strongest w
 curve, fit on labelled texts that the counts have not seen, turns them into a probability.
 
 The class counts come from at most `sample` labelled rows, taken by a hash of the id; the shared
-counts from all texts. Tables have BUCKETS hashed entries at any size of the corpus, which bounds
-what is collected and broadcast.
+counts from all texts, exactly, n-gram by n-gram. Where neither class has seen a context, both
+models back off alike and the ratio is 0, so of the shared counts only those matter whose context
+ends a context of the labelled rows. These are picked by a join and collected: at most 256 for each
+context that the bounded sample has, whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -24,17 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm import wordhash
-from spindrift.llm.columns import map_texts, texts
+from spindrift.llm.columns import map_texts, quoted, texts
 from spindrift.runtime import cut_lineage, map_arrow
 
-ORDER, BUCKETS, SAMPLE, FIT_SHARE, DISCOUNT, PASSAGE = 5, 1 << 19, 60_000, 5, 0.75, 12
+ORDER, SAMPLE, FIT_SHARE, DISCOUNT, PASSAGE = 5, 60_000, 5, 0.75, 12
 SHARED = 2  # the number of the class whose counts are shared
 
 
-def bucket(keys: np.ndarray) -> np.ndarray:
-    return (wordhash.mix(keys) & np.uint64(BUCKETS - 1)).astype(np.int64)
-
-
 def crc_split(id: Column, parts: int) -> Column:
     """The remainder that decides which rows are held out."""
     return F.pmod(F.crc32(id.cast("string")), F.lit(parts))
@@ -63,35 +61,54 @@ def _count(batches, chosen: dict):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), pa.array(part.view(np.int64)), pa.array(n[i : i + (1 << 16)])], names=["c", "g", "n"])
 
 
+class Table:
+    """Sums by key; 0 for any other key."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, back = np.unique(keys, return_inverse=True)
+        self.values = np.bincount(back, values, len(self.keys)).astype(np.float64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], 0.0)
+
+
+class Level:
+    """Counts of grams, and the totals and numbers of followers of their contexts (all bytes but the last)."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+        self.grams = Table(grams, counts)
+        contexts = self.grams.keys >> np.uint64(8)
+        self.totals, self.followers = Table(contexts, self.grams.values), Table(contexts, np.ones(len(contexts)))
+
+    def smooth(self, keys: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """Kneser-Ney probabilities of the grams' last bytes; `lower` are those of the shorter grams."""
+        context = keys >> np.uint64(8)
+        total = self.totals.get(context)
+        share = np.maximum(self.grams.get(keys) - DISCOUNT, 0) + DISCOUNT * self.followers.get(context) * lower
+        return np.where(total > 0, share / np.maximum(total, 1), lower)
+
+
 @dataclass
 class Model:
-    """Tables over BUCKETS hashed entries; weights of the calibration."""
-
-    top: np.ndarray  # [class] counts of grams
-    ctx: np.ndarray  # [class] totals of contexts
-    kinds: np.ndarray  # [class] distinct followers of contexts
-    cont: np.ndarray  # [order - 2 .. 0] continuation counts of shorter grams, then their contexts' sums and followers
-    cont_ctx: np.ndarray
-    cont_kinds: np.ndarray
-    weights: np.ndarray
+    classes: list[Level]  # counts of ORDER-grams: ordinary, toxic
+    shared: list[Level]  # continuation counts of (ORDER - 1)-grams down to single bytes
+    weights: np.ndarray  # of the calibration, the constant first
 
     def ratios(self, keys: np.ndarray) -> np.ndarray:
         """log P(toxic) - log P(ordinary) of each gram's last byte."""
-        p = np.full(len(keys), 1 / 256)
-        for k in range(ORDER - 2, -1, -1):  # from the shortest gram up
-            n = ORDER - 1 - k
-            g = keys & np.uint64((1 << (8 * n)) - 1)
-            c = bucket(g >> np.uint64(8)) if n > 1 else np.zeros(len(g), np.int64)
-            total = self.cont_ctx[k][c]
-            share = np.maximum(self.cont[k][bucket(g)] - DISCOUNT, 0) + DISCOUNT * self.cont_kinds[k][c] * p
-            p = np.where(total > 0, np.minimum(share / np.maximum(total, 1), 1), p)
-        g, c = bucket(keys), bucket(keys >> np.uint64(8))
-        out = []
-        for k in range(2):
-            total = self.ctx[k][c]
-            share = np.maximum(self.top[k][g] - DISCOUNT, 0) + DISCOUNT * self.kinds[k][c] * p
-            out.append(np.where(total > 0, np.minimum(share / np.maximum(total, 1), 1), p))
-        return np.log(np.maximum(out[1], 1e-12)) - np.log(np.maximum(out[0], 1e-12))
+        every, back = np.unique(keys, return_inverse=True)
+        out = np.zeros(len(every))
+        known = (self.classes[0].totals.get(every >> np.uint64(8)) + self.classes[1].totals.get(every >> np.uint64(8))) > 0
+        some = every[known]
+        p = np.full(len(some), 1 / 256)
+        for k in range(len(self.shared) - 1, -1, -1):  # from single bytes up
+            p = self.shared[k].smooth(some & np.uint64((1 << (8 * (ORDER - 1 - k))) - 1), p)
+        own = [np.log(np.maximum(c.smooth(some, p), 1e-12)) for c in self.classes]
+        out[known] = own[1] - own[0]
+        return out[back]
 
     def features(self, batch: list[bytes | None]) -> np.ndarray:
         """[text, 6]: ratio a byte over all, of the best passage, the best word, the best three, and the square root of the words."""
@@ -165,44 +182,27 @@ def fit(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text"
     chosen = {r.id: int(r.y) for r in rows if not r.fit}
     rest = {r.id: int(r.y) for r in rows if r.fit}
     sent = df.sparkSession.sparkContext.broadcast(chosen)
-    counted = map_arrow(df.select(id, text), lambda batches: _count(batches, sent.value), "c int, g bigint, n bigint")
+    rows_ = df.select(quoted(id).alias("id"), quoted(text).alias("text"))
+    counted = map_arrow(rows_, lambda batches: _count(batches, sent.value), "c int, g bigint, n bigint")
     grams = cut_lineage(counted.groupBy("c", "g").agg(F.sum("n").alias("n")))  # read many times below
+    g = F.col("g")
 
-    def entry(kind: int, key: Column, rows: DataFrame, value: Column, *by: str) -> DataFrame:
-        return rows.select(F.lit(kind).alias("t"), *(by or (F.lit(0).alias("c"),)), key.alias("k"), value.cast("double").alias("v"))
+    def level(rows: DataFrame) -> Level:
+        got = rows.toArrow()
+        return Level(got.column("g").to_numpy().view(np.uint64), got.column("n").to_numpy().astype(float))
 
-    g = F.col("g")
-    parts_ = [
-        entry(0, g, grams.where(f"c < {SHARED}"), F.col("n"), "c"),
-        entry(1, F.shiftrightunsigned(g, 8), grams.where(f"c < {SHARED}"), F.col("n"), "c"),
-        entry(2, F.shiftrightunsigned(g, 8), grams.where(f"c < {SHARED}"), F.lit(1), "c"),
-    ]
-    longer = grams.where(f"c = {SHARED}").select("g")
+    own = [level(grams.where(F.col("c") == c).select("g", "n")) for c in range(SHARED)]  # of the bounded sample
+    seen = grams.where(F.col("c") < SHARED).select(F.shiftrightunsigned(g, 8).alias("context"))
+    longer, shared = grams.where(F.col("c") == SHARED).select("g"), []
     for k in range(ORDER - 1):
-        n = ORDER - 1 - k
-        short = longer.groupBy(g.bitwiseAND(F.lit((1 << (8 * n)) - 1)).alias("g")).agg(F.count(F.lit(1)).alias("n"))
-        c = F.lit(k).alias("c")
-        parts_ += [x.withColumn("c", c) for x in (entry(3, g, short, F.col("n")), entry(4, F.shiftrightunsigned(g, 8), short, F.col("n")), entry(5, F.shiftrightunsigned(g, 8), short, F.lit(1)))]
+        size = 8 * (ORDER - 1 - k)
+        short = cut_lineage(longer.groupBy(g.bitwiseAND(F.lit((1 << size) - 1)).alias("g")).agg(F.count(F.lit(1)).alias("n")))
+        ends = seen.select(F.col("context").bitwiseAND(F.lit((1 << (size - 8)) - 1)).alias("context")).distinct()
+        some = short.withColumn("context", F.shiftrightunsigned(g, 8)).join(ends, "context", "left_semi").select("g", "n")
+        shared.append(level(some))  # at most 256 for a context of the sample
         longer = short.select("g")
-    every = parts_[0]
-    for p in parts_[1:]:
-        every = every.unionByName(p)
-
-    def hashed(batches):
-        for b in batches:
-            k = bucket(b.column(2).to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(k.astype(np.int32)), b.column(3)], names=["t", "c", "b", "v"])
-
-    table = map_arrow(every, hashed, "t int, c int, b int, v double").groupBy("t", "c", "b").agg(F.sum("v").cast("float").alias("v")).toArrow()
-    arrays = [np.zeros((2 if t < 3 else ORDER - 1, BUCKETS), np.float32) for t in range(6)]
-    t, c, b, v = (table.column(x).to_numpy() for x in ("t", "c", "b", "v"))
-    for k in range(6):
-        m = t == k
-        arrays[k][c[m], b[m]] = v[m]
-    for k in (4, 5):  # the shortest gram's context is empty: one sum for all
-        arrays[k][ORDER - 2] = arrays[k][ORDER - 2].sum()
-    model = Model(*arrays, np.zeros(7))
-    model.weights = calibrate(df, model, rest, id, text)
+    model = Model(own, shared, np.zeros(7))
+    model.weights = calibrate(rows_, model, rest, "id", "text")
     return model
 
 

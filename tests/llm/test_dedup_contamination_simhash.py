@@ -63,9 +63,61 @@ def test_exact_dedup_matches_brute_force(spark):
 def test_sieve_is_exact(spark):
     df = spark.range(3000).select(F.col("id").cast("string").alias("k"), F.col("id").alias("_digest")).unionByName(spark.createDataFrame([(None, 1)], "k string, _digest bigint"))
     keys = df.where("_digest % 7 = 0").select("k")
-    assert {r.k for r in sieve.among(df, keys, "k", 1 << 16).collect()} == {str(i) for i in range(0, 3000, 7)}
-    assert sieve.without(df, keys, "k", 1 << 16).count() == 3001 - len(range(0, 3000, 7))
-    assert sieve.marked(df, keys, "k", 1 << 20).where("_may").count() < 600
+    assert {r.k for r in sieve.among(df, keys, "k", bits=1 << 16).collect()} == {str(i) for i in range(0, 3000, 7)}
+    assert sieve.without(df, keys, "k", bits=1 << 16).count() == 3001 - len(range(0, 3000, 7))
+    assert sieve.marked(df, keys, "k").where("may").count() < 600
+    assert sieve.bits_for(0) == sieve.LEAST and sieve.bits_for(10**12) == sieve.MOST and sieve.bits_for(10**6) >= 16 * 10**6
+
+
+NAMES = "row key may page byte low bit map k0 _page _byte _low _may _digest _salt _content _q_n_words n_words fp root node component_id id kept n u v a.b x`y".split()
+
+
+def test_no_column_name_clashes(spark):
+    """Whatever the caller's columns are named, they come back as they were."""
+    from spindrift.llm import quality
+
+    rows = [(1, "same text"), (2, "Same text"), (3, "another one here"), (4, "another one here"), (5, None)]
+    df = spark.createDataFrame([(i, t, *(f"{n}{i}" for n in NAMES)) for i, t in rows], ["doc_id", "text", *NAMES])
+    keys = spark.createDataFrame([(1,), (4,)], "x bigint")
+    model = quality.Model(0.0, [((quality.Condition("n_words", True, 2.0),), 3.0)])
+    item = spark.createDataFrame([("i", "another one here")], "item_id string, text string")
+    for got, ids in (
+        (sieve.without(df, keys, "doc_id"), [2, 3, 5]),
+        (sieve.among(df, keys, "doc_id"), [1, 4]),
+        (sieve.maybe(df, keys, "doc_id"), [1, 4]),
+        (sieve.once(df.unionByName(df), df.select("doc_id"), "doc_id"), [1, 2, 3, 4, 5]),
+        (exact_dedup.deduplicate(df.unionByName(df)), [2, 4, 5]),
+        (simhash.representatives(df.unionByName(df)), [1, 3, 5]),
+        (quality.accept(df, model, 0.9), [3, 4]),
+        (decontaminate.clean(df, item), [1, 2, 5]),
+    ):
+        assert got.columns == df.columns
+        assert sorted(map(tuple, got.collect()), key=str) == sorted((tuple(r) for r in df.collect() if r.doc_id in ids), key=str)
+
+
+def test_one_id_on_two_texts(spark):
+    rows = [(5, "a"), (5, "b"), (9, "B"), (6, "a")]
+    assert sorted(tuple(r)[:2] for r in exact_dedup.deduplicate(docs(spark, rows)).collect()) == [(6, "a"), (9, "B")]
+    rows = [(9, "a"), (9, "b"), (5, "a"), (10, "b"), (10, "c")]
+    assert sorted(tuple(r)[:2] for r in exact_dedup.deduplicate(docs(spark, rows)).collect()) == [(9, "a"), (10, "b"), (10, "c")]
+    one, two = "red green blue " * 9, "quite another text of other words " * 5
+    rows = [(5, one), (5, two), (3, two), (9, one), (5, two)]
+    kept = simhash.representatives(docs(spark, rows))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(3, two), (5, one)]
+
+
+def test_hub_nodes_and_hot_keys(spark, monkeypatch):
+    from spindrift.llm import skew
+
+    monkeypatch.setattr(skew, "LEAST", 3)
+    rng = random.Random(4)
+    edges = [(1000, i) for i in range(200)] + [(2000 + i, 1000 + i) for i in range(50)] + [(rng.randrange(3000, 3100), rng.randrange(3000, 3100)) for _ in range(80)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    ok = [(a, b) for a, b in edges if a != b]
+    assert got == brute_components({x for e in ok for x in e}, ok)
+    rows = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 0), (None, 1), (3, 1)], "k int, v int")
+    table = spark.createDataFrame([(1, "a"), (2, "b"), (7, "c")], "k int, w string")
+    assert sorted((r.k, r.v, r.w) for r in skew.lookup(rows, table, "k", 53).collect()) == sorted([(1, i, "a") for i in range(50)] + [(2, 0, "b")])
 
 
 def test_exact_dedup_keeps_columns_and_one_of_repeats(spark):
@@ -108,21 +160,26 @@ def test_decontamination_matches_brute_force(spark, limit):
         assert len(cut) == r.n_hit
 
 
-def test_blocks_cross_windows():
-    import ahocorasick
+def test_blocks_cross_windows(monkeypatch):
+    tree = decontaminate.Automaton([("i", b"x y x"), ("j", b"y z z z z"), ("k", b"q")], 3)
+    text = b"x y x " * 40 + b"z " * 9 + b"x y x q y z z z z z q"
+    whole = decontaminate.scan(text, tree)
+    assert whole[2] == {"i", "j", "k"}
+    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (5,))
+    assert decontaminate.scan(text, tree) == whole
+
 
-    vocabulary = {b"x": 1, b"y": 2}
-    tree = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    tree.add_word((1, 2, 1), (3, ("i",)))
-    tree.make_automaton()
-    text = b"x y x " * 40 + b"z " * 9 + b"x y x"
-    whole = decontaminate.scan(text, vocabulary, tree, 3)
-    old = decontaminate.blocks.__defaults__
-    try:
-        decontaminate.blocks.__defaults__ = (5,)
-        assert decontaminate.scan(text, vocabulary, tree, 3) == whole
-    finally:
-        decontaminate.blocks.__defaults__ = old
+@pytest.mark.parametrize("width", [1, 2, 3, 7, 10])
+def test_block_automaton_matches_brute_force(width):
+    rng = random.Random(width)
+    for _ in range(150):
+        words = "abc"[: rng.randint(1, 3)]
+        item = lambda n: " ".join(rng.choice(words) for _ in range(n))
+        items = [(str(i), item(rng.randint(0, 25))) for i in range(4)]
+        rows = [(0, item(rng.randint(0, 60)) + rng.choice(["", " " + items[0][1]]))]
+        tree = decontaminate.Automaton([(i, t.encode()) for i, t in items], width)
+        n, spans, names = decontaminate.scan(rows[0][1].encode(), tree)
+        assert (n, sum(b - a for a, b in spans), sorted(names)) == brute_hits(rows, items, width)[0]
 
 
 def test_clean_without_items_keeps_all(spark):
@@ -154,6 +211,23 @@ def test_simhash_matches_brute_force(spark, bucket):
     assert {r.doc_id for r in kept.collect()} == set(want.values()) and kept.columns == ["doc_id", "text", "_digest", "node", "u"]
 
 
+@pytest.mark.parametrize("radius", [1, 2, 3])
+@pytest.mark.parametrize("bucket", [4096, 3])
+def test_edges_at_other_radii(spark, radius, bucket):
+    rng = random.Random(radius)
+    codes = {rng.getrandbits(64) for _ in range(4)}
+    for _ in range(120):
+        x = rng.choice(sorted(codes))
+        for _ in range(rng.randint(1, radius + 2)):
+            x ^= 1 << rng.randrange(64)
+        codes.add(x)
+    codes = [simhash.signed(x) for x in sorted(codes)]
+    got = simhash.edges(spark.createDataFrame([(x,) for x in codes], "fp long"), radius, bucket).collect()
+    distance = lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count()
+    near = [(a, b) for a in codes for b in codes if a < b and distance(a, b) <= radius]
+    assert brute_components(codes, [(r.a, r.b) for r in got]) == brute_components(codes, near)
+
+
 def test_simhash_of_nothing_and_of_null_ids(spark):
     assert simhash.link(docs(spark, [])).count() == 0
     assert simhash.representatives(docs(spark, [(None, "a b"), (1, "a b"), (1, "a b"), (2, "a b")])).count() == 2

@@ -69,6 +69,106 @@ def test_toxic_words_raise_the_score(spark):
     assert toxicity.score(docs(spark, [(1, "a", None)]), none).count() == 1
 
 
+def plain_kneser_ney(counts, shared, gram):
+    """P(last byte of gram) from counts of a class and the corpus's distinct grams, by dictionaries."""
+
+    def p(g):  # shared continuation models; g: bytes of 4, 3, 2 or 1
+        if not g:
+            return 1 / 256
+        row = {x[-1:]: n for x, n in shared[len(g)].items() if x[:-1] == g[:-1]}
+        total = sum(row.values())
+        return (max(row.get(g[-1:], 0) - 0.75, 0) + 0.75 * len(row) * p(g[1:])) / total if total else p(g[1:])
+
+    row = {x[-1:]: n for x, n in counts.items() if x[:-1] == gram[:-1]}
+    total = sum(row.values())
+    lower = p(gram[1:])
+    return (max(row.get(gram[-1:], 0) - 0.75, 0) + 0.75 * len(row) * lower) / total if total else lower
+
+
+def test_ratios_match_plain_kneser_ney(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, ["ab", "ba", "c", "é", "dab"], 12), None) for i in range(60)]
+    labels = [(i, i % 2) for i in range(40)]
+    df = docs(spark, rows)
+    model = toxicity.fit(df, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    chosen = toxicity.labelled(spark.createDataFrame(labels, "doc_id bigint, toxic int"), "toxic", "doc_id", 3, 1, 1000)
+    used = {r.id: r.y for r in chosen.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(toxicity.FIT_SHARE)) != 0).collect()}
+    counts, every = [Counter(), Counter()], set()
+    for i, t, _ in rows:
+        for w in split_words(t.encode()):
+            padded = b"    " + w + b" "
+            for k in range(len(w) + 1):
+                every.add(padded[k : k + 5])
+                if i in used:
+                    counts[used[i]][padded[k : k + 5]] += 1
+    shared, longer = {}, every
+    for n in (4, 3, 2, 1):
+        shared[n] = Counter(x[1:] for x in longer)
+        longer = set(shared[n])
+    grams = sorted(every) + [b"  zzz", b"abzab", b"    z", b" abaz"]
+    got = model.ratios(np.array([int.from_bytes(x, "big") for x in grams], np.uint64))
+    want = [np.log(plain_kneser_ney(counts[1], shared, x)) - np.log(plain_kneser_ney(counts[0], shared, x)) for x in grams]
+    assert np.allclose(got, want)
+
+
+def test_mixtures_match_plain_inference(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, TONGUES[g], 30), g) for i, g in enumerate(["aa", "bb", "cc"] * 30)]
+    rows += [(200 + k, " ".join(prose(rng, TONGUES[g], n) for g, n in zip(("aa", "bb", "cc"), sizes, strict=True)), None) for k, sizes in enumerate([(90, 0, 30), (40, 40, 40), (5, 0, 0), (1, 1, 1)])]
+    df = docs(spark, rows)
+    model = language.fit(df, F.lit(True))
+    counts, total = {g: Counter() for g in TONGUES}, Counter()
+
+    def grams(w):
+        padded = b"   " + w + b" "
+        return [padded[k : k + 4] for k in range(len(w) + 1)]
+
+    for _, t, g in rows:
+        if g:
+            for w in split_words(t.encode()):
+                counts[g].update(grams(w))
+    for c in counts.values():
+        total += c
+    n = sum(total.values())
+    probability = lambda x, g: (counts[g][x] + (weight := 2 * np.sqrt(sum(counts[g].values()) + 1)) * (total[x] + 0.01) / (n + 0.01 * (len(total) + 1))) / (sum(counts[g].values()) + weight)
+    names = sorted(TONGUES)
+    for i, got in enumerate(model.mixtures([t.encode() for _, t, _ in rows])):
+        words = split_words(rows[i][1].encode())
+        ll = [[sum(np.log(probability(x, g)) for x in grams(w)) for g in names] for w in words]
+
+        def climb(some, share, steps):
+            for _ in range(steps):
+                like = [[np.exp(max(r[k] - max(r), -30)) * s for k, s in zip(some, share, strict=True)] for r in ll]
+                new = [sum(r[k] / sum(r) for r in like) / len(ll) for k in range(len(some))]
+                if max(abs(a - b) for a, b in zip(new, share, strict=True)) < 1e-4:
+                    return new
+                share = new
+            return share
+
+        share = climb([0, 1, 2], [1 / 3] * 3, language.STEPS)
+        order, best, found = sorted(range(3), key=lambda k: -share[k]), -np.inf, None
+        for k in (1, 2, 3):
+            some = order[:k]
+            part = climb(some, [share[x] / sum(share[y] for y in some) for x in some], 4) if k > 1 else [1.0]
+            value = sum(np.log(max(sum(np.exp(max(r[x] - max(r), -30)) * p for x, p in zip(some, part, strict=True)), 1e-30)) for r in ll) - language.PENALTY * k * np.log(len(ll) + 1)
+            if value <= best:
+                break
+            best, found = value, dict(zip(some, part, strict=True))
+        assert np.allclose(got, [found.get(k, 0.0) for k in range(3)], atol=2e-3), (i, got, found)
+    small = language.fit(df, F.lit(True), entries=90)  # 30 rows for three languages
+    assert len(small.grams) == 30 and small.table.shape == (31, 3)
+
+
+def test_many_languages_in_one_text(spark):
+    rng = random.Random(10)
+    tongues = {f"l{k}": [c + v for c in "bdfgklmnprstvz"[2 * k : 2 * k + 2] for v in "aeiou"] for k in range(7)}
+    rows = [(i, prose(rng, tongues[g], 80), g) for i, g in enumerate(sorted(tongues) * 20)]
+    df = docs(spark, [*rows, (900, " ".join(prose(rng, p, 60) for p in tongues.values()), None)])
+    got = {r.doc_id: r for r in language.predict(df, language.fit(df, F.lit(True))).collect()}
+    assert set(got[900].shares) == set(tongues)
+    assert all(got[i].lang_pred == g for i, _, g in rows)
+
+
 def test_languages_and_mixtures(spark):
     rng = random.Random(3)
     rows = [(i, prose(rng, TONGUES[g], 80), g) for i, g in enumerate(["aa", "bb", "cc"] * 60)]
