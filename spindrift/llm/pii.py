@@ -7,9 +7,9 @@ characters that overlap by half. Each window is decoded by itself; a span that a
 is left to its neighbour, and what all windows of a text propose is reconciled globally: the set
 of disjoint spans of the greatest total score, base spans first.
 
-Every span that is kept has a digit, an at sign or the word at, so windows are laid where those are
-(with MARGIN characters, half a window, on both sides, which holds all that windows over the whole
-text are sure to hold); windows elsewhere could only propose spans that are dropped.
+Windows lie on a grid over the whole text. A span is kept only if its letters can be what it is said
+to be (plausible), which takes a digit, an at sign or a spelt-out address within it; so windows that
+hold none of these are not decoded, as whatever they proposed would be dropped.
 """
 
 from __future__ import annotations
@@ -27,18 +27,21 @@ from spindrift.llm.columns import map_texts
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + len(KINDS)  # 0: none
-WINDOW, MARGIN, HIDDEN, EMBED = 96, 48, 16, 10
+WINDOW, HIDDEN, EMBED = 96, 24, 10
 SLICE = 2048  # windows decoded at once
+LEAST = 1.0  # mean margin over none that a span must have
 #: The base patterns.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++){3,}+")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9]){15,}+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: The words of a spelt-out address, whatever is around them.
 _AT, _DOT = (rf"(?<![^\W_]){x}(?![^\W_])" for x in ("at", "dot"))
-_MARK = re.compile(rf"[0-9@]|{_AT}", re.IGNORECASE)
-_SPELT = re.compile(rf"[^\W_][\W_]*{_AT}[\W_]*[^\W_].*?(?:{_DOT}|\.)[\W_]*[^\W_]", re.IGNORECASE | re.DOTALL)
+#: A name, at, a host, and dot or a point that is joined to what follows or stands apart on both sides.
+_SPELT = re.compile(rf"[^\W_][\W_]*{_AT}[\W_]*[^\W_][\w\x20-]{{0,40}}?(?:[\W_]{{0,4}}{_DOT}[\W_]*|\.|[\W_]\.[\W_]?)[^\W_]", re.IGNORECASE)
+_MARK = re.compile(r"[0-9@]")
+_SPELT_AT = re.compile(_AT, re.IGNORECASE)
 _DIGITS = re.compile(r"[0-9]")
 #: Spelt out beyond doubt: at and dot are both words, or at stands in brackets.
 _SURE = re.compile(rf"{_AT}[\W_]*[^\W_][\w.-]*[\W_]*{_DOT}[\W_]*[^\W_]|[\[({{<]\s*{_AT}\s*[\])}}>]\s*[\w-]+\.[^\W_]", re.IGNORECASE)
@@ -216,33 +219,54 @@ def start(seed: int = 11) -> Model:
     return Model(p)
 
 
-def samples(n: int = 1500, seed: int = 5) -> list[tuple[str, list[tuple[int, int, int]]]]:
+def samples(n: int = 6000, seed: int = 5) -> list[tuple[str, list[tuple[int, int, int]]]]:
     """Texts with labelled spans (kind, start, end), written by rule: prose, data, and look-alikes that are none."""
     rng = random.Random(seed)
     d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     word = lambda: "".join(rng.choice(["th", "an", "er", "on", "re", "é", "ti", "ing", "o", "st", "le", "a", "d", "to", "at"]) for _ in range(rng.randint(1, 4)))
     name = lambda: word().replace("é", "e")
 
+    def marked(x):
+        """A word or sign that stands for at or dot, set apart in one of many ways."""
+        x = rng.choice([x, x, x.upper(), x.capitalize()])
+        left, right = rng.choice(["[]", "()", "{}", "<>", "--", "__", "**", "||"])
+        return rng.choice([f" {x} ", f" {x} ", f"{left}{x}{right}", f" {left}{x}{right} ", f" {left} {x} {right} "])
+
     def email():
-        user = rng.choice([name(), name() + "." + name(), name() + d(2), name() + "_" + name()])
-        host, top = name() + rng.choice(["", d(1)]), rng.choice(["com", "org", "net", "example.com"])
-        return rng.choice([f"{user}@{host}.{top}"] * 3 + [f"{user} @ {host}.{top}", f"{user} (at) {host} dot {top}", f"{user} at {host} dot {top}", f"{user}{rng.choice([' [at] ', '[at]', '(at)', ' AT ', '_at_'])}{host}{rng.choice([' [dot] ', '[dot]', '(dot)', ' DOT ', '_dot_'])}{top}", f"{user}{d(1)} [at] {host}.{top}", f"{user}@{host} dot {top}"])
+        user = rng.choice([name(), name() + d(2), *(name() + x + name() for x in "._-"), name() + marked("dot") + name()])
+        top = rng.choice(["com", "org", "net", "io", "de", "fr", "es", "info", "co.uk"])
+        host = rng.choice([name(), name() + d(1), name() + "-" + name(), name() + "." + name()])
+        if rng.random() < 0.4:
+            return rng.choice([f"{user}@{host}.{top}", f"{user}@{host}.{top}", f"{user} @ {host}.{top}", f"{user} @ {host} . {top}", f"{user}@{host}{marked('dot')}{top}"])
+        dot = marked("dot") if rng.random() < 0.8 else "."
+        return user + marked("at") + host.replace(".", dot) + dot + top.replace(".", dot)
 
     def ip():
-        parts = [str(rng.randint(0, 255)) for _ in range(4)]
-        return rng.choice([".".join(parts)] * 3 + ["[.]".join(parts), " . ".join(parts)])
+        parts = [str(rng.randint(0, rng.choice([9, 99, 255, 255]))) for _ in range(4)]
+        return rng.choice([".", ".", "[.]", "(.)", "{.}", " . ", "[dot]", " dot ", " [.] "]).join(parts)
 
     def card():
         x = rng.choice("3456") + d(14)
         x += next(c for c in "0123456789" if luhn(x + c))
-        return rng.choice([x, " ".join(x[i : i + 4] for i in range(0, 16, 4)), "-".join(x[i : i + 4] for i in range(0, 16, 4)), ".".join(x[i : i + 4] for i in range(0, 16, 4))])
+        return rng.choice(["", " ", "-", ".", "/", "_", " - ", ","]).join(x[i : i + 4] for i in range(0, 16, 4))
 
     def phone():
-        a, b, c = d(3), d(3), d(4)
-        return rng.choice([f"+{d(1)} ({a}) {b}-{c}", f"+{d(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{d(1)}-{a}-{b}-{c}", f"00{d(2)} {a} {b} {c}"])
+        first = rng.choice([f"({d(3)})", f"({d(2)})", d(3), d(3), d(2), "0" + d(2), "0" + d(1)])
+        ahead = rng.choice(["", "", f"+{d(1)}", f"+{d(2)}", f"00{d(2)}", f"{d(1)}", "0"])
+        sep = rng.choice([" ", " ", "-", "-", ".", "/", " - "])
+        rest = [d(k) for k in rng.choice([(3, 4), (3, 4), (4, 4), (2, 2, 2), (2, 2, 2, 2), (3, 3), (3, 2, 2), (6,), (7,)])]
+        return sep.join([x for x in (ahead, first, *rest) if x]) if rng.random() < 0.7 or not ahead else f"{ahead} {first} {sep.join(rest)}"
 
     def other():
-        return rng.choice([lambda: d(rng.randint(1, 5)), lambda: f"{d(4)}-{d(2)}-{d(2)}", lambda: f"{d(2)}:{d(2)}", lambda: f"{d(2)}.{d(2)}", lambda: f"$ {d(2)},{d(3)}.{d(2)}", lambda: f"v{d(1)}.{d(1)}.{d(1)}", lambda: word() + d(2), lambda: f"@{word()}", lambda: "".join(rng.choice("0123456789abcdef") for _ in range(18)), lambda: "AKIA" + "".join(rng.choice("ABCDEF234567XYZ") for _ in range(16)), lambda: f"{word()} dot {word()}", lambda: f"{word()} at {word()}.", lambda: f"({d(2)})", lambda: f"{d(1)} {d(2)} {d(2)}"])()
+        w = lambda: rng.choice([word(), word().capitalize()])
+        return rng.choice(
+            [
+                lambda: d(rng.randint(1, 5)), lambda: f"{d(4)}-{d(2)}-{d(2)}", lambda: f"{d(2)}/{d(2)}/{d(4)}", lambda: f"{d(2)}:{d(2)}", lambda: f"{d(2)}:{d(2)}:{d(2)}", lambda: f"{d(2)}.{d(2)}", lambda: f"{d(1)}.{d(5)}",
+                lambda: f"$ {d(2)},{d(3)}.{d(2)}", lambda: f"{d(1)},{d(3)},{d(3)}", lambda: f"v{d(1)}.{d(1)}.{d(1)}", lambda: f"{d(1)}.{d(2)}.{d(1)}", lambda: word() + d(2), lambda: f"@{word()}", lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(8, 40))),
+                lambda: "AKIA" + "".join(rng.choice("ABCDEF234567XYZ") for _ in range(16)), lambda: f"{word()} dot {word()}", lambda: f"{word()} at {word()}. {w()}", lambda: f"{w()} at {word()} {word()}. {w()} dot {word()}", lambda: f"at {d(1)}.{d(2)} {word()}", lambda: f"({d(2)})",
+                lambda: f"{d(1)} {d(2)} {d(2)}", lambda: " ".join(d(1) for _ in range(8)), lambda: f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", lambda: f"{d(4)}-{d(2)}-{d(2)} {d(2)}:{d(2)}:{d(2)}", lambda: f"{d(2)}.{d(4)} {d(1)}.{d(4)}", lambda: d(rng.randint(9, 20)), lambda: f"{d(3)}-{d(3)},",
+            ]
+        )()
 
     makers, out = (email, ip, card, phone), []
     for _ in range(n):
@@ -262,7 +286,7 @@ def samples(n: int = 1500, seed: int = 5) -> list[tuple[str, list[tuple[int, int
     return out
 
 
-def train(labelled: list[tuple[str, list[tuple[int, int, int]]]] | None = None, steps: int = 450, batch: int = 48, rate: float = 0.02, seed: int = 3) -> Model:
+def train(labelled: list[tuple[str, list[tuple[int, int, int]]]] | None = None, steps: int = 900, batch: int = 48, rate: float = 0.02, seed: int = 3) -> Model:
     """A model fit to texts with labelled spans by Adam; deterministic for a seed."""
     labelled = samples() if labelled is None else labelled
     model = start()
@@ -291,20 +315,21 @@ def train(labelled: list[tuple[str, list[tuple[int, int, int]]]] | None = None,
 
 
 def windows(text: str) -> list[int]:
-    """Where windows begin: overlapping by half, over every stretch within MARGIN of a digit, an at sign or the word at."""
-    out, upto = [], -1
+    """Where the windows begin that may hold a span to keep, of those of the grid."""
     half = WINDOW // 2
-    for m in _MARK.finditer(text):
-        a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if a <= upto:
-            first = out[-1] + half
-        else:
-            first = a
-        at = first
-        while not out or upto < b:
-            out.append(at)
-            upto = at + WINDOW
-            at += half
+    last = max(0, -(-(len(text) - WINDOW) // half))  # of the window that reaches the end
+    found: set[int] = set()
+    for pattern in (_MARK, _SPELT_AT):
+        at = 0
+        while m := pattern.search(text, at):
+            k = m.start() // half
+            found.update(x for x in (k - 1, k) if 0 <= x <= last)
+            at = max((k + 1) * half, m.end()) if pattern is _MARK else m.end()
+    out = []
+    for k in sorted(found):
+        part = text[k * half : k * half + WINDOW]
+        if _MARK.search(part) or _SPELT.search(part):
+            out.append(k * half)
     return out
 
 
@@ -312,7 +337,7 @@ def plausible(kind: int, part: str) -> bool:
     """Whether a proposed span can be what it is said to be: the checks of the base kinds hold for it too."""
     digits = "".join(c for c in part if c in "0123456789")
     if kind == 0:
-        return "@" in part or (bool(digits) and "at" in part.lower() and "." in part) or bool(_SPELT.search(part))
+        return "@" in part or bool(digits and _SPELT_AT.search(part) and "." in part) or bool(_SPELT.search(part))
     if kind == 1:
         parts = re.findall(r"[0-9]+", part)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -389,7 +414,7 @@ def find_batch(model: Model, batch: list[str], least: float) -> list[tuple[list,
     return out
 
 
-def find(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text", least: float = 3.0) -> DataFrame:
+def find(df: DataFrame, model: Model, id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """id, base and found for every row: arrays of (kind, start, end), kind a place in KINDS.
 
     base is ordered by kind, then start; found has base and the network's spans that overlap none

@@ -23,10 +23,10 @@ KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # maximal runs after AKIA, 20 characters at least
 HEX = r"[0-9a-f]{24,}"  # likewise for [0-9a-f]+
-#: What the models look at: tokens of 16 characters or more with a digit or an inner capital.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*(?:[0-9]|[a-z][A-Z]))[A-Za-z0-9+/_=-]{16,}"
+#: What the models look at: every token of 16 characters or more.
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-THRESHOLD, SMOOTHING = 1.0, 0.5
+THRESHOLD, SMOOTHING, BLOCK = 1.0, 0.5, 64
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 #: Words that ordinary identifiers are made of.
@@ -41,7 +41,7 @@ WORDS = (
 
 
 def samples(spark: SparkSession, each: int = 4000) -> DataFrame:
-    """Labelled samples (text, secret): random strings of four alphabets, and identifiers, numbers and dates."""
+    """Labelled samples (text, secret): random strings of seven alphabets, and identifiers, words, numbers, dates and rules."""
     n = F.col("id")
     rows = spark.range(each)
     digest = F.sha2(n.cast("string"), 256)
@@ -52,6 +52,9 @@ def samples(spark: SparkSession, each: int = 4000) -> DataFrame:
         F.regexp_replace(F.substring(plain, 1, 40), "[=]", ""),
         F.translate(F.substring(plain, 3, 32), "+/=", "-_"),
         F.upper(F.regexp_replace(F.substring(plain, 5, 30), "[+/=]", "")),
+        F.translate(F.substring(digest, 9, 32), "0123456789abcdef", "qzxwvktghjmpbcdy"),
+        F.translate(F.substring(plain, 7, 36), "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/=", "abcdefghijklmnopqrstuvwxyzqwertyuiopgh"),
+        F.translate(F.substring(plain, 9, 36), "abcdefghijklmnopqrstuvwxyz0123456789+/=", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567QZXKJV"),
     )
     words = F.split(F.lit(" ".join(WORDS)), " ")
     pick = lambda k: F.element_at(words, (F.pmod(F.xxhash64(n, F.lit(k)), F.lit(len(WORDS))) + 1).cast("int"))
@@ -66,6 +69,11 @@ def samples(spark: SparkSession, each: int = 4000) -> DataFrame:
         F.upper(F.concat_ws("_", a, b, c)),
         F.date_format(F.timestamp_seconds(F.pmod(F.xxhash64(n, F.lit(6)), F.lit(2_000_000_000))), "yyyy-MM-dd'T'HH-mm-ss'Z'"),
         F.concat(F.date_format(F.timestamp_seconds(F.pmod(F.xxhash64(n, F.lit(7)), F.lit(2_000_000_000))), "yyyyMMdd-HHmmss-"), a),
+        F.concat(a, b, c),
+        F.concat(F.initcap(a), F.initcap(b), F.initcap(c), F.lit("Error")),
+        F.concat(F.upper(a), F.upper(b), F.upper(c)),
+        F.concat(F.lit("https/www/"), a, F.lit("/"), b, F.lit("/index_"), c),
+        F.repeat(F.element_at(F.array(*(F.lit(x) for x in "-=_/+ax0")), (F.pmod(n, F.lit(8)) + 1).cast("int")), 20),
     )
     one = lambda texts, label: rows.select(F.explode(texts).alias("text"), F.lit(label).alias("secret"))
     return one(random, 1).unionByName(one(ordinary, 0))
@@ -109,9 +117,14 @@ def ratio(token: Column, table: list[float]) -> Column:
 
 
 def spans(text: Column, pattern: str, kind: int, good=None) -> Column:
-    """Array of (start, kind, end) of the pattern's leftmost non-overlapping matches that are good."""
+    """Array of (start, kind, end) of the pattern's leftmost non-overlapping matches that are good.
+
+    Matches are placed BLOCK at a time, first from their block's begin and then from the text's, so
+    the arrays that grow match by match stay short however many matches a text has.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(found) - 1) / BLOCK), F.lit(0)).cast("int")), lambda i: F.slice(pairs, i * BLOCK + 1, F.lit(BLOCK)))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"))
 
     def step(acc, x):
@@ -121,7 +134,10 @@ def spans(text: Column, pattern: str, kind: int, good=None) -> Column:
         more = F.concat(acc["out"], span)
         return F.struct(end.cast("bigint").alias("at"), (F.when(good(x["m"]), more).otherwise(acc["out"]) if good else more).alias("out"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    placed = F.transform(blocks, lambda block: F.aggregate(block, start, step))
+    bases = F.aggregate(placed, F.array(F.lit(0).cast("bigint")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["at"])))
+    moved = lambda base: lambda s: F.struct((s["start"] + base).alias("start"), s["kind"].alias("kind"), (s["end"] + base).alias("end"))
+    return F.flatten(F.zip_with(placed, F.slice(bases, F.lit(1), F.size(placed)), lambda x, base: F.transform(x["out"], moved(base))))
 
 
 def joined(spans: Column) -> Column:
