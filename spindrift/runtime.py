@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -52,6 +54,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def drop_unused(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of DataFrames that are no longer referred to, rather than at the driver's next collection."""
+    gc.collect()
+    for _ in range(2):  # the first frees what holds the rest
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)  # the cleaner works on a thread of its own
+
+
 _shipped: set[str] = set()
 
 
