@@ -6,7 +6,7 @@ slices, so memory does not follow the longest text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,7 +45,12 @@ class Words:
         return Words(self.letters[take], first, size, self.text[at], self.hash[at]), back, count
 
 
-def cut(texts: list[bytes | None], size: int = SLICE) -> Iterator[list[tuple[int, bytes]]]:
+def hashes(text: bytes | None) -> np.ndarray:
+    """The hashes of a text's words, in order."""
+    return np.concatenate([np.zeros(0, np.uint64), *(words(piece).hash for piece in cut([text]))])
+
+
+def cut(texts: Iterable[bytes | None], size: int = SLICE) -> Iterator[list[tuple[int, bytes]]]:
     """Texts' normalised bytes in slices of about `size` bytes, as (number, bytes)."""
     held, n = [], 0
     for i, t in enumerate(texts):
