@@ -7,37 +7,57 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.dims import NO_FILL, REMOVED, VALID
 
-SIGMA_LIMIT, POLE_LAT, INFLATION = 50.0, 87.5, 1.5
+SIGMA_LIMIT, POLE_LAT, POLE_HOLE, INFLATION = 50.0, 87.5, 86.0, 1.5  # POLE_HOLE: from where the north has no coverage
 FILL_RADIUS, FILL_WIDTH = 300.0, 200.0
 
 
-def usable(flag: Column, sigma: Column, *values: Column) -> Column:
-    """Whether a sensor's vector takes part: nothing missing, a small enough uncertainty, a flag that is not to be filled."""
+def usable(flag: Column, sigma: Column, *values: Column, lat: Column | None = None) -> Column:
+    """Whether a sensor's vector takes part: nothing missing, a small enough uncertainty, a flag that is not to be filled.
+
+    With lat, a vector near the pole takes part only under flag 0; a merge of wind alone goes without that rule.
+    """
     ok = (sigma < SIGMA_LIMIT) & ~flag.isin(*NO_FILL)
+    if lat is not None:
+        ok = ok & ~((lat >= POLE_LAT) & (flag != 0))
     for v in (sigma, *values):
         ok = ok & v.isNotNull() & ~F.isnan(v)
     return F.coalesce(ok, F.lit(False))
 
 
-def inverse_variance(df: DataFrame, *keys: str) -> DataFrame:
-    """One vector for each key: means of dx, dy weighted by 1 / sigma^2, their sigma, the least flag, the sensors used."""
-    ok = usable(F.col("flag"), F.col("sigma"), F.col("dx"), F.col("dy"))
-    w = F.when(ok, 1 / (F.col("sigma") * F.col("sigma")))
-    total = F.sum(w)
+def inverse_variance(df: DataFrame, *keys: str, lat: Column | None = None, wind: Column | None = None) -> DataFrame:
+    """One vector for each key: means of dx, dy weighted by 1 / sigma^2, their sigma, the least flag, the sensors used.
+
+    Rows where `wind` holds take part only in keys that some other sensor has a valid flag in.
+    """
+    ok = usable(F.col("flag"), F.col("sigma"), F.col("dx"), F.col("dy"), lat=lat)
+    w = 1 / (F.col("sigma") * F.col("sigma"))
+    if wind is None:
+        add = lambda value, how=F.sum: how(F.when(ok, value))
+        least = F.min(F.when(ok, F.col("flag")).otherwise(F.lit(REMOVED)))
+    else:
+        seen = F.bool_or(~wind & F.col("flag").isin(*VALID))
+
+        def add(value, how=F.sum):
+            return F.when(seen, how(F.when(ok, value))).otherwise(how(F.when(ok & ~wind, value)))
+
+        flags = lambda good: F.min(F.when(good, F.col("flag")).otherwise(F.lit(REMOVED)))
+        least = F.when(seen, flags(ok)).otherwise(flags(ok & ~wind))
+    total = add(w)
     return df.groupBy(*keys).agg(
-        F.round(F.try_divide(F.sum(w * F.col("dx")), total), 6).alias("dx"),
-        F.round(F.try_divide(F.sum(w * F.col("dy")), total), 6).alias("dy"),
+        F.round(F.try_divide(add(w * F.col("dx")), total), 6).alias("dx"),
+        F.round(F.try_divide(add(w * F.col("dy")), total), 6).alias("dy"),
         F.round(INFLATION * F.sqrt(F.try_divide(F.lit(1.0), total)), 6).alias("sigma"),
-        F.min(F.when(ok, F.col("flag")).otherwise(F.lit(REMOVED))).alias("flag"),
+        least.alias("flag"),
         F.max(F.col("flag").isin(*NO_FILL).cast("int")).alias("no_fill"),
-        F.count(w).alias("n_used"),
+        add(w, F.count).alias("n_used"),
     )
 
 
-def coverage(df: DataFrame, *keys: str) -> DataFrame:
-    """Valid vectors over ice pixels (flags up to 0 or above 5); null where there is no ice."""
-    valid = F.count_if(F.col("flag").isin(*VALID))
-    ice = F.count_if((F.col("flag") <= 0) | (F.col("flag") > 5))
+def coverage(df: DataFrame, *keys: str, where: Column | None = None) -> DataFrame:
+    """Valid vectors over ice pixels (flags up to 0 or above 5), of the rows where `where` holds; null where there is no ice."""
+    where = F.lit(True) if where is None else where
+    valid = F.count_if(where & F.col("flag").isin(*VALID))
+    ice = F.count_if(where & ((F.col("flag") <= 0) | (F.col("flag") > 5)))
     return df.groupBy(*keys).agg(valid.alias("n_valid"), ice.alias("n_ice"), F.round(F.try_divide(valid, ice), 6).alias("ratio"))
 
 

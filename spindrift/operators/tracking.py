@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 
 from spindrift.runtime import ship
 
+EDGE = 2  # pixels around the pattern, for which the other image is still there when it moves
 MOST_STEPS, ABSOLUTE, RELATIVE, EPSILON = 1000, 1e-6, 1e-9, 1e-4
 REFLECT, EXPAND, CONTRACT_OUT, CONTRACT_IN, SHRINK = 2.0, 3.0, 1.5, 0.5, 0.5
 
@@ -78,14 +79,53 @@ def shifted(image: np.ndarray, dx: float, dy: float) -> np.ndarray:
     return np.where(weight > 0.75, total / np.where(weight > 0, weight, 1), np.nan)
 
 
-def similarity(a: np.ndarray, b: np.ndarray, d: np.ndarray, limit: float) -> float:
-    """Correlation of b, moved back by d, with a, weighed down beyond the limit; -1 where under three quarters of the pixels are there."""
-    s = shifted(b, *d)
-    ok = ~np.isnan(a) & ~np.isnan(s)
-    if ok.sum() < 0.4 * a.size or a[ok].std() == 0 or s[ok].std() == 0:
-        return -1.0
-    rho = float(np.corrcoef(a[ok], s[ok])[0, 1])
-    return (rho + 1) / (1 + np.exp(min(700.0, (float(np.hypot(*d)) - limit) * 10))) - 1
+def _paired(a: np.ndarray, b: np.ndarray, d: np.ndarray, edge: int):
+    """For each band: the pattern, which is a without `edge` pixels on every side, b moved back by d there, and where both are there."""
+    for one, two in zip(a, b, strict=True) if a.ndim == 3 else ((a, b),):
+        core = (slice(edge, one.shape[0] - edge), slice(edge, one.shape[1] - edge))
+        p, s = one[core], shifted(two, *d)[core]
+        yield p, s, ~np.isnan(p) & ~np.isnan(s)
+
+
+def fade(d: np.ndarray, limit: float) -> float:
+    """The weight of a displacement: near 1 within the limit, near 0 beyond."""
+    return float(1 / (1 + np.exp(min(700.0, (float(np.hypot(*d)) - limit) * 10))))
+
+
+def similarity(a: np.ndarray, b: np.ndarray, d: np.ndarray, limit: float, edge: int = EDGE) -> float:
+    """Mean over the bands of the correlation of a's pattern with b, moved back by d, weighed down beyond the limit.
+
+    a and b are [y, x] or [band, y, x]. A band counts where three quarters of its pattern's pixels
+    are there; -1 where none does.
+    """
+    found = []
+    for p, s, ok in _paired(a, b, d, edge):
+        if ok.sum() >= 0.75 * p.size and p[ok].std() > 0 and s[ok].std() > 0:
+            found.append(float(np.corrcoef(p[ok], s[ok])[0, 1]))
+    return (float(np.mean(found)) + 1) * fade(d, limit) - 1 if found else -1.0
+
+
+def difference(a: np.ndarray, b: np.ndarray, d: np.ndarray, limit: float, edge: int = EDGE) -> float:
+    """Half the sum of squared differences after the best linear scaling of the pattern, over the weight of d; infinite without pixels."""
+    total, found = 0.0, False
+    for p, s, ok in _paired(a, b, d, edge):
+        if ok.sum() >= 0.75 * p.size and p[ok].var() > 0:
+            p, s, found = p[ok], s[ok], True
+            alpha = ((p - p.mean()) * (s - s.mean())).mean() / p.var()
+            total += 0.5 * float(((alpha * p + s.mean() - alpha * p.mean() - s) ** 2).sum())
+    return total / max(fade(d, limit), 1e-300) if found else float("inf")
+
+
+#: The metrics that a displacement can be found by; climb looks for the greatest value.
+METRICS: dict[str, Callable[..., float]] = {"CC": similarity, "SD": lambda *x, **y: -difference(*x, **y)}
+
+
+def posterior(a: np.ndarray, b: np.ndarray, at: np.ndarray, limit: float) -> tuple[float, float, float, int]:
+    """(variance of x, of y, covariance, flag) at a displacement: 0 fine, 1 a negative variance, 2 no inverse."""
+    cov = covariance(lambda d: -difference(a, b, d, limit), np.asarray(at, float))
+    if cov is None or not np.isfinite(cov).all():
+        return float("nan"), float("nan"), float("nan"), 2
+    return float(cov[0, 0]), float(cov[1, 1]), float(cov[0, 1]), int(min(cov[0, 0], cov[1, 1]) < 0)
 
 
 def covariance(score: Callable[[np.ndarray], float], at: np.ndarray, e: float = EPSILON) -> np.ndarray | None:
@@ -98,30 +138,57 @@ def covariance(score: Callable[[np.ndarray], float], at: np.ndarray, e: float =
     return np.linalg.inv(h) if abs(np.linalg.det(h)) > 1e-12 else None
 
 
-def track(a: np.ndarray, b: np.ndarray, limit: float) -> tuple[float, float, float, int]:
-    """(dx, dy, correlation, flag) of the motion from a to b, in pixels; flag 9 without a usable start, 10 below 0.3."""
-    score = lambda d: similarity(a, b, np.asarray(d, float), limit)
+def track(a: np.ndarray, b: np.ndarray, limit: float, metric: str = "CC", least: float = 0.3) -> tuple[float, float, float, int]:
+    """(dx, dy, score, flag) of the motion from a to b, in pixels; flag 9 without a usable start, 10 below `least` (of CC)."""
+    score = lambda d: METRICS[metric](a, b, np.asarray(d, float), limit)
+    none = -1.0 if metric == "CC" else float("-inf")
     starts = [(0.0, 0.0), *candidates(limit, 0.75, 0.75)]
     best = sorted(starts, key=lambda d: -score(d))[:3]
-    if score(best[0]) <= -1:
-        return float("nan"), float("nan"), -1.0, 9
+    if score(best[0]) <= none:
+        return float("nan"), float("nan"), none, 9
     at, value, good = climb(score, np.array(best) + np.array([[0, 0], [1e-3, 0], [0, 1e-3]]))
-    flag = 9 if not good else 10 if value < 0.3 else 0
+    flag = 9 if not good else 10 if metric == "CC" and value < least else 0
     return float(at[0]), float(at[1]), value, flag
 
 
-def correct(vectors: pd.DataFrame, furthest: float = 10.0, least: int = 5, radius: float = 1.5) -> pd.DataFrame:
-    """Worst first, vectors further than `furthest` from the mean of their neighbours take that mean (flag 13) or, if they have it already, go (12).
+def optimum_near(a: np.ndarray, b: np.ndarray, mean: np.ndarray, within: float, limit: float) -> tuple[np.ndarray, float]:
+    """Best displacement within a distance of `mean`, and its correlation."""
+
+    def score(d):
+        return similarity(a, b, d, limit) if np.hypot(*(d - mean)) <= within else -2.0
 
-    A vector goes from 0 to 13 to 12, so this ends, with no vector further than `furthest`.
+    at, value, _ = climb(score, mean + np.array([[0, 0], [0.2, 0], [0, 0.2]]) * within)
+    return at, value
+
+
+def correct(vectors: pd.DataFrame, furthest: float = 10.0, least: int = 5, radius: float = 1.5, again: Callable[[int, np.ndarray], tuple[np.ndarray, float]] | None = None, correlation: float = 0.5) -> pd.DataFrame:
+    """Worst first, vectors further than `furthest` from the mean of their neighbours are found anew near that mean, or go.
+
+    again(row of vectors, mean) gives a new optimum near the mean and its correlation: from
+    `correlation` on the vector takes it (flag 13), below, or where that is too far off once more,
+    it goes (flag 12). Without `again` the vector takes the mean itself. Only neighbours that are
+    themselves held (flag 0 or 13), and with a column corr only those from `correlation` on, make a
+    mean. A vector goes from 0 to 13 to 12, so this ends, with no vector further than `furthest`.
     """
-    v = vectors.sort_values(["y", "x"], kind="stable").reset_index(drop=True)
+    v = vectors.sort_values(["y", "x"], kind="stable")
+    rows = v.index.to_numpy()
+    v = v.reset_index(drop=True)
     xy, d, flag = v[["x", "y"]].to_numpy(float), v[["dx", "dy"]].to_numpy(float).copy(), v["flag"].to_numpy().copy()
-    near = [np.flatnonzero((k := ((xy - p) ** 2).sum(1)) <= radius**2) for p in xy]
-    near = [n[n != i] for i, n in enumerate(near)]
+    corr = v["corr"].to_numpy(float).copy() if "corr" in v else np.ones(len(v))
+    cells: dict[tuple[int, int], list[int]] = {}
+    side = max(radius, 1e-9)
+    for i, (x, y) in enumerate(xy):
+        cells.setdefault((int(x // side), int(y // side)), []).append(i)
+
+    def beside(i: int) -> np.ndarray:
+        cx, cy = int(xy[i, 0] // side), int(xy[i, 1] // side)
+        some = np.array([j for p in (-1, 0, 1) for q in (-1, 0, 1) for j in cells.get((cx + p, cy + q), ()) if j != i], int)
+        return np.sort(some[((xy[some] - xy[i]) ** 2).sum(1) <= radius**2])
+
+    near = [beside(i) for i in range(len(v))]
 
     def off(i: int) -> tuple[float, np.ndarray | None]:
-        n = near[i][np.isin(flag[near[i]], (0, 13))]
+        n = near[i][np.isin(flag[near[i]], (0, 13)) & (corr[near[i]] >= correlation)]
         if flag[i] not in (0, 13) or len(n) < least:
             return -1.0, None
         mean = d[n].mean(0)
@@ -134,14 +201,38 @@ def correct(vectors: pd.DataFrame, furthest: float = 10.0, least: int = 5, radiu
         if flag[i] == 13 or mean is None:
             flag[i] = 12
         else:
-            d[i], flag[i] = mean, 13
+            at, value = again(rows[i], mean) if again else (mean, 1.0)
+            if value >= correlation:
+                d[i], flag[i], corr[i] = at, 13, value if again else corr[i]
+            else:
+                flag[i] = 12
         for j in (i, *near[i]):
             gaps[j] = off(j)[0]
     v[["dx", "dy"]] = d
     v["flag"] = flag
+    if "corr" in v:
+        v["corr"] = corr
     return v
 
 
+def correct_images(pairs: DataFrame, group: str, width: int, limit: float, furthest: float) -> DataFrame:
+    """(group, x, y, dx, dy, corr, flag) for rows (group, x, y, a, b) of image pairs on a grid: each is tracked, then outliers of the group are corrected on their own images.
+
+    A group is one field of vectors, of one date and sensor: its grid bounds it.
+    """
+    ship(pairs.sparkSession)
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.reset_index(drop=True)
+        images = [tuple(np.array(t[c][i], float).reshape(-1, width) for c in "ab") for i in range(len(t))]
+        found = [track(a, b, limit) for a, b in images]
+        v = t[[group, "x", "y"]].assign(**{n: [f[k] for f in found] for k, n in enumerate(("dx", "dy", "corr", "flag"))})
+        return correct(v, furthest, again=lambda i, mean: optimum_near(*images[i], mean, furthest, limit))
+
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    return pairs.select(group, "x", "y", "a", "b").groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, x {kinds['x']}, y {kinds['y']}, dx double, dy double, corr double, flag int")
+
+
 def track_pairs(pairs: DataFrame, width: int, limit: float = 3.0) -> DataFrame:
     """(pair, dx, dy, corr, flag) for rows (pair, a, b) of two images as arrays, row by row."""
     ship(pairs.sparkSession)

@@ -105,7 +105,7 @@ def raw_text_records(spark, sf_dir):
 
 
 @query(
-    """WITH RECURSIVE d AS (SELECT 'K'||CAST(n_nationkey AS VARCHAR) AS key, CASE WHEN n_nationkey%5=0 THEN n_name ELSE 'K'||CAST(n_nationkey-1 AS VARCHAR) END AS value FROM nation),
+    """WITH RECURSIVE d AS (SELECT 'K'||CAST(n_nationkey AS VARCHAR) AS key, CASE WHEN n_nationkey%13=0 THEN n_name ELSE 'K'||CAST(n_nationkey-1 AS VARCHAR) END AS value FROM nation),
  r AS (SELECT key, value FROM d UNION ALL SELECT r.key, d.value FROM r JOIN d ON r.value=d.key) SELECT key, value FROM r WHERE value NOT IN (SELECT key FROM d)"""
 )
 def header_defines(spark, sf_dir):
@@ -113,7 +113,7 @@ def header_defines(spark, sf_dir):
     from spindrift.sources.text import defines
 
     k = F.col("n_nationkey")
-    value = F.when(k % 5 == 0, F.col("n_name")).otherwise(F.concat(F.lit("K"), (k - 1).cast("string")))
+    value = F.when(k % 13 == 0, F.col("n_name")).otherwise(F.concat(F.lit("K"), (k - 1).cast("string")))
     lines = table(spark, sf_dir, "nation").select(F.concat(F.lit("#define K"), k.cast("string"), F.lit("  "), value).alias("value"))
     return defines(lines)
 

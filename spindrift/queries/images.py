@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from spindrift.functions import geo
 from spindrift.operators import stencil, tracking
-from spindrift.operators.trajectory import by_trajectory
 from spindrift.queries.adapters import PX, VEC, ctes, px, vec
 from spindrift.queries.registry import query
 from spindrift.runtime import table
@@ -125,8 +124,10 @@ def simplex_track(spark, sf_dir):
 
 @query()
 def posterior_cov(spark, sf_dir):
-    """Covariance of a parabola's peak, from finite differences, for each image's own curvature."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pair"), F.col("embedding").alias("a"))
+    """Covariance of each image's motion to the next at its optimum, from the curvature of the scaled squared difference."""
+    e = table(spark, sf_dir, "embeddings")
+    b = e.select((F.col("vec_id") - 1).alias("pair"), F.col("embedding").alias("b"))
+    pairs = e.select(F.col("vec_id").alias("pair"), F.col("embedding").alias("a")).join(b, "pair")
 
     def run(batches):
         import numpy as np
@@ -134,24 +135,27 @@ def posterior_cov(spark, sf_dir):
 
         for t in batches:
             rows = []
-            for p, v in zip(t["pair"], t["a"], strict=True):
-                c = 1 + np.abs(np.array(v[:3], float))
-                m = np.array([[c[0] + 1, c[2] / 4], [c[2] / 4, c[1] + 1]])
-                cov = tracking.covariance(lambda d, m=m: float(-0.5 * d @ m @ d), np.zeros(2))
-                rows.append((p, cov[0, 0], cov[1, 1], cov[0, 1]))
-            yield pd.DataFrame(rows, columns=["pair", "var_x", "var_y", "cov_xy"])
+            for p, a, b in zip(t["pair"], t["a"], t["b"], strict=True):
+                a, b = np.array(a, float).reshape(8, 8), np.array(b, float).reshape(8, 8)
+                dx, dy, _, flag = tracking.track(a, b, 3.0)
+                rows.append((p, *(tracking.posterior(a, b, np.array([dx, dy]), 3.0) if flag != 9 else (float("nan"),) * 3 + (2,))))
+            yield pd.DataFrame(rows, columns=["pair", "var_x", "var_y", "cov_xy", "uflag"])
 
     from spindrift.runtime import ship
 
     ship(spark)
-    return e.mapInPandas(run, "pair bigint, var_x double, var_y double, cov_xy double")
+    return pairs.mapInPandas(run, "pair bigint, var_x double, var_y double, cov_xy double, uflag int")
 
 
 @query()
 def neighbour_correction(spark, sf_dir):
-    """Worst-first correction of the outliers of each sensor's field."""
-    v = vec(spark, sf_dir).groupBy("sensor", "x", "y").agg(F.avg("dx").alias("dx"), F.avg("dy").alias("dy")).withColumn("flag", F.lit(0))
-    return by_trajectory(v, lambda t: tracking.correct(t), "sensor")
+    """Motions of image pairs on 10 x 10 grids; worst first, outliers are found anew near their neighbours' mean."""
+    e = table(spark, sf_dir, "embeddings")
+    b = e.select((F.col("vec_id") - 1).alias("pair"), F.col("embedding").alias("b"))
+    pairs = e.select(F.col("vec_id").alias("pair"), F.col("embedding").alias("a")).join(b, "pair")
+    cell = F.col("pair") % 100
+    pairs = pairs.select(F.expr("pair div 100").alias("field"), (cell % 10).alias("x"), F.floor(cell / 10).alias("y"), "a", "b")
+    return tracking.correct_images(pairs, "field", 8, 3.0, 1.0)
 
 
 @query(ctes(PX) + "SELECT image, x, y, round(v,6)+0.0 AS v FROM px WHERE x%2=0 AND y%2=0")
@@ -189,15 +193,33 @@ def tracking_flag_ladder(spark, sf_dir):
 @query(
     ctes(PX)
     + """, a AS (SELECT image, y, max(v) FILTER (WHERE x=3) AS l, max(v) FILTER (WHERE x=4) AS c, max(v) FILTER (WHERE x=5) AS r FROM px GROUP BY ALL),
- b AS (SELECT image, sqrt(avg(pow(c-l,2))) AS d1, sqrt(avg(pow(c-r,2))) AS d2, sqrt(avg(pow(l-r,2))) AS d0 FROM a GROUP BY 1) SELECT image, round(d1,6) AS d1, round(d2,6) AS d2, d1>1.2*d0 AND d2>1.2*d0 AS flip FROM b"""
+ b AS (SELECT image, sqrt(avg(pow(c-l,2))) AS d1, sqrt(avg(pow(c-r,2))) AS d2, sqrt(avg(pow(l-r,2))) AS d0 FROM a GROUP BY 1) SELECT image, round(d1,6) AS d1, round(d2,6) AS d2, d1>2*d0 AND d2>2*d0 AS flip FROM b"""
 )
 def line_detector(spark, sf_dir):
-    """Whether a column stands out from both its neighbours."""
+    """Whether a column stands out from both its neighbours, by twice what these differ."""
+    return _standing_out(px(spark, sf_dir)).select("image", F.round("a1", 6).alias("d1"), F.round("a2", 6).alias("d2"), "flip")
+
+
+def _standing_out(pixels):
     at = lambda k: F.max(F.when(F.col("x") == k, F.col("v")))
-    a = px(spark, sf_dir).groupBy("image", "y").agg(at(3).alias("l"), at(4).alias("c"), at(5).alias("r"))
+    a = pixels.groupBy("image", "y").agg(at(3).alias("l"), at(4).alias("c"), at(5).alias("r"))
     rms = lambda p, q: F.sqrt(F.avg((F.col(p) - F.col(q)) * (F.col(p) - F.col(q))))
     b = a.groupBy("image").agg(rms("c", "l").alias("a1"), rms("c", "r").alias("a2"), rms("l", "r").alias("a0"))
-    return b.select("image", F.round("a1", 6).alias("d1"), F.round("a2", 6).alias("d2"), ((F.col("a1") > 1.2 * F.col("a0")) & (F.col("a2") > 1.2 * F.col("a0"))).alias("flip"))
+    return b.withColumn("flip", (F.col("a1") > 2 * F.col("a0")) & (F.col("a2") > 2 * F.col("a0")))
+
+
+@query(
+    ctes(PX)
+    + """, s AS (SELECT image, x, y, CASE WHEN x=4 AND image%2=0 THEN 5.0::DOUBLE-3*v ELSE v END AS v FROM px),
+ a AS (SELECT image, y, max(v) FILTER (WHERE x=3) AS l, max(v) FILTER (WHERE x=4) AS c, max(v) FILTER (WHERE x=5) AS r FROM s GROUP BY ALL),
+ b AS (SELECT image, sqrt(avg(pow(c-l,2)))>2*sqrt(avg(pow(l-r,2))) AND sqrt(avg(pow(c-r,2)))>2*sqrt(avg(pow(l-r,2))) AS flip FROM a GROUP BY 1)
+SELECT image, x, y, round(CASE WHEN flip AND x=4 THEN -v ELSE v END,6)+0.0 AS v FROM s JOIN b USING (image)"""
+)
+def line_fix(spark, sf_dir):
+    """The detector applied: a column that stands out changes its sign (every second image has such a column put in)."""
+    s = px(spark, sf_dir).withColumn("v", F.when((F.col("x") == 4) & (F.col("image") % 2 == 0), 5.0 - 3 * F.col("v")).otherwise(F.col("v")))
+    rows = s.join(_standing_out(s).select("image", "flip"), "image")
+    return rows.select("image", "x", "y", _R(F.when(F.col("flip") & (F.col("x") == 4), -F.col("v")).otherwise(F.col("v")), "v"))
 
 
 @query(ctes(PX) + "SELECT image, x, y, round(CASE WHEN abs(v)>0.2 THEN pow(abs(v)-0.2,2)*100 ELSE 0.0 END,8) AS penalty FROM px")

@@ -15,37 +15,45 @@ _OK = "(sigma < 50 AND flag NOT IN (1,2,3,4,5,20) AND dx IS NOT NULL AND dy IS N
 
 @query(
     ctes(VEC)
-    + f"""SELECT cell, round(sum(CASE WHEN {_OK} THEN dx/(sigma*sigma) END)/sum(CASE WHEN {_OK} THEN 1/(sigma*sigma) END),6) AS dx,
- round(sum(CASE WHEN {_OK} THEN dy/(sigma*sigma) END)/sum(CASE WHEN {_OK} THEN 1/(sigma*sigma) END),6) AS dy,
- round(1.5*sqrt(1/sum(CASE WHEN {_OK} THEN 1/(sigma*sigma) END)),6) AS sigma,
- min(CASE WHEN {_OK} THEN flag ELSE 100 END) AS flag, max(CASE WHEN flag IN (1,2,3,4,5,20) THEN 1 ELSE 0 END) AS no_fill,
- count(CASE WHEN {_OK} THEN 1 END) AS n_used FROM vec GROUP BY cell"""
+    + f""", f AS (SELECT DISTINCT cell FROM vec WHERE sensor<>7 AND flag IN (0,13,17)),
+ m AS (SELECT v.*, {_OK} AND NOT (60+y%30>=87.5 AND flag<>0) AND (sensor<>7 OR f.cell IS NOT NULL) AS ok FROM vec v LEFT JOIN f USING (cell))
+SELECT cell, round(sum(dx/(sigma*sigma)) FILTER (WHERE ok)/sum(1/(sigma*sigma)) FILTER (WHERE ok),6) AS dx,
+ round(sum(dy/(sigma*sigma)) FILTER (WHERE ok)/sum(1/(sigma*sigma)) FILTER (WHERE ok),6) AS dy,
+ round(1.5*sqrt(1/sum(1/(sigma*sigma)) FILTER (WHERE ok)),6) AS sigma,
+ min(CASE WHEN ok THEN flag ELSE 100 END) AS flag,
+ max(CASE WHEN flag IN (1,2,3,4,5,20) THEN 1 ELSE 0 END) AS no_fill, count(*) FILTER (WHERE ok) AS n_used FROM m GROUP BY cell"""
 )
 def merge_inverse_variance(spark, sf_dir):
-    return merge.inverse_variance(vec(spark, sf_dir), "cell")
+    """The merge of all sensors, of which the seventh is the wind model, under the masks of the pole and of the satellites' footprint."""
+    return merge.inverse_variance(vec(spark, sf_dir), "cell", lat=60 + F.col("y") % 30, wind=F.col("sensor") == 7)
 
 
 @query(
     ctes(VEC)
-    + """, c AS (SELECT sensor, CAST(t0 AS DATE) AS d, count(*) FILTER (WHERE flag IN (0,13,17)) AS n_valid, count(*) FILTER (WHERE flag<=0 OR flag>5) AS n_ice FROM vec GROUP BY ALL)
+    + """, c AS (SELECT sensor, CAST(t0 AS DATE) AS d, count(*) FILTER (WHERE flag IN (0,13,17) AND 60+y%30<86) AS n_valid, count(*) FILTER (WHERE (flag<=0 OR flag>5) AND 60+y%30<86) AS n_ice FROM vec GROUP BY ALL)
 SELECT sensor, CAST(d AS VARCHAR) AS d, n_valid, n_ice, round(n_valid/nullif(n_ice,0),6) AS ratio FROM c WHERE n_ice=0 OR n_valid/n_ice >= 0.4"""
 )
 def sensor_coverage_ratio(spark, sf_dir):
-    found = merge.coverage(vec(spark, sf_dir).withColumn("d", F.to_date("t0")), "sensor", "d")
+    found = merge.coverage(vec(spark, sf_dir).withColumn("d", F.to_date("t0")), "sensor", "d", where=60 + F.col("y") % 30 < merge.POLE_HOLE)
     return found.where("n_ice = 0 or n_valid / n_ice >= 0.4").withColumn("d", F.col("d").cast("string"))
 
 
 @query(
     ctes(VEC)
-    + """, c AS (SELECT CAST(t0 AS DATE) AS d, count(DISTINCT cell) FILTER (WHERE flag IN (0,13,17)) AS n_cells FROM vec WHERE month(t0) NOT BETWEEN 6 AND 9 GROUP BY 1)
-SELECT CAST(d AS VARCHAR) AS d, n_cells, least(floor(n_cells/2.0)+1, 30)::INTEGER AS bin, row_number() OVER (ORDER BY n_cells, d) AS place FROM c"""
+    + """, h AS (SELECT *, CASE WHEN obs%2=0 THEN 'nh' ELSE 'sh' END AS area FROM vec),
+ c AS (SELECT area, CAST(t0 AS DATE) AS d, count(DISTINCT cell) FILTER (WHERE flag IN (0,13,17)) AS n_cells FROM h WHERE NOT (area='nh' AND month(t0) IN (6,7,8,9)) AND NOT (area='sh' AND month(t0) IN (11,12,1,2)) GROUP BY ALL)
+SELECT area, CAST(d AS VARCHAR) AS d, n_cells, least(floor(n_cells/2.0)+1, 30)::INTEGER AS bin, row_number() OVER (PARTITION BY area ORDER BY n_cells, d) AS place FROM c"""
 )
 def daily_union_coverage(spark, sf_dir):
-    rows = vec(spark, sf_dir).where(~F.month("t0").between(6, 9)).withColumn("d", F.to_date("t0"))
-    found = rows.groupBy("d").agg(F.countDistinct(F.when(F.col("flag").isin(*dims.VALID), F.col("cell"))).alias("n_cells"))
+    """Cells that any sensor covers by hemisphere and day, outside the melting season of each."""
+    month = F.month("t0")
+    rows = vec(spark, sf_dir).withColumn("area", F.when(F.col("obs") % 2 == 0, "nh").otherwise("sh"))
+    rows = rows.where(F.when(F.col("area") == "nh", ~month.between(6, 9)).otherwise(month.between(3, 10))).withColumn("d", F.to_date("t0"))
+    found = rows.groupBy("area", "d").agg(F.countDistinct(F.when(F.col("flag").isin(*dims.VALID), F.col("cell"))).alias("n_cells"))
     bin_ = F.least(F.floor(F.col("n_cells") / 2.0) + 1, F.lit(30)).cast("int").alias("bin")
-    # one row for each day: the report is as long as the record
-    return found.select(F.col("d").cast("string").alias("d"), "n_cells", bin_, F.row_number().over(Window.orderBy("n_cells", "d")).cast("long").alias("place"))
+    # one row for each day of a hemisphere: the report is as long as the record, 366 rows a year
+    place = F.row_number().over(Window.partitionBy("area").orderBy("n_cells", "d")).cast("long").alias("place")
+    return found.select("area", F.col("d").cast("string").alias("d"), "n_cells", bin_, place)
 
 
 @query(
@@ -77,7 +85,7 @@ def max_drift_mask(spark, sf_dir):
 @query(
     ctes(VEC)
     + """, f AS (SELECT DISTINCT cell FROM vec WHERE sensor<>7 AND flag IN (0,13,17))
-SELECT sensor, count(*) AS n, count(*) FILTER (WHERE dx IS NULL OR dy IS NULL OR sigma IS NULL) AS n_missing, count(*) FILTER (WHERE sigma>=10) AS n_wide,
+SELECT sensor, count(*) AS n, count(*) FILTER (WHERE dx IS NULL OR dy IS NULL OR sigma IS NULL) AS n_missing, count(*) FILTER (WHERE sigma>=50) AS n_wide,
  count(*) FILTER (WHERE 60+y%30>=87.5 AND flag<>0) AS n_pole, count(*) FILTER (WHERE flag IN (1,2,3,4,5,20)) AS n_nofill, count(*) FILTER (WHERE sensor=7 AND f.cell IS NULL) AS n_footprint
 FROM vec LEFT JOIN f USING (cell) GROUP BY sensor"""
 )
@@ -89,7 +97,7 @@ def merge_masking(spark, sf_dir):
     return rows.groupBy("sensor").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("dx").isNull() | F.col("dy").isNull() | F.col("sigma").isNull()).alias("n_missing"),
-        F.count_if(F.col("sigma") >= 10).alias("n_wide"),
+        F.count_if(F.col("sigma") >= merge.SIGMA_LIMIT).alias("n_wide"),
         F.count_if((lat >= merge.POLE_LAT) & (F.col("flag") != 0)).alias("n_pole"),
         F.count_if(F.col("flag").isin(*dims.NO_FILL)).alias("n_nofill"),
         F.count_if((F.col("sensor") == 7) & F.col("foot").isNull()).alias("n_footprint"),

@@ -36,12 +36,14 @@ def matchup_stats(spark, sf_dir):
 @query(
     ctes(VEC)
     + """SELECT strftime(t0,'%Y-%m') AS month, count(*) AS n, CASE WHEN count(*)>=25 THEN round(avg(dx-dy),6)+0.0 END AS bias, CASE WHEN count(*)>=25 THEN round(stddev_samp(dx-dy),6) END AS sdev,
- count(*) FILTER (WHERE sensor=1) AS s1, count(*) FILTER (WHERE sensor=2) AS s2, count(*) FILTER (WHERE sensor=3) AS s3 FROM vec GROUP BY 1"""
+ """
+    + ", ".join(f"count(*) FILTER (WHERE sensor={k}) AS s{k}" for k in range(1, 8))
+    + " FROM vec GROUP BY 1"
 )
 def monthly_stats(spark, sf_dir):
     e, n = F.col("dx") - F.col("dy"), F.count(F.lit(1))
     return vec(spark, sf_dir).groupBy(F.date_format("t0", "yyyy-MM").alias("month")).agg(
-        n.alias("n"), F.when(n >= 25, F.round(F.avg(e), 6) + 0.0).alias("bias"), F.when(n >= 25, F.round(F.stddev_samp(e), 6)).alias("sdev"), *(F.count_if(F.col("sensor") == k).alias(f"s{k}") for k in (1, 2, 3))
+        n.alias("n"), F.when(n >= 25, F.round(F.avg(e), 6) + 0.0).alias("bias"), F.when(n >= 25, F.round(F.stddev_samp(e), 6)).alias("sdev"), *(F.count_if(F.col("sensor") == k).alias(f"s{k}") for k in range(1, 8))
     )
 
 
@@ -54,22 +56,66 @@ def network_pivot(spark, sf_dir):
 
 @query(
     ctes(VEC)
-    + """, a AS (SELECT cell, avg(dx-dy) AS e FROM vec WHERE sensor=1 GROUP BY 1), b AS (SELECT cell, avg(dx-dy) AS e FROM vec WHERE sensor=2 GROUP BY 1)
-SELECT count(*) AS n, round(corr(a.e,b.e),6)+0.0 AS r FROM a JOIN b USING (cell)"""
+    + """, a AS (SELECT obs, dx-dy AS e FROM vec WHERE sensor=1), b AS (SELECT obs, dx-dy AS e FROM vec WHERE sensor=2)
+SELECT count(*) AS n, round(corr(a.e,b.e),6)+0.0 AS r FROM a JOIN b USING (obs)"""
 )
 def cross_error_corr(spark, sf_dir):
-    """Correlation of two sensors' errors over their common matchups."""
-    e = vec(spark, sf_dir).groupBy("cell").agg(*(F.avg(F.when(F.col("sensor") == k, F.col("dx") - F.col("dy"))).alias(f"e{k}") for k in (1, 2)))
-    e = e.where("e1 is not null and e2 is not null")
-    return e.agg(F.count(F.lit(1)).alias("n"), _R(F.corr("e1", "e2"), "r"))
+    """Correlation of two sensors' errors over their common matchups: those of one observation."""
+    v = vec(spark, sf_dir).select("obs", "sensor", (F.col("dx") - F.col("dy")).alias("e"))
+    one, two = (v.where(F.col("sensor") == k).select("obs", F.col("e").alias(f"e{k}")) for k in (1, 2))
+    return one.join(two, "obs").agg(F.count(F.lit(1)).alias("n"), _R(F.corr("e1", "e2"), "r"))
+
+
+_Z = 1.959963984540054
+#: Student's two-sided 95 % quantile is _Z plus these over the powers of the degrees of freedom (within 1e-4 from eight on).
+_T95 = [(_Z**3 + _Z) / 4, (5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96, (3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384, (79 * _Z**9 + 776 * _Z**7 + 1482 * _Z**5 - 1920 * _Z**3 - 945 * _Z) / 92160]
+
+
+@query(
+    ctes(VEC)
+    + f""", p AS (SELECT sensor, dx AS prd, sigma AS val FROM vec UNION ALL SELECT sensor, dy, sigma FROM vec),
+ s AS (SELECT sensor, count(*) AS n, regr_slope(val,prd) AS slope, regr_intercept(val,prd) AS icpt, corr(prd,val) AS r, var_pop(prd) AS vx, var_pop(val) AS vy, avg(prd) AS mx FROM p GROUP BY sensor),
+ t AS (SELECT *, sqrt((1-r*r)*vy/vx/(n-2)) AS se, {_Z!r}::DOUBLE{"".join(f"+{t!r}::DOUBLE/pow(n-2,{k + 1})" for k, t in enumerate(_T95))} AS t FROM s WHERE n>2)
+SELECT sensor, n, round(slope,6)+0.0 AS slope, round(icpt,6)+0.0 AS intercept, round(r,6)+0.0 AS r, round(t*se,6) AS slope_95, round(t*se*sqrt(vx+mx*mx),6) AS intercept_95 FROM t"""
+)
+def matchup_regression(spark, sf_dir):
+    """Regression over both components stacked, with the 95 % intervals of slope and intercept by Student's t."""
+    both = F.explode(F.array("dx", "dy"))
+    p = vec(spark, sf_dir).select("sensor", both.alias("prd"), F.col("sigma").alias("val"))
+    s = p.groupBy("sensor").agg(
+        F.count(F.lit(1)).alias("n"), F.regr_slope("val", "prd").alias("slope"), F.regr_intercept("val", "prd").alias("icpt"), F.corr("prd", "val").alias("r"), F.var_pop("prd").alias("vx"), F.var_pop("val").alias("vy"), F.avg("prd").alias("mx")
+    ).where("n > 2")
+    v, r = F.col("n") - 2, F.col("r")
+    t = F.lit(_Z)
+    for k, x in enumerate(_T95):
+        t = t + x / F.pow(v, F.lit(k + 1))
+    width = t * F.sqrt((1 - r * r) * F.col("vy") / F.col("vx") / v)
+    return s.select("sensor", "n", _R(F.col("slope"), "slope"), _R(F.col("icpt"), "intercept"), _R(r, "r"), F.round(width, 6).alias("slope_95"), F.round(width * F.sqrt(F.col("vx") + F.col("mx") * F.col("mx")), 6).alias("intercept_95"))
+
+
+@query(
+    ctes(WIND)
+    + """, m AS (SELECT cell, month(t0)::INTEGER AS mon, u, v, iu, iv FROM wind),
+ s AS (SELECT cell, mon, CAST(count(*) AS DOUBLE) AS n, sum(u) AS su, sum(v) AS sv, sum(iu) AS si, sum(iv) AS sj, sum(u*u+v*v) AS ww, sum(u*iu+v*iv) AS re, sum(u*iv-v*iu) AS im FROM m GROUP BY ALL
+  HAVING count(*) > CASE WHEN (cell%2=0 AND mon IN (6,7,8,9)) OR (cell%2=1 AND mon IN (11,12,1,2)) THEN 5 ELSE 10 END)
+SELECT cell, mon, CAST(n AS BIGINT) AS n, round((n*re-(su*si+sv*sj))/(n*ww-(su*su+sv*sv)),6)+0.0 AS a_real, round((n*im-(su*sj-sv*si))/(n*ww-(su*su+sv*sv)),6)+0.0 AS a_imag FROM s"""
+)
+def complex_lsq_monthly(spark, sf_dir):
+    """The fit by cell and month of the year; a summer month of the cell's hemisphere needs more than 5 pairs, another more than 10."""
+    from spindrift.operators.winds import fit
+
+    w = wind(spark, sf_dir).withColumn("mon", F.month("t0"))
+    north = F.col("cell") % 2 == 0
+    summer = (north & F.col("mon").isin(6, 7, 8, 9)) | (~north & F.col("mon").isin(11, 12, 1, 2))
+    return fit(w, "cell", F.when(summer, 5).otherwise(10), "mon").select("cell", "mon", "n", _R(F.col("ar"), "a_real"), _R(F.col("ai"), "a_imag"))
 
 
 @query(
     ctes(VEC)
-    + """, c AS (SELECT CAST(floor(sigma*2) AS BIGINT) AS b1, CAST(floor(abs(dy)) AS BIGINT) AS b2, dx, CAST(obs AS DOUBLE) AS o FROM vec) SELECT b1, b2, count(*) AS n, round(corr(dx,o),6)+0.0 AS r FROM c WHERE b2<3 GROUP BY ALL HAVING count(*)>100"""
+    + """, c AS (SELECT CAST(floor(sigma*2) AS BIGINT) AS b1, CAST(floor(abs(dy)) AS BIGINT) AS b2, dx, CAST(obs AS DOUBLE) AS o FROM vec) SELECT b1, b2, count(*) AS n, round(corr(dx,o),6)+0.0 AS r FROM c GROUP BY ALL HAVING count(*)>100"""
 )
 def timecoll_correlation(spark, sf_dir):
-    c = vec(spark, sf_dir).select(F.floor(F.col("sigma") * 2).alias("b1"), F.floor(F.abs("dy")).alias("b2"), "dx", F.col("obs").cast("double").alias("o")).where("b2 < 3")
+    c = vec(spark, sf_dir).select(F.floor(F.col("sigma") * 2).alias("b1"), F.floor(F.abs("dy")).alias("b2"), "dx", F.col("obs").cast("double").alias("o"))
     return c.groupBy("b1", "b2").agg(F.count(F.lit(1)).alias("n"), _R(F.corr("dx", "o"), "r")).where("n > 100")
 
 

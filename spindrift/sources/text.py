@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindrift.runtime import cut_lineage
+
 
 @dataclass(frozen=True)
 class Catalogue:
@@ -77,13 +79,19 @@ def records(lines: DataFrame, spec: Catalogue, line: str = "value", number: str
     return rows.where(good)
 
 
-def defines(lines: DataFrame, line: str = "value", depth: int = 8) -> DataFrame:
-    """(key, value) of `#define KEY VALUE` lines; a value that is another key is followed, up to `depth` times."""
+def defines(lines: DataFrame, line: str = "value") -> DataFrame:
+    """(key, value) of `#define KEY VALUE` lines; a value that is another key is followed to its end, null where it leads back to itself.
+
+    Each round doubles the steps that are behind a row, so a chain of n names takes log2(n) rounds.
+    """
     pattern = r"^\s*#define\s+(\w+)\s+(\S+)"
     rows = lines.where(F.col(line).rlike(pattern)).select(F.regexp_extract(line, pattern, 1).alias("key"), F.regexp_extract(line, pattern, 2).alias("value"))
-    known = rows.groupBy("key").agg(F.max("value").alias("value"))
-    out = known
-    for _ in range(depth):
-        step = known.select(F.col("key").alias("value"), F.col("value").alias("_next"))
-        out = out.join(step, "value", "left").select("key", F.coalesce("_next", "value").alias("value"))
-    return out
+    out = cut_lineage(rows.groupBy("key").agg(F.max("value").alias("value")))
+    for _ in range(out.count().bit_length() + 1):
+        open_ = out.join(out.select(F.col("key").alias("value")), "value", "left_semi")
+        if open_.isEmpty():
+            return out
+        step = out.select(F.col("key").alias("value"), F.col("value").alias("_next"))
+        out = cut_lineage(out.join(step, "value", "left").select("key", F.coalesce("_next", "value").alias("value")))
+    circle = out.select(F.col("key").alias("value"), F.lit(True).alias("_again"))
+    return out.join(circle, "value", "left").select("key", F.when(F.col("_again"), None).otherwise(F.col("value")).alias("value"))
