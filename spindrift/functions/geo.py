@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import atanh, cos, pi, radians, sin, sqrt, tan
+from math import atanh, cos, log, pi, radians, sin, sqrt, tan
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,6 +51,18 @@ class Ellipsoid:
 
 WGS84 = Ellipsoid(6378137.0, 6356752.314245179)
 HUGHES = Ellipsoid(6378273.0, 6356889.44891)
+GRS80 = Ellipsoid(6378137.0, 6356752.314140356)
+
+
+def _geodetic(chi: Column, e2: float) -> Column:
+    """Latitude of a conformal latitude, both in radians (Snyder 1987, 3-5)."""
+    return (
+        chi
+        + (e2 / 2 + 5 * e2**2 / 24 + e2**3 / 12 + 13 * e2**4 / 360) * F.sin(2 * chi)
+        + (7 * e2**2 / 48 + 29 * e2**3 / 240 + 811 * e2**4 / 11520) * F.sin(4 * chi)
+        + (7 * e2**3 / 120 + 81 * e2**4 / 1120) * F.sin(6 * chi)
+        + 4279 * e2**4 / 161280 * F.sin(8 * chi)
+    )
 
 
 @dataclass(frozen=True)
@@ -116,14 +128,44 @@ class Stere:
     def inverse(self, x: Column, y: Column) -> tuple[Column, Column]:
         e2, side = self.ellipsoid.e**2, (1.0 if self.north else -1.0)
         chi = F.lit(pi / 2) - 2 * F.atan(F.sqrt(x * x + y * y) / self.scale)
-        lat = (
-            chi
-            + (e2 / 2 + 5 * e2**2 / 24 + e2**3 / 12 + 13 * e2**4 / 360) * F.sin(2 * chi)
-            + (7 * e2**2 / 48 + 29 * e2**3 / 240 + 811 * e2**4 / 11520) * F.sin(4 * chi)
-            + (7 * e2**3 / 120 + 81 * e2**4 / 1120) * F.sin(6 * chi)
-            + 4279 * e2**4 / 161280 * F.sin(8 * chi)
-        )
-        return F.degrees(side * lat), wrap_any(side * F.degrees(F.atan2(side * x, -side * y)) + self.lon0)
+        return F.degrees(side * _geodetic(chi, e2)), wrap_any(side * F.degrees(F.atan2(side * x, -side * y)) + self.lon0)
+
+
+@dataclass(frozen=True)
+class Lcc:
+    """Lambert conformal conic with two standard parallels (Snyder 1987, 15), the origin on the equator or north of it: metres."""
+
+    lat1: float
+    lat2: float
+    lat0: float
+    lon0: float
+    x0: float = 0.0
+    y0: float = 0.0
+    ellipsoid: Ellipsoid = GRS80
+
+    def _constants(self) -> tuple[float, float, float]:
+        """The cone's constant, the radius where t is 1, and the origin's radius."""
+        e = self.ellipsoid.e
+        t = lambda p: tan(pi / 4 - p / 2) / ((1 - e * sin(p)) / (1 + e * sin(p))) ** (e / 2)
+        m = lambda p: cos(p) / sqrt(1 - (e * sin(p)) ** 2)
+        p1, p2 = radians(self.lat1), radians(self.lat2)
+        n = log(m(p1) / m(p2)) / log(t(p1) / t(p2))
+        unit = self.ellipsoid.a * m(p1) / (n * t(p1) ** n)
+        return n, unit, unit * t(radians(self.lat0)) ** n
+
+    def forward(self, lat: Column, lon: Column) -> tuple[Column, Column]:
+        n, unit, rho0 = self._constants()
+        e, p = self.ellipsoid.e, F.radians(lat)
+        s = e * F.sin(p)
+        rho = unit * F.pow(F.tan(F.lit(pi / 4) - p / 2) / F.pow((1 - s) / (1 + s), F.lit(e / 2)), F.lit(n))
+        turn = n * F.radians(wrap_any(lon - self.lon0))
+        return rho * F.sin(turn) + self.x0, rho0 - rho * F.cos(turn) + self.y0
+
+    def inverse(self, x: Column, y: Column) -> tuple[Column, Column]:
+        n, unit, rho0 = self._constants()
+        east, north = x - self.x0, rho0 - (y - self.y0)
+        chi = F.lit(pi / 2) - 2 * F.atan(F.pow(F.sqrt(east * east + north * north) / unit, F.lit(1 / n)))
+        return F.degrees(_geodetic(chi, self.ellipsoid.e**2)), wrap_any(F.degrees(F.atan2(east, north) / n) + self.lon0)
 
 
 def to_cell(x: Column, y: Column, bx: float, ax: float, by: float, ay: float) -> tuple[Column, Column]:

@@ -1,6 +1,7 @@
 import struct
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from spindrift.operators import merge
@@ -21,13 +22,43 @@ def test_catalogue_rows(spark):
     got = text.records(lines("2015-05-06T07:08,-70.5,10,GPS position better than 100m", "2015-05-06T07:09,-70.5,10,poor"), text.CATALOGUES["awi"]).collect()
     assert [(r.lat, r.source) for r in got] == [(-70.5, 1)]
     got = text.records(lines("1/2/2012 3:04,80,5,iridium", "x,y,z", "1/2/2012 3:05,81,5,GPS"), text.CATALOGUES["crrel"]).collect()
-    assert [(r.lat, r.source) for r in got] == [(80.0, 0), (81.0, 1)]
-    got = text.records(lines("2007 10.5 80.5N 10.0W"), text.CATALOGUES["tara"]).collect()
-    assert [(str(r.datetime), r.lat, r.lon) for r in got] == [("2007-01-10 12:00:00", 80.5, 350.0)]
+    assert [(r.lat, r.source) for r in got] == [(80.0, 0)]  # the file ends at its first bad line
+    drift = spark.createDataFrame([("7 80.5N 10.0W 3 x-010/1230", "a.2007"), ("7 80.5N 10.0W 2 x-010/1230", "a.2007"), ("8 80.5N 10.0W 3 x-010/1230", "a.2007"), ("7 80.5 10.0W 3 x-010/1230", "a.2007"), ("7 1N 1E 3 x", None)], "value string, file string").selectExpr("0 AS line_no", "*")
+    got = text.records(drift, text.CATALOGUES["tara"], file="file", buoy="7").collect()
+    assert [(str(r.datetime), r.lat, r.lon) for r in got] == [("2007-01-10 12:30:00", 80.5, 350.0)]
+    got = text.records(lines("# c", "1 2012-01-02 03:04:05 0.5 -70 10", "0 2012-01-02 03:04:05 0.5 -71 10"), text.CATALOGUES["sams"]).collect()
+    assert [(str(r.datetime), r.lat, r.lon) for r in got] == [("2012-01-02 03:04:05", -70.0, 10.0)]
     defs = text.defines(spark.createDataFrame([("#define A 1",), ("#define B A",), ("#define C B // x",), ("int x;",)], "value string"))
     assert {r.key: r.value for r in defs.collect()} == {"A": "1", "B": "1", "C": "1"}
 
 
+def test_stops_are_of_one_file(spark):
+    rows = [(0, "1/2/2012 3:04,80,5,a", "p"), (1, "1/2/2012 3:04,,5,a", "p"), (2, "1/2/2012 3:04,82,5,a", "p"), (1, "1/2/2012 3:04,83,5,a", "q"), (0, "1/2/2012 3:04,84,5,a", None), (1, "", None), (2, "bad", None), (3, "1/2/2012 3:04,85,5,a", None)]
+    lines = spark.createDataFrame(rows, "line_no int, value string, file string")
+    got = text.records(lines, text.CATALOGUES["crrel"], file="file", carry=("file", "line_no")).collect()
+    assert sorted((str(r.file), r.lat) for r in got) == [("None", 84.0), ("p", 80.0), ("q", 83.0)]
+    assert text.records(lines.limit(0), text.CATALOGUES["crrel"], file="file").count() == 0
+
+
+def test_conic_projection_round_trip(spark):
+    cone = text.CATALOGUES["hudson"].grid
+    places = spark.range(400).select((40 + F.col("id") % 40 + 0.25).alias("lat"), (F.col("id") - 240.5).alias("lon")).withColumn("lon", F.col("lon") % 180)
+    x, y = cone.forward(F.col("lat"), F.col("lon"))
+    lat, lon = cone.inverse(F.col("x"), F.col("y"))
+    off = places.withColumn("x", x).withColumn("y", y).select(F.max(F.abs(lat - F.col("lat"))).alias("a"), F.max(F.abs(lon - F.col("lon"))).alias("b")).first()
+    assert off.a < 1e-8 and off.b < 1e-8
+
+
+def test_times_of_gridded_buoys(spark):
+    rows = spark.createDataFrame([("a", 60, -70.0, -10.0), ("a", 120, None, 1.0), ("b", 60, -71.0, 1.0), ("a", 180, float("nan"), 1.0)], "buoy string, time long, lat double, lon double")
+    got = text.numbered_times(rows, "seconds since 03 04 2017 12:30 UTC", "a").collect()
+    assert [(str(r.datetime), r.lat, r.lon, r.source) for r in got] == [("2017-04-03 12:31:00", -70.0, 350.0, 0)]
+    with pytest.raises(ValueError):
+        text.numbered_times(rows, "days since 2017-04-03")
+    rows = spark.createDataFrame([("01-APR-2007 10:20:30", 80.0, 5.0), ("never", 80.0, 5.0)], "time_string string, latitude double, longitude double")
+    assert [(str(r.datetime), r.source) for r in text.written_times(rows, "argos").collect()] == [("2007-04-01 10:20:30", 0)]
+
+
 def classic(dx: np.ndarray) -> bytes:
     """A classic file with dimensions y, x and variables dX (float, with a fill value) and flag (short)."""
     name = lambda s: struct.pack(">i", len(s)) + s.encode() + b"\0" * (-len(s) % 4)
