@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import decontaminate, exact_dedup, language, packing, passages, pii, quality, secrets, simhash, toxicity
+from spindrift.llm import alignment, decontaminate, exact_dedup, language, packing, passages, pii, quality, secrets, simhash, toxicity
 from spindrift.runtime import table
 
 
 TOXIC_AT, GOOD_AT = 0.7, 0.3
 
 
-def tokenizer() -> str:
-    """The place of the vocabulary on this machine."""
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
+    """The place of a vocabulary on this machine."""
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def held_out(parts: int, held: int):
@@ -99,6 +99,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in range(4)), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.measure(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op2_passages": op2_passages,
     "op7_secrets": op7_secrets,
@@ -110,6 +114,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_exact_dedup": op4_exact_dedup,
     "op8_simhash": op8_simhash,
+    "op12_alignment": op12_alignment,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
