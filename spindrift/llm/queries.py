@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import alignment, decontaminate, exact_dedup, language, packing, passages, pii, quality, secrets, simhash, topk, toxicity
+from spindrift.llm import alignment, conversations, decontaminate, exact_dedup, language, packing, passages, pii, quality, repair_sql, secrets, simhash, topk, toxicity
 from spindrift.runtime import table
 
 
@@ -99,6 +99,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in range(4)), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")), gone=F.col("gone"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.measure(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
 
@@ -118,6 +122,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_exact_dedup": op4_exact_dedup,
     "op8_simhash": op8_simhash,
+    "op11_conversations": op11_conversations,
     "op12_alignment": op12_alignment,
     "op13_topk": op13_topk,
 }
@@ -146,6 +151,7 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM n
 """,
+    "op11_conversations": repair_sql.SQL,
     "op13_topk": """
 WITH v AS (SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

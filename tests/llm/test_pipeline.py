@@ -22,6 +22,7 @@ CONTRACT = {
     "op8_simhash": ["doc_id", "fingerprint", "component_id"],
     "op9_quality": ["doc_id", "held_out", "score", "predicted"],
     "op10_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+    "op11_conversations": ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"],
     "op12_alignment": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
     "op13_topk": ["query_id", "rank", "vec_id", "score"],
 }
