@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import geo
-from spindrift.operators import stencil, tracking
+from spindrift.operators import patterns, stencil, tracking
 from spindrift.queries.adapters import PX, VEC, ctes, px, vec
 from spindrift.queries.registry import query
 from spindrift.runtime import table
@@ -171,23 +171,64 @@ def smallest_spacing(spark, sf_dir):
     return d.select("image", (at(2) - at(1)).alias("spacing"), (at(1) - 0.5).alias("left_"), (at(-1) + 0.5).alias("right_"))
 
 
-_CODE = "CASE WHEN abs(v)<0.02 THEN 9 WHEN v<-0.1 THEN 1 ELSE 3 END"
+#: Ice edge and state of a pixel from its value; every 17th image is open water.
+_EDGE = "CASE WHEN abs(v)<0.002 THEN 9 WHEN image%17=3 OR v<-0.25 THEN 1 WHEN v<-0.2 THEN 2 ELSE 3 END"
+_STATE = "CASE WHEN v>0.27 THEN -1 WHEN v>0.255 THEN 1 ELSE 0 END"
+
+
+def _coded(spark, sf_dir):
+    v = F.col("v")
+    edge = F.when(F.abs(v) < 0.002, 9).when((F.col("image") % 17 == 3) | (v < -0.25), 1).when(v < -0.2, 2).otherwise(3)
+    return px(spark, sf_dir).select("image", "x", "y", "v", edge.alias("edge"), F.when(v > 0.27, -1).when(v > 0.255, 1).otherwise(0).alias("tc"))
 
 
 @query(
     ctes(PX)
-    + f""", e AS (SELECT image, x, y, {_CODE} AS edge FROM px), o AS (SELECT i,j FROM (SELECT unnest([-1,0,1]) AS i), (SELECT unnest([-1,0,1]) AS j)),
- n AS (SELECT p.image, p.x, p.y, p.edge, count(q.edge) AS n_in, count(*) FILTER (WHERE q.edge IN (2,3)) AS n_ice FROM e p CROSS JOIN o LEFT JOIN e q ON q.image=p.image AND q.x=p.x+i AND q.y=p.y+j GROUP BY ALL)
-SELECT image, x, y, CASE WHEN n_in<9 THEN 2 WHEN edge>=9 THEN 3 WHEN n_ice=0 THEN 4 WHEN n_ice<n_in THEN 5 ELSE 0 END AS flag FROM n"""
+    + f""", e AS (SELECT image, x, y, {_EDGE} AS edge, {_STATE} AS tc FROM px),
+ o AS (SELECT i, j, i*i+j*j<=1 AS small FROM (SELECT unnest(range(-2,3)) AS i), (SELECT unnest(range(-2,3)) AS j) WHERE i*i+j*j<=4),
+ c AS (SELECT p.image, x, y FROM (SELECT DISTINCT image FROM px) p JOIN (SELECT DISTINCT image-1 AS image FROM px) q USING (image), (SELECT unnest(range(-1,9)) AS x), (SELECT unnest(range(-1,9)) AS y)),
+ j AS (SELECT c.image, c.x, c.y, i=0 AND j=0 AS middle, small, a.edge AS e0, a.tc IS NOT NULL AS there, a.edge IN (2,3) AND b.edge IN (2,3) AS ice,
+   coalesce(a.tc=-1,false) OR coalesce(b.tc=-1,false) AS gone, coalesce(a.tc=1,false) OR coalesce(b.tc=1,false) AS unread
+   FROM c CROSS JOIN o LEFT JOIN e a ON a.image=c.image AND a.x=c.x+i AND a.y=c.y+j LEFT JOIN e b ON b.image=c.image+1 AND b.x=c.x+i AND b.y=c.y+j),
+ n AS (SELECT image, x, y, bool_or(middle AND there) AS inside, bool_and(there) AS all_there, max(e0) FILTER (WHERE middle) AS edge,
+   count(*) AS pl, count(*) FILTER (WHERE ice) AS il, count(*) FILTER (WHERE gone) AS ml, count(*) FILTER (WHERE unread) AS ul,
+   count(*) FILTER (WHERE small) AS ps, count(*) FILTER (WHERE small AND ice) AS s_i, count(*) FILTER (WHERE small AND gone) AS ms, count(*) FILTER (WHERE small AND unread) AS us FROM j GROUP BY ALL),
+ f AS (SELECT image, x, y, CASE WHEN NOT inside THEN 1 WHEN NOT all_there THEN 2 WHEN edge>=9 THEN 3 WHEN il=0 THEN 4
+   WHEN il=pl THEN CASE WHEN ul>0 THEN 7 WHEN ml=0 THEN 0 WHEN ms>0 THEN 6 ELSE 0 END
+   WHEN s_i<>ps THEN 5 WHEN us>0 THEN 7 WHEN ms>0 THEN 6 ELSE 0 END AS flag,
+   CASE WHEN NOT inside OR NOT all_there OR edge>=9 THEN -1 WHEN il=0 THEN 0 WHEN il<pl THEN 1 WHEN ul>0 OR ml=0 THEN 0 ELSE 1 END AS pattern FROM n)
+SELECT image, x, y, flag, pattern, CASE WHEN flag=0 AND pattern=1 THEN 17 ELSE flag END AS product_flag FROM f"""
 )
 def tracking_flag_ladder(spark, sf_dir):
-    """Border, land, no ice, not all ice, else fine."""
-    v = F.col("v")
-    e = px(spark, sf_dir).select("image", "x", "y", F.when(F.abs(v) < 0.02, 9).when(v < -0.1, 1).otherwise(3).alias("v"))
-    n = stencil.neighbours(e, [(i, j) for j in (-1, 0, 1) for i in (-1, 0, 1)]).groupBy("image", "x", "y", F.col("v").alias("edge")).agg(F.count(F.lit(1)).alias("n_in"), F.count_if(F.col("nv").isin(2, 3)).alias("n_ice"))
-    n_in, n_ice = F.col("n_in"), F.col("n_ice")
-    flag = F.when(n_in < 9, 2).when(F.col("edge") >= 9, 3).when(n_ice == 0, 4).when(n_ice < n_in, 5).otherwise(0)
-    return n.select("image", "x", "y", flag.alias("flag"))
+    """Cells of each image and the next: outside, border, land, no ice, edge, missing, unprocessed, else fine with the large or the small pattern."""
+    e = _coded(spark, sf_dir)
+    second = e.withColumn("image", F.col("image") - 1)
+    pairs = e.select("image").distinct().join(second.select("image").distinct(), "image")
+    side = F.sequence(F.lit(-1), F.lit(8))
+    cells = pairs.withColumn("x", F.explode(side)).withColumn("y", F.explode(side)).select("image", F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"))
+    return patterns.ladder(cells, e, second, 2, 1)
+
+
+_AROUND = """o AS (SELECT i, j, greatest(abs(i),abs(j)) AS ring FROM (SELECT unnest(range(-2,3)) AS i), (SELECT unnest(range(-2,3)) AS j) WHERE i<>0 OR j<>0),
+ n AS (SELECT p.image, p.x, p.y, count(*) FILTER (WHERE q.v IS NULL) AS gone, avg(q.v) FILTER (WHERE ring=1 AND q.edge IN (2,3)) AS a, avg(q.v) FILTER (WHERE ring=2 AND q.edge IN (2,3)) AS b,
+   count(q.v) FILTER (WHERE ring=1 AND q.edge IN (2,3)) AS n1, count(q.v) FILTER (WHERE ring=2 AND q.edge IN (2,3)) AS n2,
+   count(*) FILTER (WHERE p.x>=2 AND q.v IS NULL) AS egone, count(q.v) FILTER (WHERE p.x>=2 AND ring=1 AND q.edge IN (2,3)) AS e1, count(q.v) FILTER (WHERE p.x>=2 AND ring=2 AND q.edge IN (2,3)) AS e2
+   FROM e p, o JOIN e q ON q.image=p.image AND q.x=p.x+i AND q.y=p.y+j WHERE p.v IS NOT NULL AND p.edge IN (2,3) GROUP BY ALL)"""
+
+
+@query(
+    ctes(PX)
+    + f""", e AS (SELECT image, x, y, CASE WHEN {_STATE}=-1 THEN NULL ELSE v END AS v, {_EDGE} AS edge FROM px), {_AROUND},
+ f AS (SELECT *, CASE WHEN gone>1 THEN -1 WHEN n1>=5 AND n2>=9 THEN 0 ELSE 1 END AS f, CASE WHEN egone>1 THEN -1 WHEN e1>=5 AND e2>=9 THEN 0 ELSE 1 END AS g FROM n)
+SELECT e.image, e.x, e.y, round(CASE WHEN f=0 THEN a-b END,6)+0.0 AS lap, coalesce(f,1) AS flag, round(CASE WHEN g=0 THEN a-b END,6)+0.0 AS edge_lap, coalesce(g,1) AS edge_flag
+FROM e LEFT JOIN f ON f.image=e.image AND f.x=e.x AND f.y=e.y"""
+)
+def laplacian_ice(spark, sf_dir):
+    """The Laplacian of ice pixels from ice neighbours, with the outside skipped and with rows that end at the border."""
+    e = _coded(spark, sf_dir).withColumn("v", F.when(F.col("tc") != -1, F.col("v")))
+    a = patterns.laplacian_of_ice(e).select("image", "x", "y", _R(F.col("lap"), "lap"), "flag")
+    b = patterns.laplacian_of_ice(e, stop_at_edge=True).select("image", "x", "y", _R(F.col("lap"), "edge_lap"), F.col("flag").alias("edge_flag"))
+    return a.join(b, ["image", "x", "y"])
 
 
 @query(
