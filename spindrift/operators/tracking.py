@@ -8,6 +8,7 @@ run in numpy, one image pair to a group.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -87,13 +88,14 @@ def _paired(a: np.ndarray, b: np.ndarray, d: np.ndarray, edge: int):
         yield p, s, ~np.isnan(p) & ~np.isnan(s)
 
 
-def fade(d: np.ndarray, limit: float) -> float:
-    """The weight of a displacement: near 1 within the limit, near 0 beyond."""
-    return float(1 / (1 + np.exp(min(700.0, (float(np.hypot(*d)) - limit) * 10))))
+def fade(d: np.ndarray, limit: float, centre: np.ndarray | None = None) -> float:
+    """The weight of a displacement: near 1 within the limit of `centre` (no motion, if none is given), near 0 beyond."""
+    away = np.asarray(d, float) if centre is None else np.asarray(d, float) - centre
+    return float(1 / (1 + np.exp(min(700.0, (float(np.hypot(*away)) - limit) * 10))))
 
 
-def similarity(a: np.ndarray, b: np.ndarray, d: np.ndarray, limit: float, edge: int = EDGE) -> float:
-    """Mean over the bands of the correlation of a's pattern with b, moved back by d, weighed down beyond the limit.
+def similarity(a: np.ndarray, b: np.ndarray, d: np.ndarray, limit: float, edge: int = EDGE, centre: np.ndarray | None = None) -> float:
+    """Mean over the bands of the correlation of a's pattern with b, moved back by d, weighed down beyond the limit of `centre`.
 
     a and b are [y, x] or [band, y, x]. A band counts where three quarters of its pattern's pixels
     are there; -1 where none does.
@@ -102,10 +104,10 @@ def similarity(a: np.ndarray, b: np.ndarray, d: np.ndarray, limit: float, edge:
     for p, s, ok in _paired(a, b, d, edge):
         if ok.sum() >= 0.75 * p.size and p[ok].std() > 0 and s[ok].std() > 0:
             found.append(float(np.corrcoef(p[ok], s[ok])[0, 1]))
-    return (float(np.mean(found)) + 1) * fade(d, limit) - 1 if found else -1.0
+    return (float(np.mean(found)) + 1) * fade(d, limit, centre) - 1 if found else -1.0
 
 
-def difference(a: np.ndarray, b: np.ndarray, d: np.ndarray, limit: float, edge: int = EDGE) -> float:
+def difference(a: np.ndarray, b: np.ndarray, d: np.ndarray, limit: float, edge: int = EDGE, centre: np.ndarray | None = None) -> float:
     """Half the sum of squared differences after the best linear scaling of the pattern, over the weight of d; infinite without pixels."""
     total, found = 0.0, False
     for p, s, ok in _paired(a, b, d, edge):
@@ -113,16 +115,16 @@ def difference(a: np.ndarray, b: np.ndarray, d: np.ndarray, limit: float, edge:
             p, s, found = p[ok], s[ok], True
             alpha = ((p - p.mean()) * (s - s.mean())).mean() / p.var()
             total += 0.5 * float(((alpha * p + s.mean() - alpha * p.mean() - s) ** 2).sum())
-    return total / max(fade(d, limit), 1e-300) if found else float("inf")
+    return total / max(fade(d, limit, centre), 1e-300) if found else float("inf")
 
 
 #: The metrics that a displacement can be found by; climb looks for the greatest value.
 METRICS: dict[str, Callable[..., float]] = {"CC": similarity, "SD": lambda *x, **y: -difference(*x, **y)}
 
 
-def posterior(a: np.ndarray, b: np.ndarray, at: np.ndarray, limit: float) -> tuple[float, float, float, int]:
+def posterior(a: np.ndarray, b: np.ndarray, at: np.ndarray, limit: float, centre: np.ndarray | None = None) -> tuple[float, float, float, int]:
     """(variance of x, of y, covariance, flag) at a displacement: 0 fine, 1 a negative variance, 2 no inverse."""
-    cov = covariance(lambda d: -difference(a, b, d, limit), np.asarray(at, float))
+    cov = covariance(lambda d: -difference(a, b, d, limit, centre=centre), np.asarray(at, float))
     if cov is None or not np.isfinite(cov).all():
         return float("nan"), float("nan"), float("nan"), 2
     return float(cov[0, 0]), float(cov[1, 1]), float(cov[0, 1]), int(min(cov[0, 0], cov[1, 1]) < 0)
@@ -151,30 +153,50 @@ def track(a: np.ndarray, b: np.ndarray, limit: float, metric: str = "CC", least:
     return float(at[0]), float(at[1]), value, flag
 
 
-def optimum_near(a: np.ndarray, b: np.ndarray, mean: np.ndarray, within: float, limit: float) -> tuple[np.ndarray, float]:
-    """Best displacement within a distance of `mean`, and its correlation."""
+def optimum_near(a: np.ndarray, b: np.ndarray, mean: np.ndarray, within: float) -> tuple[np.ndarray, float, bool]:
+    """Best displacement about `mean`, its correlation, and whether it was found.
+
+    The sigmoid is centred on the mean and as long as `within`; the climb starts from the best three of the ring half as far.
+    """
+    score = lambda d: similarity(a, b, np.asarray(d, float), within, centre=mean)
+    starts = sorted((mean + np.array(d) for d in candidates(within, within / 2, within)), key=lambda d: -score(d))[:3]
+    if score(starts[2]) <= -1:
+        return np.full(2, np.nan), -1.0, False
+    return climb(score, np.array(starts))
+
+
+class Found(NamedTuple):
+    """An optimum about a mean: where, its correlation, whether it was found, and its posterior (variances, covariance, flag)."""
+
+    at: np.ndarray
+    corr: float
+    good: bool = True
+    spread: tuple[float, float, float, int] = (np.nan, np.nan, np.nan, -1)
 
-    def score(d):
-        return similarity(a, b, d, limit) if np.hypot(*(d - mean)) <= within else -2.0
 
-    at, value, _ = climb(score, mean + np.array([[0, 0], [0.2, 0], [0, 0.2]]) * within)
-    return at, value
+OK, FAILED, LOW, REFUSED, CORRECTED, NO_MEAN = 0, 9, 10, 12, 13, 14
+SPREAD = ("var_x", "var_y", "cov_xy", "uflag")
+SPREAD_NONE = (np.nan, np.nan, np.nan, -1)
 
 
-def correct(vectors: pd.DataFrame, furthest: float = 10.0, least: int = 5, radius: float = 1.5, again: Callable[[int, np.ndarray], tuple[np.ndarray, float]] | None = None, correlation: float = 0.5) -> pd.DataFrame:
-    """Worst first, vectors further than `furthest` from the mean of their neighbours are found anew near that mean, or go.
+def correct(
+    vectors: pd.DataFrame, furthest: float = 10.0, least: int = 5, radius: float = 1.5, again: Callable[[int, np.ndarray], Found] | None = None, correlation: float = 0.3, mean_correlation: float = 0.3, most: int = 50
+) -> pd.DataFrame:
+    """Worst first, vectors further than `furthest` from the mean of their neighbours are found anew about that mean, or go.
 
-    again(row of vectors, mean) gives a new optimum near the mean and its correlation: from
-    `correlation` on the vector takes it (flag 13), below, or where that is too far off once more,
-    it goes (flag 12). Without `again` the vector takes the mean itself. Only neighbours that are
-    themselves held (flag 0 or 13), and with a column corr only those from `correlation` on, make a
-    mean. A vector goes from 0 to 13 to 12, so this ends, with no vector further than `furthest`.
+    Rows have x, y, dx, dy and flag, 0 or 9 (not found: as far off as can be), and may have corr. At first vectors of flag 0, later
+    those of flag 0 and 13, whose correlation is `mean_correlation` or more make the means, of `least` of them or more.
+    The worst one is found anew by again(row of vectors, mean): it becomes 13 where that succeeds with `correlation` or more, else 12,
+    which is final; then its neighbours' means and distances follow, its own distance stays with the mean it was found by. Without
+    `again` it takes the mean. In the end what is left of 0 and 13 becomes 14 without enough neighbours
+    and 10 below `correlation`. Neighbours may push a vector out again, which is found anew `most` times and then goes, so this ends.
     """
     v = vectors.sort_values(["y", "x"], kind="stable")
     rows = v.index.to_numpy()
     v = v.reset_index(drop=True)
     xy, d, flag = v[["x", "y"]].to_numpy(float), v[["dx", "dy"]].to_numpy(float).copy(), v["flag"].to_numpy().copy()
     corr = v["corr"].to_numpy(float).copy() if "corr" in v else np.ones(len(v))
+    spread = [list(v[c]) if c in v else [SPREAD_NONE[k]] * len(v) for k, c in enumerate(SPREAD)]
     cells: dict[tuple[int, int], list[int]] = {}
     side = max(radius, 1e-9)
     for i, (x, y) in enumerate(xy):
@@ -186,60 +208,78 @@ def correct(vectors: pd.DataFrame, furthest: float = 10.0, least: int = 5, radiu
         return np.sort(some[((xy[some] - xy[i]) ** 2).sum(1) <= radius**2])
 
     near = [beside(i) for i in range(len(v))]
+    means, many, gaps, tries = np.full((len(v), 2), np.nan), np.zeros(len(v), int), np.full(len(v), -1.0), np.zeros(len(v), int)
 
-    def off(i: int) -> tuple[float, np.ndarray | None]:
-        n = near[i][np.isin(flag[near[i]], (0, 13)) & (corr[near[i]] >= correlation)]
-        if flag[i] not in (0, 13) or len(n) < least:
-            return -1.0, None
-        mean = d[n].mean(0)
-        return float(np.hypot(*(d[i] - mean))), mean
+    def measure(i: int, kinds: tuple[int, ...]) -> None:
+        n = near[i][np.isin(flag[near[i]], kinds) & (corr[near[i]] >= mean_correlation)]
+        many[i], means[i] = len(n), d[n].mean(0) if len(n) else np.nan
+        if len(n) < least:
+            gaps[i] = -2.0
+        else:
+            gaps[i] = np.inf if np.isnan(d[i]).any() else np.hypot(*(d[i] - means[i]))
 
-    gaps = np.array([off(i)[0] for i in range(len(v))])
-    while len(gaps) and not gaps.max() <= furthest:
+    for i in range(len(v)):
+        measure(i, (OK,))
+    while len(gaps) and gaps.max() > furthest:
         i = int(gaps.argmax())
-        _, mean = off(i)
-        if flag[i] == 13 or mean is None:
-            flag[i] = 12
-        else:
-            at, value = again(rows[i], mean) if again else (mean, 1.0)
-            if value >= correlation:
-                d[i], flag[i], corr[i] = at, 13, value if again else corr[i]
-            else:
-                flag[i] = 12
-        for j in (i, *near[i]):
-            gaps[j] = off(j)[0]
+        if flag[i] == REFUSED:
+            gaps[i] = -3.0
+            continue
+        flag[i], tries[i] = REFUSED, tries[i] + 1
+        got = again(rows[i], means[i].copy()) if again else Found(means[i].copy(), 1.0)
+        if got.good and got.corr >= correlation and tries[i] <= most:
+            d[i], corr[i], flag[i] = got.at, got.corr, CORRECTED
+            for k, x in enumerate(got.spread):
+                spread[k][i] = x
+        gaps[i] = np.hypot(*(d[i] - means[i])) if flag[i] == CORRECTED else -3.0
+        for j in near[i]:
+            measure(j, (OK, CORRECTED))
+    held = np.isin(flag, (OK, CORRECTED))
+    flag = np.where(held & (many < least), NO_MEAN, np.where(held & (corr < correlation), LOW, flag))
     v[["dx", "dy"]] = d
     v["flag"] = flag
     if "corr" in v:
         v["corr"] = corr
+    for k, c in enumerate(SPREAD):
+        if c in v:
+            v[c] = [x if f in (OK, CORRECTED) else SPREAD_NONE[k] for x, f in zip(spread[k], flag, strict=True)]
     return v
 
 
 def correct_images(pairs: DataFrame, group: str, width: int, limit: float, furthest: float) -> DataFrame:
-    """(group, x, y, dx, dy, corr, flag) for rows (group, x, y, a, b) of image pairs on a grid: each is tracked, then outliers of the group are corrected on their own images.
+    """(group, x, y, dx, dy, corr, flag, var_x, var_y, cov_xy, uflag) for rows (group, x, y, a, b) of image pairs on a grid.
 
-    A group is one field of vectors, of one date and sensor: its grid bounds it.
+    Each pair is tracked, then outliers of the group are found anew on their own images, with their posterior. A group is one
+    field of vectors, of one date and sensor: its grid bounds it. uflag is -1 where there is no vector.
     """
     ship(pairs.sparkSession)
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
         t = t.reset_index(drop=True)
         images = [tuple(np.array(t[c][i], float).reshape(-1, width) for c in "ab") for i in range(len(t))]
-        found = [track(a, b, limit) for a, b in images]
+        found = [track(a, b, limit, least=-2.0) for a, b in images]
         v = t[[group, "x", "y"]].assign(**{n: [f[k] for f in found] for k, n in enumerate(("dx", "dy", "corr", "flag"))})
-        return correct(v, furthest, again=lambda i, mean: optimum_near(*images[i], mean, furthest, limit))
+        spreads = [posterior(*images[i], np.array(f[:2]), limit) if f[3] == OK else SPREAD_NONE for i, f in enumerate(found)]
+        v = v.assign(**{c: [x[k] for x in spreads] for k, c in enumerate(SPREAD)})
+
+        def again(i: int, mean: np.ndarray) -> Found:
+            at, corr, good = optimum_near(*images[i], mean, furthest)
+            return Found(at, corr, good, posterior(*images[i], at, furthest, centre=mean) if good else SPREAD_NONE)
+
+        return correct(v, furthest, again=again)
 
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    return pairs.select(group, "x", "y", "a", "b").groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, x {kinds['x']}, y {kinds['y']}, dx double, dy double, corr double, flag int")
+    schema = f"{group} {kinds[group]}, x {kinds['x']}, y {kinds['y']}, dx double, dy double, corr double, flag int, var_x double, var_y double, cov_xy double, uflag int"
+    return pairs.select(group, "x", "y", "a", "b").groupBy(group).applyInPandas(run, schema)
 
 
-def track_pairs(pairs: DataFrame, width: int, limit: float = 3.0) -> DataFrame:
-    """(pair, dx, dy, corr, flag) for rows (pair, a, b) of two images as arrays, row by row."""
+def track_pairs(pairs: DataFrame, width: int, limit: float = 3.0, metric: str = "CC") -> DataFrame:
+    """(pair, dx, dy, corr, flag) for rows (pair, a, b) of two images as arrays, row by row; corr is the value of the metric."""
     ship(pairs.sparkSession)
 
     def run(batches):
         for t in batches:
-            rows = [(p, *track(np.array(a, float).reshape(-1, width), np.array(b, float).reshape(-1, width), limit)) for p, a, b in zip(t["pair"], t["a"], t["b"], strict=True)]
+            rows = [(p, *track(np.array(a, float).reshape(-1, width), np.array(b, float).reshape(-1, width), limit, metric)) for p, a, b in zip(t["pair"], t["a"], t["b"], strict=True)]
             yield pd.DataFrame(rows, columns=["pair", "dx", "dy", "corr", "flag"])
 
     return pairs.select("pair", "a", "b").mapInPandas(run, "pair bigint, dx double, dy double, corr double, flag int")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spindrift.functions import geo
-from spindrift.operators import patterns, stencil, tracking
+from spindrift.operators import coarse, patterns, stencil, tracking
 from spindrift.queries.adapters import PX, VEC, ctes, px, vec
 from spindrift.queries.registry import query
 from spindrift.runtime import table
@@ -113,6 +113,39 @@ def top3_candidates(spark, sf_dir):
     return s.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 3").select("image", "i", "j", "place", _R(F.col("r"), "rho"))
 
 
+def _ring_table() -> str:
+    moves = tracking.candidates(2.0, 0.5, 1.0)
+    return ", ".join(f"({k}, {dx!r}, {dy!r})" for k, (dx, dy) in enumerate(moves))
+
+
+@query(
+    ctes(PX)
+    + f""", k AS (SELECT * FROM (VALUES {_ring_table()}) AS t(candidate, dx, dy)), o AS (SELECT i, j FROM (SELECT unnest(range(-1,2)) AS i), (SELECT unnest(range(-1,2)) AS j) WHERE i*i+j*j<=1),
+ q AS (SELECT unnest([0,1]) AS qi), r AS (SELECT qi AS qj FROM q),
+ s AS (SELECT p.image, p.x, p.y, candidate, sum(w*e.v) AS sv, sum(w) AS sw FROM (SELECT p.image, p.x, p.y, candidate, CAST(floor(p.x+dx) AS BIGINT)+qi AS cx, CAST(floor(p.y+dy) AS BIGINT)+qj AS cy,
+   abs(1-qi-(p.x+dx-floor(p.x+dx)))*abs(1-qj-(p.y+dy-floor(p.y+dy))) AS w FROM px p, k, q, r) p JOIN px e ON e.image=p.image+1 AND e.x=cx AND e.y=cy GROUP BY ALL),
+ c AS (SELECT image, x, y FROM px WHERE x%2=1 AND y%2=0),
+ m AS (SELECT c.image, c.x, c.y, candidate, count(*) AS n, corr(p.v, sv/sw) AS rho FROM c, o JOIN px p ON p.image=c.image AND p.x=c.x+i AND p.y=c.y+j JOIN s ON s.image=p.image AND s.x=p.x AND s.y=p.y AND sw>0.75 GROUP BY ALL),
+ g AS (SELECT image, x, y, k.candidate, dx, dy, (rho+1)/(1+exp((sqrt(dx*dx+dy*dy)-2.0)*10))-1 AS score FROM m JOIN k USING (candidate) WHERE n>=0.75*5 AND rho IS NOT NULL AND NOT isnan(rho))
+SELECT image, x, y, CAST(place AS INTEGER) AS place, candidate, round(dx,9)+0.0 AS dx, round(dy,9)+0.0 AS dy, round(score,6)+0.0 AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY image, x, y ORDER BY score DESC, candidate) AS place FROM g WHERE score>-1) WHERE place<=3"""
+)
+def coarse_search(spark, sf_dir):
+    """The best three displacements of the rings for every second pixel of each image and the next, on tiles of 4 x 4 pixels."""
+    p = px(spark, sf_dir)
+    cells = p.where("x % 2 = 1 and y % 2 = 0").select("image", "x", "y")
+    got = coarse.search(cells, p, p.withColumn("image", F.col("image") - 1), limit=2.0, radius=1.0, first=0.5, step=1.0, tile=4)
+    return got.select("image", "x", "y", "place", "candidate", _R(F.col("dx"), "dx", 9), _R(F.col("dy"), "dy", 9), _R(F.col("score"), "score"))
+
+
+@query()
+def simplex_track_sd(spark, sf_dir):
+    """Motion of each image to the next by the least scaled squared difference, instead of the correlation."""
+    e = table(spark, sf_dir, "embeddings")
+    b = e.select((F.col("vec_id") - 1).alias("pair"), F.col("embedding").alias("b"))
+    return tracking.track_pairs(e.select(F.col("vec_id").alias("pair"), F.col("embedding").alias("a")).join(b, "pair"), 8, metric="SD")
+
+
 @query()
 def simplex_track(spark, sf_dir):
     """Sub-pixel motion of each image to the next by the simplex."""
@@ -149,7 +182,7 @@ def posterior_cov(spark, sf_dir):
 
 @query()
 def neighbour_correction(spark, sf_dir):
-    """Motions of image pairs on 10 x 10 grids; worst first, outliers are found anew near their neighbours' mean."""
+    """Motions of image pairs on 10 x 10 grids; worst first, outliers are found anew about their neighbours' mean, with their posterior."""
     e = table(spark, sf_dir, "embeddings")
     b = e.select((F.col("vec_id") - 1).alias("pair"), F.col("embedding").alias("b"))
     pairs = e.select(F.col("vec_id").alias("pair"), F.col("embedding").alias("a")).join(b, "pair")
