@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spindrift.functions import dims, names
 from spindrift.queries.registry import query
 from spindrift.runtime import table
+from spindrift.sources import areas
 
 _NAME = "'drift_'||CASE o_custkey%3 WHEN 0 THEN 'amsr2-gw1' WHEN 1 THEN 'ssmi-f15' ELSE 'ascat-metopA' END||'_tb37v-Lap_simplex_lev2_'||CASE WHEN o_custkey%2=0 THEN 'nh-ease2-750' ELSE 'sh-ease2-750' END||'_'||strftime(o_orderdate,'%Y%m%d')||'12w_'||strftime(o_orderdate+INTERVAL 1 DAY,'%Y%m%d')||CASE WHEN o_custkey%5=0 THEN '12' ELSE '12n' END||'.nc'"
 
@@ -126,11 +127,23 @@ def grid_dimension(spark, sf_dir):
     k = F.col("n_nationkey")
     area = F.when(k % 3 == 0, "nh-ease2-750").when(k % 3 == 1, "sh-ease2-125").otherwise("nh-stere-625")
     n = table(spark, sf_dir, "nation").select(k.alias("id"), area.alias("area_id"))
-    g = n.join(F.broadcast(dims.grids(spark)), "area_id")  # seven grids
+    known = areas.areas(areas.written(dims.grids(spark), "area_id").withColumnRenamed("area_id", "file"), file="file")
+    g = n.join(F.broadcast(known.select("area_id", "proj", "nx", "llx", "urx")), "area_id")  # seven grids
     width = F.col("urx") - F.col("llx")
     return g.select("id", "area_id", "proj", (width / F.col("nx") / 1000).alias("step_km"), (F.col("llx") + width / F.col("nx") / 2).alias("x0"))
 
 
+@query(f"SELECT n_nationkey AS file, area_id, 'Grid '||area_id AS name, proj, lat_0::DOUBLE AS lat_0, lon_0::DOUBLE AS lon_0, coalesce(lat_ts,0)::DOUBLE AS lat_ts, nx, ny, llx::DOUBLE AS llx, lly::DOUBLE AS lly, urx::DOUBLE AS urx, ury::DOUBLE AS ury FROM nation JOIN (SELECT *, row_number() OVER () - 1 AS k FROM {_GRID}) g ON g.k=n_nationkey%7")
+def area_definitions(spark, sf_dir):
+    """Area definitions written as text, one file for each nation, and read again."""
+    g = dims.grids(spark)
+    number = F.expr("CASE area_id " + " ".join(f"WHEN '{r[0]}' THEN {k}" for k, r in enumerate(dims.GRIDS)) + " END")
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("file"), (F.col("n_nationkey") % 7).alias("k"))
+    files = n.join(F.broadcast(g.withColumn("k", number.cast("bigint"))), "k")
+    got = areas.areas(areas.written(files, "file"), file="file")
+    return got.select("file", "area_id", "name", "proj", "lat_0", "lon_0", F.coalesce("lat_ts", F.lit(0.0)).alias("lat_ts"), "nx", "ny", "llx", "lly", "urx", "ury")
+
+
 _INSTR = dims.values(dims.INSTRUMENTS, "instrument, platform_prefix, channel")
 
 

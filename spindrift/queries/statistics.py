@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 from spindrift.functions.selectors import box, equals, fold, label, period
-from spindrift.operators import merge
+from spindrift.operators import merge, ranks
 from spindrift.queries.adapters import VEC, WIND, ctes, vec, wind
 from spindrift.queries.registry import query
 from spindrift.runtime import table
@@ -167,9 +167,7 @@ def uncertainty_bins(spark, sf_dir):
 )
 def qq_pairs(spark, sf_dir):
     """Both sides sorted by themselves and paired by rank."""
-    v = vec(spark, sf_dir).where("flag = 0").select("sensor", "dx", "dy")
-    side = lambda c: v.select("sensor", c, F.row_number().over(Window.partitionBy("sensor").orderBy(c)).cast("long").alias("r"))
-    return side("dx").join(side("dy"), ["sensor", "r"]).select("sensor", "r", "dx", "dy")
+    return ranks.paired(vec(spark, sf_dir).where("flag = 0"), "sensor", "dx", "dy")
 
 
 @query(

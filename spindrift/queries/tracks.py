@@ -87,12 +87,45 @@ def traj_one_pass_filter(spark, sf_dir):
     return tr.one_pass(valid).select("traj_id", "rec_id")
 
 
-@query()
+#: The passes, one after another; a row without a record keeps each trajectory in the table when all its records go.
+_SETTLE = (
+    "WITH RECURSIVE " + FIX
+    + f""", r AS (SELECT 0 AS pass, traj_id, rec_id, ts, lat, lon, CAST(-1 AS BIGINT) AS had FROM fix UNION ALL SELECT DISTINCT 0, traj_id, NULL, NULL, NULL, NULL, CAST(-1 AS BIGINT) FROM fix),
+ p AS (SELECT * FROM r UNION ALL (
+  WITH c AS (SELECT *, count(rec_id) OVER (PARTITION BY traj_id) AS now FROM p),
+  g AS (SELECT * FROM c WHERE now<>had),
+  u AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY traj_id, ts) AS same FROM g) WHERE rec_id IS NULL OR same=1),
+  l AS (SELECT *, lag(lat) OVER w AS lat0, lag(lon) OVER w AS lon0, lag(ts) OVER w AS ts0 FROM u WHERE rec_id IS NOT NULL WINDOW w AS (PARTITION BY traj_id ORDER BY ts, rec_id)),
+  d AS (SELECT *, {sql_haversine("lat0", "lon0", "lat", "lon")} AS dist, (epoch_us(ts)-epoch_us(ts0))/3.6e9 AS hours FROM l),
+  m AS (SELECT *, dist/hours AS speed, avg(dist/hours) OVER (PARTITION BY traj_id) AS mean, stddev_samp(dist/hours) OVER (PARTITION BY traj_id) AS sd FROM d),
+  b AS (SELECT *, coalesce(dist=0 OR speed>mean+3*sd,false) AS bad FROM m),
+  n AS (SELECT *, coalesce(lead(bad) OVER (PARTITION BY traj_id ORDER BY ts, rec_id),false) AS nxt FROM b)
+  SELECT pass+1, traj_id, rec_id, ts, lat, lon, now FROM n WHERE NOT bad AND NOT nxt UNION ALL SELECT pass+1, traj_id, NULL, NULL, NULL, NULL, now FROM g WHERE rec_id IS NULL))
+SELECT traj_id, rec_id, ts, lat, lon, source FROM (SELECT *, max(pass) OVER (PARTITION BY traj_id) AS last FROM p) JOIN fix USING (traj_id, rec_id, ts, lat, lon) WHERE pass=last"""
+)
+#: Both walks, record by record.
+_GATE = (
+    "WITH RECURSIVE " + FIX
+    + f""", u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY traj_id, ts ORDER BY rec_id) AS k FROM fix) WHERE k=1),
+ o AS (SELECT traj_id, rec_id, lat, lon, epoch_us(ts)/3.6e9 AS h, row_number() OVER (PARTITION BY traj_id ORDER BY ts) AS i, row_number() OVER (PARTITION BY traj_id ORDER BY ts DESC) AS j,
+   lag(lat) OVER w AS lat0, lag(lon) OVER w AS lon0, lag(epoch_us(ts)) OVER w AS us0, epoch_us(ts) AS us FROM u WINDOW w AS (PARTITION BY traj_id ORDER BY ts)),
+ s AS (SELECT traj_id, avg(v)+3*stddev_pop(v) AS fastest, count(*)+1 AS n FROM (SELECT traj_id, {sql_haversine("lat0", "lon0", "lat", "lon")}/((us-us0)/3.6e9) AS v FROM o WHERE lat0 IS NOT NULL) GROUP BY 1),
+ q AS (SELECT traj_id, rec_id, lat, lon, h, true AS ahead, i AS k FROM o UNION ALL SELECT traj_id, rec_id, lat, lon, h, false, j FROM o),
+ w AS (SELECT traj_id, ahead, k, rec_id, lat AS plat, lon AS plon, h AS ph, true AS kept FROM q WHERE k=1
+  UNION ALL SELECT traj_id, ahead, k, rec_id, CASE WHEN ok THEN lat ELSE plat END, CASE WHEN ok THEN lon ELSE plon END, CASE WHEN ok THEN h ELSE ph END, ok
+  FROM (SELECT q.traj_id, q.ahead, q.k, q.rec_id, q.lat, q.lon, q.h, w.plat, w.plon, w.ph, {sql_haversine("plat", "plon", "q.lat", "q.lon")}/abs(q.h-ph)<=fastest AS ok FROM w JOIN q ON q.traj_id=w.traj_id AND q.ahead=w.ahead AND q.k=w.k+1 JOIN s ON s.traj_id=w.traj_id)),
+ c AS (SELECT traj_id, count(*) FILTER (WHERE ahead AND kept) >= count(*) FILTER (WHERE NOT ahead AND kept) AS forward FROM w GROUP BY 1)
+SELECT fix.traj_id, fix.rec_id, fix.ts, fix.lat, fix.lon, fix.source FROM fix JOIN o ON o.traj_id=fix.traj_id AND o.rec_id=fix.rec_id JOIN c ON c.traj_id=fix.traj_id LEFT JOIN s ON s.traj_id=fix.traj_id
+ LEFT JOIN w ON w.traj_id=fix.traj_id AND w.rec_id=fix.rec_id AND w.ahead=c.forward WHERE coalesce(s.n,1)<3 OR w.kept"""
+)
+
+
+@query(_SETTLE)
 def traj_fixed_point(spark, sf_dir):
     return tr.by_trajectory(fix(spark, sf_dir), tr.settle)
 
 
-@query()
+@query(_GATE)
 def traj_velocity_gate(spark, sf_dir):
     return tr.by_trajectory(fix(spark, sf_dir), tr.gate)
 
