@@ -85,6 +85,71 @@ def test_netcdf3_source(spark, tmp_path):
     assert got[1, 2] == (None, 1) and got[2, 3] == (11.0, 1) and got[0, 0] == (0.0, 0)
 
 
+def drift_rows(spark, names=("a.nc", "b.nc", "c.nc")):
+    from spindrift.sources.products import LAYOUTS
+
+    rows, some = [], []
+    for f, name in enumerate(names):
+        for y in range(5):
+            for x in range(7):
+                if (x, y) != (2, 2):
+                    rows.append((name, y, x, None if x == y else x + 10 * y + 100 * f + 0.5, -float(y)))
+    df = spark.createDataFrame(rows, "file string, yc int, xc int, driftX double, driftY double")
+    for v in LAYOUTS["drift"].variables:
+        if not v.optional and v.name not in df.columns:
+            df = df.withColumn(v.name, F.lit(3))
+            some.append(v.name)
+    return df.withColumn("time", F.lit(86400.5)).withColumn("lat", F.col("yc") + 0.25), rows
+
+
+def test_netcdf3_files_are_written_and_read_again(spark, tmp_path):
+    df, rows = drift_rows(spark)
+    folder = tmp_path / "out"
+    axes = {"xc": {"values": [10.0 * k for k in range(7)], "notes": ["km", "x"]}}
+    netcdf3.write(df, str(folder), "drift", {"yc": 5, "xc": 7}, axes)
+    assert sorted(p.name for p in folder.iterdir()) == ["a.nc", "b.nc", "c.nc"]
+    got = spark.read.format("netcdf3").option("variables", "driftX,driftY,flag").load(str(folder / "*.nc"))
+    assert got.columns == ["path", "time", "yc", "xc", "driftX", "driftY", "flag"]
+    read = {(r.path[-4:], r.yc, r.xc): (r.driftX, r.driftY, r.flag) for r in got.collect()}
+    want = {(n, y, x): (a, b, 3) for n, y, x, a, b in rows} | {(n, 2, 2): (None, None, None) for n in ("a.nc", "b.nc", "c.nc")}
+    assert read == want
+    h = netcdf3.Header((folder / "b.nc").read_bytes())
+    assert h.attributes == {"Conventions": "CF-1.0", "filename": "b.nc"} and h.values("time").tolist() == [86400.5]
+    assert h.values("xc").tolist() == axes["xc"]["values"] and h.values("lat")[3, 4] == 3.25 and h.variables["driftX"]["attributes"]["units"] == "km"
+    assert "navg" not in h.variables and h.shape("driftX") == [1, 5, 7]
+
+
+def test_matchups_are_written_with_their_names(spark, tmp_path):
+    from spindrift.sources.products import LAYOUTS
+
+    df = spark.range(6).select(F.lit("m.nc").alias("file"), F.col("id").cast("int").alias("matchup"), *((F.concat(F.lit(v.name), F.col("id")) if v.kind == "char" else F.col("id") * 2).alias(v.name) for v in LAYOUTS["matchup"].variables))
+    netcdf3.write(df, str(tmp_path), "matchup")
+    h = netcdf3.Header((tmp_path / "m.nc").read_bytes())
+    assert len(h.variables) == 31 and h.values("prd_flag").tolist() == [0, 2, 4, 6, 8, 10]
+    assert [b"".join(r).rstrip(b"\0").decode() for r in h.values("val_source").data.tolist()] == [f"val_sour{''}" for _ in range(6)]
+    assert [b"".join(r).rstrip(b"\0").decode() for r in h.values("val_id").data.tolist()] == [f"val_id{k}" for k in range(6)]
+
+
+def test_no_file_is_left_after_a_failure(spark, tmp_path):
+    df, _ = drift_rows(spark)
+    bad = df.withColumn("xc", F.when((F.col("file") == "c.nc") & (F.col("xc") == 6) & (F.col("yc") == 4), 99).otherwise(F.col("xc")))
+    with pytest.raises(Exception, match="outside of xc"):
+        netcdf3.write(bad, str(tmp_path / "x"), "drift", {"yc": 5, "xc": 7})
+    assert list((tmp_path / "x").iterdir()) == []
+    netcdf3.write(df.where("file = 'a.nc'"), str(tmp_path / "x"), "drift")
+    old = (tmp_path / "x" / "a.nc").read_bytes()
+    with pytest.raises(Exception, match="there already"):
+        netcdf3.write(df, str(tmp_path / "x"), "drift")
+    assert [p.name for p in (tmp_path / "x").iterdir()] == ["a.nc"] and (tmp_path / "x" / "a.nc").read_bytes() == old
+    netcdf3.write(df.withColumn("flag", F.lit(4)), str(tmp_path / "x"), "drift", overwrite=True)
+    assert sorted(p.name for p in (tmp_path / "x").iterdir()) == ["a.nc", "b.nc", "c.nc"] and (tmp_path / "x" / "a.nc").read_bytes() != old
+    with pytest.raises(Exception, match="columns are missing: flag"):
+        netcdf3.write(df.drop("flag"), str(tmp_path / "y"), "drift")
+    twice = netcdf3.Writer(str(tmp_path / "x"), netcdf3.LAYOUTS["mask"], {}, {}, ["file", "yc", "xc", "maxdriftmask"], True)
+    with pytest.raises(ValueError, match="two tasks"):
+        twice.commit([netcdf3.Written([("p", "a.nc")]), None, netcdf3.Written([("q", "a.nc")])])
+
+
 def test_products_are_replaced_by_partition(spark, tmp_path):
     path = str(tmp_path / "p")
     rows = lambda area, n: spark.createDataFrame([(area, "2020-01-01", i) for i in range(n)], "area string, day string, v int")
