@@ -24,10 +24,10 @@ def usable(flag: Column, sigma: Column, *values: Column, lat: Column | None = No
     return F.coalesce(ok, F.lit(False))
 
 
-def inverse_variance(df: DataFrame, *keys: str, lat: Column | None = None, wind: Column | None = None) -> DataFrame:
-    """One vector for each key: means of dx, dy weighted by 1 / sigma^2, their sigma, the least flag, the sensors used.
+def merged(lat: Column | None = None, wind: Column | None = None) -> list[Column]:
+    """The aggregates of a merge: means of dx, dy weighted by 1 / sigma^2, their sigma, the least flag, no_fill and the sensors used.
 
-    Rows where `wind` holds take part only in keys that some other sensor has a valid flag in.
+    Rows where `wind` holds take part only in groups that some other sensor has a valid flag in. Batches and streams group by them alike.
     """
     ok = usable(F.col("flag"), F.col("sigma"), F.col("dx"), F.col("dy"), lat=lat)
     w = 1 / (F.col("sigma") * F.col("sigma"))
@@ -43,14 +43,19 @@ def inverse_variance(df: DataFrame, *keys: str, lat: Column | None = None, wind:
         flags = lambda good: F.min(F.when(good, F.col("flag")).otherwise(F.lit(REMOVED)))
         least = F.when(seen, flags(ok)).otherwise(flags(ok & ~wind))
     total = add(w)
-    return df.groupBy(*keys).agg(
+    return [
         F.round(F.try_divide(add(w * F.col("dx")), total), 6).alias("dx"),
         F.round(F.try_divide(add(w * F.col("dy")), total), 6).alias("dy"),
         F.round(INFLATION * F.sqrt(F.try_divide(F.lit(1.0), total)), 6).alias("sigma"),
         least.alias("flag"),
         F.max(F.col("flag").isin(*NO_FILL).cast("int")).alias("no_fill"),
         add(w, F.count).alias("n_used"),
-    )
+    ]
+
+
+def inverse_variance(df: DataFrame, *keys: str, lat: Column | None = None, wind: Column | None = None) -> DataFrame:
+    """One vector for each key, by the aggregates of `merged`."""
+    return df.groupBy(*keys).agg(*merged(lat, wind))
 
 
 def coverage(df: DataFrame, *keys: str, where: Column | None = None) -> DataFrame:

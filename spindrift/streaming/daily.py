@@ -6,14 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from spindrift.operators.merge import usable
+from spindrift.operators.merge import merged
 from spindrift.runtime import ship
 
 DELAY = "2 days"
+QUIET_MS = 90 * 86_400_000  # of event time, after which a trajectory is over
 
 
 def read_daily(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -26,37 +27,58 @@ def first_of_each(stream: DataFrame, time: str, *keys: str) -> DataFrame:
     return stream.withWatermark(time, DELAY).dropDuplicatesWithinWatermark(list(keys))
 
 
-def merge_stream(stream: DataFrame, cell: str = "cell", time: str = "t0") -> DataFrame:
-    """Inverse-variance means by day and cell; a day is final once the watermark has passed it."""
-    ok = usable(F.col("flag"), F.col("sigma"), F.col("dx"), F.col("dy"))
-    w = F.when(ok, 1 / (F.col("sigma") * F.col("sigma")))
-    total = F.sum(w)
-    got = stream.withWatermark(time, DELAY).groupBy(F.window(time, "1 day"), cell).agg(
-        F.try_divide(F.sum(w * F.col("dx")), total).alias("dx"), F.try_divide(F.sum(w * F.col("dy")), total).alias("dy"), F.count(w).alias("n_used")
-    )
-    return got.select(F.col("window.start").alias("day"), cell, "dx", "dy", "n_used")
+def merge_stream(stream: DataFrame, cell: str = "cell", time: str = "t0", lat: Column | None = None, wind: Column | None = None) -> DataFrame:
+    """The merge by day and cell under the batch's own masks; a day is final once the watermark has passed it."""
+    got = stream.withWatermark(time, DELAY).groupBy(F.window(time, "1 day"), cell).agg(*merged(lat, wind))
+    return got.select(F.col("window.start").alias("day"), cell, "dx", "dy", "sigma", "flag", "no_fill", "n_used")
+
+
+_OUT = "traj_id bigint, rec_id bigint, dist double, dt double"
+#: The last record that steps were given from (at, rec, lat, lon; at is null before the first) and those that wait, in microseconds.
+_KEPT = "at bigint, lat double, lon double, ats array<bigint>, recs array<bigint>, lats array<double>, lons array<double>"
 
 
 def _steps(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Records wait until the watermark has passed them, as no earlier one can come then, and leave in order of time."""
     from spindrift.operators.trajectory import _distance
 
-    last = state.get if state.exists else None
-    t = pd.concat(list(batches)).sort_values(["ts", "rec_id"], kind="stable")
-    ts = t["ts"].to_numpy().astype("datetime64[us]").astype(np.int64) / 1e6
-    lat, lon, when = t["lat"].to_numpy(), t["lon"].to_numpy(), ts
-    if last is not None:
-        lat, lon, when = np.r_[last[0], lat], np.r_[last[1], lon], np.r_[last[2], when]
-    dist = _distance(lat[:-1], lon[:-1], lat[1:], lon[1:])
-    out = t.iloc[-len(dist) :] if len(dist) else t.iloc[:0]
-    state.update((float(lat[-1]), float(lon[-1]), float(when[-1])))
-    yield pd.DataFrame({"traj_id": key[0], "rec_id": out["rec_id"].to_numpy(), "dist": dist, "dt": np.diff(when)})
+    at, lat, lon, ats, recs, lats, lons = state.get if state.exists else (None, None, None, [], [], [], [])
+    wait = pd.DataFrame({"at": list(ats), "rec": list(recs), "lat": list(lats), "lon": list(lons)})
+    if not state.hasTimedOut:
+        new = pd.concat(list(batches))
+        us = new["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+        in_time = np.ones(len(us), bool) if at is None else us > at  # the others come after the step they belong in has left
+        wait = pd.concat([wait, pd.DataFrame({"at": us, "rec": new["rec_id"], "lat": new["lat"], "lon": new["lon"]})[in_time]])
+    wait = wait.astype({"at": "int64", "rec": "int64", "lat": float, "lon": float}).sort_values(["at", "rec"], kind="stable")
+    passed = state.getCurrentWatermarkMs()
+    go = wait[wait["at"] < passed * 1000]
+    wait = wait.iloc[len(go) :]
+    if len(go):
+        first = [[x] if at is not None else [] for x in (at, lat, lon)]
+        when, y, x = (np.r_[f, go[c].to_numpy()] for f, c in zip(first, ("at", "lat", "lon"), strict=True))
+        dist = _distance(y[:-1], x[:-1], y[1:], x[1:])
+        out = go.iloc[len(go) - len(dist) :]
+        yield pd.DataFrame({"traj_id": key[0], "rec_id": out["rec"].to_numpy(), "dist": dist, "dt": np.diff(when) / 1e6})
+        at, lat, lon = int(when[-1]), float(y[-1]), float(x[-1])
+    if wait.empty and state.hasTimedOut and at is not None and at // 1000 + QUIET_MS <= passed:
+        state.remove()  # nothing has come for long: the next record begins anew
+        return
+    if wait.empty and at is None:
+        return
+    state.update((at, lat, lon, wait["at"].tolist(), wait["rec"].tolist(), wait["lat"].tolist(), wait["lon"].tolist()))
+    due = wait["at"].iloc[0] // 1000 + 1 if len(wait) else at // 1000 + QUIET_MS
+    state.setTimeoutTimestamp(int(max(due, passed + 1)))
 
 
 def step_stream(stream: DataFrame) -> DataFrame:
-    """Distance and time since a trajectory's record before; its last record is the state."""
+    """Distance and time since a trajectory's record before, for records in any order within DELAY.
+
+    A record may come later than that as long as no step beyond it has left; else it is left out. The state of a trajectory is its last record and those that
+    wait; it goes when nothing has come for QUIET_MS, so a trajectory that starts again after that has no step into its first record.
+    """
     ship(stream.sparkSession)
-    out, kept = "traj_id bigint, rec_id bigint, dist double, dt double", "lat double, lon double, s double"
-    return stream.groupBy("traj_id").applyInPandasWithState(_steps, out, kept, "append", GroupStateTimeout.NoTimeout)
+    timed = stream.withWatermark("ts", DELAY)
+    return timed.groupBy("traj_id").applyInPandasWithState(_steps, _OUT, _KEPT, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -160,25 +160,61 @@ def test_products_are_replaced_by_partition(spark, tmp_path):
 
 
 def test_merge_stream_equals_batch(spark, tmp_path):
-    v = vec(spark, SF).withColumn("t0", F.col("t0").cast("timestamp"))
+    """With the wind's footprint and the pole, in every column and every row."""
+    v = vec(spark, SF).withColumn("t0", F.col("t0").cast("timestamp")).withColumn("lat", 60.0 + F.col("y") % 30)
+    v = v.withColumn("lat", F.when(F.col("cell") % 3 == 0, 88.0).otherwise(F.col("lat")))
     v.repartitionByRange(6, "t0").sortWithinPartitions("t0").write.parquet(str(tmp_path / "in"))
-    late = spark.createDataFrame([(1, 1, 1, 9, 9, 1.0, 1.0, 1.0, 0)], "cell long, x long, y long, sensor int, obs long, dx double, dy double, sigma double, flag int").withColumn("t0", F.to_timestamp(F.lit("2100-01-01"))).select(*v.columns)
-    late = late.select(*(F.col(c).cast(t) for c, t in v.dtypes))
+    late = v.limit(1).withColumn("t0", F.to_timestamp(F.lit("2100-01-01")))
     late.write.mode("append").parquet(str(tmp_path / "in"))  # moves the watermark past all days
-    stream = daily.merge_stream(daily.read_daily(spark, str(tmp_path / "in"), v.schema))
+    masks = {"lat": F.col("lat"), "wind": F.col("sensor") == 7}
+    stream = daily.merge_stream(daily.read_daily(spark, str(tmp_path / "in"), v.schema), **masks)
     got = daily.run_available(stream, "merged", str(tmp_path / "cp"))
-    batch = merge.inverse_variance(v.withColumn("day", F.date_trunc("day", "t0")), "day", "cell")
-    a = {(str(r.day), r.cell): (round(r.dx, 6), r.n_used) for r in got.collect() if r.dx is not None}
-    b = {(str(r.day), r.cell): (r.dx, r.n_used) for r in batch.collect() if r.dx is not None}
-    assert len(a) > 100 and all(abs(b[k][0] - x[0]) < 2e-6 and b[k][1] == x[1] for k, x in a.items())
-    assert len(a) == len(b)
-
-
-def test_step_stream_equals_batch(spark, tmp_path):
-    f = fix(spark, SF).select("traj_id", "rec_id", "ts", "lat", "lon")
-    f.repartitionByRange(3, "ts").sortWithinPartitions("ts").write.parquet(str(tmp_path / "in"))
-    stream = daily.step_stream(spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    batch = merge.inverse_variance(v.withColumn("day", F.date_trunc("day", "t0")), "day", "cell", **masks)
+    columns = ["cell", "dx", "dy", "sigma", "flag", "no_fill", "n_used"]
+    a, b = (sorted(((str(r.day), *(r[c] for c in columns)) for r in x.collect()), key=str) for x in (got, batch))
+    near = lambda p, q: p == q or isinstance(p, float) and isinstance(q, float) and abs(p - q) < 2e-6
+    assert len(a) == len(b) > 100 and all(near(p, q) for x, y in zip(a, b, strict=True) for p, q in zip(x, y, strict=True))
+    plain = merge.inverse_variance(v.withColumn("day", F.date_trunc("day", "t0")), "day", "cell")
+    assert sorted(map(str, plain.drop("day").collect())) != sorted(map(str, batch.drop("day").collect()))
+
+
+def files_in_turn(df, path, parts):
+    """One file after another, in the order of `part`."""
+    import time
+
+    for k in range(parts):
+        df.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)  # files are taken by their time
+
+
+def test_step_stream_of_shuffled_records_equals_batch(spark, tmp_path):
+    """Records up to two days out of order, over six files and rounds: every step, and no other."""
+    f = fix(spark, SF).select("traj_id", "rec_id", F.col("ts").cast("timestamp").alias("ts"), "lat", "lon")
+    day = F.datediff("ts", F.lit("2024-01-01"))
+    jumbled = f.withColumn("part", F.floor((day + F.col("rec_id") % 2) / 6).cast("int"))  # a day's records come in two files at times
+    flush = spark.createDataFrame([(-1, -1, 0.0, 0.0, 6)], "traj_id long, rec_id long, lat double, lon double, part int").withColumn("ts", F.to_timestamp(F.lit("2024-02-20")))
+    path = str(tmp_path / "in")
+    files_in_turn(jumbled.unionByName(flush.select(*jumbled.columns)), path, 7)
+    stream = daily.step_stream(spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(path))
     got = daily.run_available(stream, "stepped", str(tmp_path / "cp"))
-    a = {r.rec_id: r.dist for r in got.collect()}
-    b = {r.rec_id: r.dist for r in steps(f).where("dist is not null").collect()}
-    assert len(a) == len(b) and sum(abs(a.get(k, -1) - b[k]) < 1e-6 for k in b) > 0.95 * len(b)
+    want = steps(f.withColumn("ts", F.col("ts").cast("timestamp_ntz"))).where("dist is not null").collect()
+    a = {r.rec_id: (r.dist, r.dt) for r in got.collect()}
+    b = {r.rec_id: (r.dist, r.dt) for r in want}
+    assert len(got.collect()) == len(a) and set(a) == set(b)
+    assert all(abs(a[k][0] - b[k][0]) < 1e-6 and abs(a[k][1] - b[k][1]) < 1e-5 for k in b)
+
+
+def test_state_of_a_trajectory_ends_and_late_records_go(spark, tmp_path):
+    at = lambda s: F.to_timestamp(F.lit(s))
+    row = lambda part, rec, when, traj=1: spark.createDataFrame([(traj, rec, 80.0 + rec, 0.0, part)], "traj_id long, rec_id long, lat double, lon double, part int").withColumn("ts", at(when))
+    came = [(1, "2024-01-01", 1), (2, "2024-01-10", 1), (6, "2024-01-20", 1), (10, "2024-01-21", 1), (3, "2024-01-02", 1), (9, "2024-06-01", 2), (8, "2024-06-03", 2), (4, "2024-06-05", 1), (5, "2024-06-06", 1), (7, "2024-07-01", 2)]
+    rows = row(0, *came[0])
+    for part, x in enumerate(came[1:], 1):
+        rows = rows.unionByName(row(part, *x))
+    path = str(tmp_path / "in")
+    files_in_turn(rows, path, len(came))
+    schema = rows.drop("part").schema
+    got = daily.run_available(daily.step_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)), "ended", str(tmp_path / "cp"))
+    found = {(r.traj_id, r.rec_id): r.dt / 86400 for r in got.collect()}
+    # record 3 comes when the step over it has left; record 4 comes 136 days after the last one of its trajectory, whose state has ended
+    assert found == {(1, 2): 9, (1, 6): 10, (1, 10): 1, (1, 5): 1, (2, 8): 2}
