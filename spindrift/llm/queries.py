@@ -87,7 +87,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find(table(spark, sf_dir, "documents"), pii.train())
+    found = pii.find(table(spark, sf_dir, "documents"), pii.trained(spark))
     kind = F.array(*(F.lit(k) for k in pii.KINDS))
 
     def joined(spans):
