@@ -18,6 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spindrift.llm.columns import quoted
+
 KINDS = ("assign", "access", "hex", "markov")
 #: The patterns that define the base kinds.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -26,7 +28,7 @@ HEX = r"[0-9a-f]{24,}"  # likewise for [0-9a-f]+
 #: What the models look at: every token of 16 characters or more.
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-THRESHOLD, SMOOTHING, BLOCK = 1.0, 0.5, 64
+THRESHOLD, SMOOTHING, BLOCK = 0.8, 0.5, 64
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 #: Words that ordinary identifiers are made of.
@@ -39,9 +41,18 @@ WORDS = (
     "color width height left right top bottom center margin border style font text label button menu window dialog panel layout container"
 ).split()
 
+#: Syllables that long words of some languages are made of, a language a row.
+SYLLABLES = [
+    "the ing tion er re an on en ed es or ti is ar al te co de in st ly ness ment able ous ship for con pre dis un ter th nd nt ch sh wh ea ou ble".split(),
+    "der die und sch ein ich en er ge be ver zu ung heit keit lich isch tz pf ch st an auf aus bei ent ig es ber gen haus werk zeug land".split(),
+    "le la re de que eux eau oi ai ou an en on un tion ment elle ette ier age ance pa tre con pro vi au is er ez aux sur par".split(),
+    "el la de que os as ar er ir ado ido cion mente dad ero es en con des pre tra bre al an on ra ri ro ta te to lla llo gua".split(),
+    "il la di che are ere ire zione mente ita ato ino otto gli gn sco con pro per tra sta re ri ra la le lo ma na no va to".split(),
+]
+
 
 def samples(spark: SparkSession, each: int = 4000) -> DataFrame:
-    """Labelled samples (text, secret): random strings of seven alphabets, and identifiers, words, numbers, dates and rules."""
+    """Labelled samples (text, secret): random strings of seven alphabets, and identifiers, words of five languages, numbers, dates and rules."""
     n = F.col("id")
     rows = spark.range(each)
     digest = F.sha2(n.cast("string"), 256)
@@ -60,6 +71,14 @@ def samples(spark: SparkSession, each: int = 4000) -> DataFrame:
     pick = lambda k: F.element_at(words, (F.pmod(F.xxhash64(n, F.lit(k)), F.lit(len(WORDS))) + 1).cast("int"))
     a, b, c = pick(1), pick(2), pick(3)
     number = F.pmod(F.xxhash64(n, F.lit(4)), F.lit(10000)).cast("string")
+    tongues = F.split(F.lit("|".join(" ".join(x) for x in SYLLABLES)), r"\|")
+    draw = lambda most, *of: (F.pmod(F.xxhash64(n, *(x if isinstance(x, Column) else F.lit(x) for x in of)), most) + 1).cast("int")
+
+    def spoken(k: int) -> Column:
+        """A word of four to nine syllables of one language."""
+        own = F.split(F.element_at(tongues, draw(F.lit(len(SYLLABLES)), 11, k)), " ")
+        return F.array_join(F.transform(F.sequence(F.lit(1), draw(F.lit(6), 12, k) + 3), lambda i: F.element_at(own, draw(F.size(own), 13, k, i))), "")
+
     ordinary = F.array(
         F.concat_ws("_", a, b, c, number),
         F.concat(a, F.initcap(b), F.initcap(c)),
@@ -74,6 +93,7 @@ def samples(spark: SparkSession, each: int = 4000) -> DataFrame:
         F.concat(F.upper(a), F.upper(b), F.upper(c)),
         F.concat(F.lit("https/www/"), a, F.lit("/"), b, F.lit("/index_"), c),
         F.repeat(F.element_at(F.array(*(F.lit(x) for x in "-=_/+ax0")), (F.pmod(n, F.lit(8)) + 1).cast("int")), 20),
+        *(f(spoken(k)) for k, f in enumerate((*[lambda w: w] * 6, *[lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 10))] * 2, F.upper))),
     )
     one = lambda texts, label: rows.select(F.explode(texts).alias("text"), F.lit(label).alias("secret"))
     return one(random, 1).unionByName(one(ordinary, 0))
@@ -86,7 +106,7 @@ def train(labelled: DataFrame, text: str = "text", secret: str = "secret", smoot
     texts and labels are left out; an empty table of samples gives ratios of zero.
     """
     size = len(CHARACTERS) + 1
-    rows = labelled.where(F.col(text).isNotNull() & F.col(secret).isNotNull()).select(F.col(text).alias("t"), (F.col(secret) > 0).cast("int").alias("s"))
+    rows = labelled.where(quoted(text).isNotNull() & quoted(secret).isNotNull()).select(quoted(text).alias("t"), (quoted(secret) > 0).cast("int").alias("s"))
     steps = rows.where("t != ''").select("t", "s", F.explode(F.sequence(F.lit(1), F.length("t"))).alias("i"))
     place = lambda i: F.expr(f"instr('{CHARACTERS}', substring(t, {i}, 1))")
     before = F.when(F.col("i") == 1, 0).otherwise(place("i - 1"))
@@ -152,9 +172,9 @@ def find(df: DataFrame, table: list[float], id: str = "doc_id", text: str = "tex
     both are ordered by start, then kind. Offsets are code points, ends exclusive. A null text is
     an empty one, ids are passed through, other columns play no part.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(quoted(text), F.lit(""))
     none = F.array().cast(_SPAN)
-    rows = df.select(F.col(id).alias("_id"), t.alias("_t"))
+    rows = df.select(quoted(id).alias("_id"), t.alias("_t"))
     by = lambda test, pattern, kind, good=None: F.when(test, spans(F.col("_t"), pattern, kind, good)).otherwise(none)
     mark = F.col("_t").contains("=") | F.col("_t").contains(":")
     base = F.concat(

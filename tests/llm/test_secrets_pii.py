@@ -60,6 +60,56 @@ def test_markov_models_tell_random_from_ordinary(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def brute_markov(text, table, base):
+    """The tokens whose ratio a character reaches the threshold and that overlap no base span, by a loop over characters."""
+    size, out = len(secrets.CHARACTERS) + 1, []
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}", text):
+        before = total = 0
+        for c in m[0]:
+            at = secrets.CHARACTERS.find(c) + 1
+            total += table[before * size + at]
+            before = at
+        if total / len(m[0]) >= secrets.THRESHOLD and not any(a < m.end() and m.start() < b for a, _, b in base):
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def test_markov_spans_match_brute_force_and_spare_ordinary_words(spark):
+    """On the whole texts of two tables' documents: no word of theirs is a secret."""
+    table = secrets.train(secrets.samples(spark))
+    rng, letters = random.Random(4), secrets.CHARACTERS[:62]
+    made = [" ".join("".join(rng.choice(letters[:k]) for _ in range(rng.randint(10, 40))) for k in (26, 52, 62) for _ in range(rng.randint(0, 4))) + rng.choice([" token=abcdefgh", " " + "f" * 30, "", "."]) for _ in range(150)]
+    docs_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").unionByName(docs(spark, list(enumerate(made, 10**6))).select("doc_id", "text"))
+    texts = {r.doc_id: r.text or "" for r in docs_.collect()}
+    words = found = 0
+    for r in secrets.find(docs_, table).collect():
+        text = texts[r.doc_id]
+        base = brute_secrets(text)
+        assert [tuple(s) for s in r.found if s.kind == 3] == brute_markov(text, table, base)
+        if r.doc_id < 10**6:
+            words += sum(text[s.start : s.end].isalpha() for s in r.found if s.kind == 3)
+        else:
+            found += sum(s.kind == 3 for s in r.found)
+    assert words == 0 and found > 500
+
+
+def test_random_strings_are_told_from_words(spark):
+    """Strings and words that the samples do not hold, 20 to 40 characters long."""
+    table, rng = secrets.train(secrets.samples(spark)), random.Random(9)
+    alphabets = {"lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "hex": "0123456789abcdef", "base62": secrets.CHARACTERS[:62], "base32": "abcdefghijklmnopqrstuvwxyz234567"}
+    rows, least = [], {"lower": 0.95, "upper": 0.93, "hex": 0.97, "base62": 0.99, "base32": 0.99}
+    for k, letters in enumerate(alphabets.values()):
+        rows += [(k, "".join(rng.choice(letters) for _ in range(rng.randint(20, 40)))) for _ in range(400)]
+    words = "internationalisation Donaudampfschifffahrt Rechtsschutzversicherung incomprehensibilities anticonstitutionnellement desafortunadamente precipitevolissimevolmente counterrevolutionaries Geschwindigkeitsbegrenzung desproporcionadamente Handelsgesellschaften".split()
+    rows += [(9, w) for w in words]
+    got = spark.createDataFrame(rows, "k int, t string").selectExpr("k", "t")
+    caught = {k: 0 for k in range(10)}
+    for r in got.select("k", secrets.ratio(got["t"], table).alias("r")).collect():
+        caught[r.k] += r.r >= secrets.THRESHOLD
+    print({n: caught[k] / 400 for k, n in enumerate(alphabets)}, caught[9])
+    assert caught[9] == 0 and all(caught[k] >= 400 * least[n] for k, n in enumerate(alphabets))
+
+
 def brute_base(text):
     text, out = text or "", []
     n = lambda s: "".join(c for c in s if c in "0123456789")
