@@ -21,6 +21,15 @@ SIGMAS = [
     ("sh", "wind", "winter", 0, 3.0), ("sh", "wind", "winter", 19, 3.8), ("sh", "wind", "spring", 0, 3.0), ("sh", "wind", "spring", 19, 3.7),
     ("sh", "multi", "all", 0, 3.8), ("sh", "multi", "all", 16, 6.9),
 ]
+#: Fixed values of near-real time: (area, product, season, km under flag 0, 13 and 17); wind has flags 0 and 19.
+NEAR_REAL_TIME = [
+    ("nh", "amsr2-gw1-bt37", "winter", 2.1, 9.0, 5.0), ("nh", "amsr2-gw1-bt37", "summer", 7.5, 100.0, 100.0), ("nh", "amsr2-gw1-bt19", "winter", 2.5, 9.0, 5.0), ("nh", "amsr2-gw1-bt19", "summer", 5.0, 100.0, 100.0),
+    ("nh", "amsr-aqua-bt37", "winter", 2.5, 9.0, 5.0), ("nh", "amsr-aqua-bt37", "summer", 8.5, 100.0, 100.0), ("nh", "amsr-aqua-bt19", "winter", 3.0, 9.0, 5.0), ("nh", "amsr-aqua-bt19", "summer", 6.0, 100.0, 100.0),
+    ("nh", "ssmi", "winter", 3.5, 9.0, 5.0), ("nh", "ssmi", "summer", 100.0, 100.0, 100.0), ("nh", "ascat", "winter", 3.9, 9.0, 5.0), ("nh", "ascat", "summer", 100.0, 100.0, 100.0), ("nh", "wind", "winter", 3.0, 3.0), ("nh", "wind", "summer", 5.0, 5.0),
+    ("sh", "amsr2-gw1-bt37", "winter", 2.7, 9.0, 5.0), ("sh", "amsr2-gw1-bt37", "summer", 9.8, 100.0, 100.0), ("sh", "amsr2-gw1-bt19", "winter", 3.0, 9.0, 5.0), ("sh", "amsr2-gw1-bt19", "summer", 6.0, 100.0, 100.0),
+    ("sh", "amsr-aqua-bt37", "winter", 3.25, 9.0, 5.0), ("sh", "amsr-aqua-bt37", "summer", 11.05, 100.0, 100.0), ("sh", "amsr-aqua-bt19", "winter", 3.6, 9.0, 5.0), ("sh", "amsr-aqua-bt19", "summer", 7.2, 100.0, 100.0),
+    ("sh", "ssmi", "winter", 5.3, 9.0, 5.0), ("sh", "ssmi", "summer", 100.0, 100.0, 100.0), ("sh", "ascat", "winter", 3.1, 9.0, 5.0), ("sh", "ascat", "summer", 100.0, 100.0, 100.0), ("sh", "wind", "winter", 3.0, 3.0), ("sh", "wind", "summer", 5.0, 5.0),
+]
 #: Quadratic, linear and constant coefficient of the growth with hours.
 TIME_GROWTH = {"cdr": (0.015, -0.005, 0.0), "amsr": (0.01948381, -0.01426112, 0.0), "ssmi": (0.01422614, -0.00535288, 0.0), "ascat": (0.01029225, 0.0052347, 0.0)}
 #: Fixed values: (area id, projection, lat_0, lon_0, lat_ts, nx, ny, llx, lly, urx, ury).
@@ -35,6 +44,17 @@ GRIDS = [
 ]
 #: Fixed values: (instrument, platform prefix, default channel).
 INSTRUMENTS = [("amsr", "aq", "37"), ("amsr2", "gw", "37"), ("ssmi", "f", "90"), ("ssmis", "f", "90"), ("ascat", "metop", "sigma0"), ("cimr", "cimr", "37")]
+#: Fixed values: (instrument, bands, footprint in km, noise in K or dB, default bands).
+BANDS = [
+    ("ssmi", "bt19v bt19h bt22v bt37v bt37h bt85v bt85h", "70 70 60 38 38 16 16", "0.45 0.42 0.74 0.37 0.38 0.69 0.73", "bt85v bt85h"),
+    ("ssmis", "bt19v bt19h bt37v bt37h bt91v bt91h", "70 70 38 38 16 16", "1 1 1 1 1 1", "bt91v bt91h"),
+    ("amsr", "bt19v bt19h bt37v bt37h bt89v bt89h", "27 27 14 14 7 7", "1 1 1 1 1 1", "bt37v bt37h"),
+    ("amsr2", "bt19v bt19h bt37v bt37h bt89v bt89h", "27 27 14 14 7 7", "1 1 1 1 1 1", "bt37v bt37h"),
+    ("ascat", "sigma0", "25", "1", "sigma0"),
+    ("seawinds", "sigma0H sigma0V", "25 25", "1 1", "sigma0H sigma0V"),
+    ("miras", "btL", "15", "1", "btL"),
+    ("cimr", "bt19v bt19h bt37v bt37h", "14 14 7 7", "1 1 1 1", "bt37v bt37h"),
+]
 #: What ranks first among trajectories in one cell.
 SOURCE_RANK = {"gps": 1, "wsm": 2, "argos": 3}
 
@@ -49,6 +69,31 @@ def grids(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(GRIDS, "area_id string, proj string, lat_0 int, lon_0 int, lat_ts int, nx int, ny int, llx int, lly int, urx int, ury int")
 
 
+def bands_of() -> list[tuple]:
+    """(instrument, place, band, footprint, noise, whether it is a default) of every band."""
+    return [(i, k, b, float(f), float(n), b in d.split()) for i, bs, fs, ns, d in BANDS for k, (b, f, n) in enumerate(zip(bs.split(), fs.split(), ns.split(), strict=True))]
+
+
+def bands(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(bands_of(), "instrument string, place int, band string, footprint double, noise double, is_default boolean")
+
+
+def sigmas_of() -> list[tuple]:
+    """(mode, area, product, season, flag, km) of both modes of processing."""
+    flags = lambda product: (0, 19) if product == "wind" else (0, 13, 17)
+    near = [("nrt", area, product, season, f, km) for area, product, season, *kms in NEAR_REAL_TIME for f, km in zip(flags(product), kms, strict=True)]
+    return [("cdr", *r) for r in SIGMAS] + near
+
+
+def mode_sigmas(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(sigmas_of(), "mode string, area string, family string, season string, flag int, sigma double")
+
+
+def family(product: Column) -> Column:
+    """The name that a product's uncertainties are listed under."""
+    return F.when(product.startswith("ssmi"), "ssmi").when(product.startswith("amsr"), F.replace(product, F.lit("tb"), F.lit("bt"))).when(product.startswith("ascat"), "ascat").when(product.startswith("wind") | product.startswith("ecmwf"), "wind").otherwise(product)
+
+
 def sigmas(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SIGMAS, "area string, product string, season string, flag int, sigma double")
 

@@ -89,6 +89,14 @@ def by_trajectory(df: DataFrame, f, traj: str = "traj_id") -> DataFrame:
     return df.groupBy(traj).applyInPandas(f, df.schema)
 
 
+def coverage(df: DataFrame, traj: str = "traj_id") -> DataFrame:
+    """traj, its extent in place and time, and its area; `refused` marks one that does not lie on one side of the equator."""
+    got = df.groupBy(traj).agg(F.min("lat").alias("lat_min"), F.max("lat").alias("lat_max"), F.min("lon").alias("lon_min"), F.max("lon").alias("lon_max"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n"))
+    north, south = (F.col("lat_min") > 0) & (F.col("lat_max") > 0), (F.col("lat_max") < 0) & (F.col("lat_min") < 0)
+    area = F.when(north, "Northern Hemisphere").when(south, "Southern Hemisphere")
+    return got.withColumn("area", area).withColumn("refused", F.col("area").isNull())
+
+
 def nearest_in_time(left: DataFrame, right: DataFrame, key: str, within: float, left_id: str, right_id: str, left_ts: str = "ts", right_ts: str = "rts") -> DataFrame:
     """Each left row with the right row of its key nearest in time, not further than `within` seconds.
 

@@ -155,6 +155,17 @@ def instrument_dimension(spark, sf_dir):
     return s.join(F.broadcast(dims.instruments(spark)), "instrument").select("id", "instrument", "channel")
 
 
+_BANDS = dims.values([(*r[:5], int(r[5])) for r in dims.bands_of()], "instrument, place, band, footprint, noise, is_default")
+
+
+@query(f"SELECT s_suppkey AS id, i.instrument, place, band, footprint::DOUBLE AS footprint, noise::DOUBLE AS noise, is_default=1 AS is_default FROM supplier JOIN {_BANDS} i ON i.instrument=list_extract(['ssmi','ssmis','amsr','amsr2','ascat','seawinds','miras','cimr','none'], CAST(s_suppkey%9+1 AS INTEGER))")
+def instrument_bands(spark, sf_dir):
+    """The bands of each supplier's instrument, with footprint, noise and whether they are used by default."""
+    names = F.array(*(F.lit(x) for x in ("ssmi", "ssmis", "amsr", "amsr2", "ascat", "seawinds", "miras", "cimr", "none")))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.element_at(names, (F.col("s_suppkey") % 9 + 1).cast("int")).alias("instrument"))
+    return s.join(F.broadcast(dims.bands(spark)), "instrument").select("id", "instrument", "place", "band", "footprint", "noise", "is_default")
+
+
 @query("SELECT r_regionkey AS id, CASE WHEN r_regionkey%2=0 THEN 'nh' ELSE 'sh' END AS area, CASE WHEN r_regionkey<2 THEN 'stere' ELSE 'laea' END AS proj, CASE WHEN r_regionkey%2=0 THEN 90 ELSE -90 END AS lat_0 FROM region")
 def hemisphere_chooser(spark, sf_dir):
     k = F.col("r_regionkey")

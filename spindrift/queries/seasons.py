@@ -70,6 +70,28 @@ def season_sigma(spark, sf_dir):
     return q.select("rec_id", "product", "flag", "season", F.round(F.when(F.col("product") == "wind", wind).otherwise(sat), 6).alias("sigma"))
 
 
+_MODES = dims.values(dims.sigmas_of(), "mode, area, family, season, flag, sigma")
+_PRODUCTS = ("amsr2-gw1-tb37", "amsr-aqua-bt19", "ssmis-f17", "ascat-metopB", "wind-era5", "ecmwf-era5", "amsr", "cimr")
+
+
+@query(
+    ctes(DAY)
+    + f""", q AS (SELECT rec_id, area, CASE rec_id%2 WHEN 0 THEN 'nrt' ELSE 'cdr' END AS mode, list_extract(['{"', '".join(_PRODUCTS)}'], CAST(rec_id//2%8+1 AS INTEGER)) AS product,
+   CASE WHEN month(d) IN (5,6,7,8,9) THEN 'summer' ELSE 'winter' END AS season, CASE rec_id%4 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 13 ELSE 19 END AS flag FROM day),
+ f AS (SELECT *, CASE WHEN product LIKE 'ssmi%' THEN 'ssmi' WHEN product LIKE 'amsr%' THEN replace(product,'tb','bt') WHEN product LIKE 'ascat%' THEN 'ascat' WHEN product LIKE 'wind%' OR product LIKE 'ecmwf%' THEN 'wind' ELSE product END AS family FROM q)
+SELECT rec_id, f.mode, product, f.season, f.flag, coalesce(sigma,-1.0)::DOUBLE AS sigma FROM f LEFT JOIN {_MODES} u ON u.mode=f.mode AND u.area=f.area AND u.family=f.family AND u.season=f.season AND u.flag=f.flag"""
+)
+def mode_sigma(spark, sf_dir):
+    """Uncertainty by mode of processing, area, family of product, season and flag; -1 where the table has none."""
+    k = F.col("rec_id")
+    q = day(spark, sf_dir).select(
+        "rec_id", "area", F.when(k % 2 == 0, "nrt").otherwise("cdr").alias("mode"), F.element_at(F.array(*(F.lit(x) for x in _PRODUCTS)), (F.expr("rec_id div 2 % 8") + 1).cast("int")).alias("product"),
+        F.when(F.month("d").isin(5, 6, 7, 8, 9), "summer").otherwise("winter").alias("season"), F.when(k % 4 < 2, 0).when(k % 4 == 2, 13).otherwise(19).alias("flag"),
+    )
+    q = q.withColumn("family", dims.family(F.col("product")))
+    return q.join(F.broadcast(dims.mode_sigmas(spark)), ["mode", "area", "family", "season", "flag"], "left").select("rec_id", "mode", "product", "season", "flag", F.coalesce("sigma", F.lit(-1.0)).alias("sigma"))
+
+
 @query("SELECT event_id, round(1+value/1000+0.015*h*h-0.005*h,9) AS sigma FROM (SELECT event_id, value, greatest(-10.0, least(10.0, hour(ts)-12+minute(ts)/60.0::DOUBLE))::DOUBLE AS h FROM events)")
 def sigma_time_inflation(spark, sf_dir):
     a, b, c = dims.TIME_GROWTH["cdr"]

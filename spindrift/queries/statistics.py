@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 from spindrift.functions.selectors import box, equals, fold, label, period
-from spindrift.operators import merge, ranks
+from spindrift.operators import matchups, merge, ranks
 from spindrift.queries.adapters import VEC, WIND, ctes, vec, wind
 from spindrift.queries.registry import query
 from spindrift.runtime import table
@@ -93,6 +93,52 @@ def matchup_regression(spark, sf_dir):
     return s.select("sensor", "n", _R(F.col("slope"), "slope"), _R(F.col("icpt"), "intercept"), _R(r, "r"), F.round(width, 6).alias("slope_95"), F.round(width * F.sqrt(F.col("vx") + F.col("mx") * F.col("mx")), 6).alias("intercept_95"))
 
 
+_PAIRS = ", p AS (SELECT cell, sensor, dx AS prd_x, dy AS prd_y, sigma*3+obs%11 AS val_x, obs%13-sigma*2 AS val_y FROM vec)"
+def _quantile(v: str) -> str:
+    """The t of which the two-sided probability is 0.95, by halving an interval, from the finite sums for whole degrees of freedom."""
+    angle = f"atan((s.a+s.b)/2/sqrt({v}))"
+    odd = f"2/pi()*(o+sin(o)*cos(o)*list_reduce(list_concat([{{'t': 1.0::DOUBLE, 'n': CASE WHEN {v}>1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END}}], list_transform(range(1, ({v}-1)//2), lambda k: {{'t': 2.0*k/(2*k+1), 'n': 0.0::DOUBLE}})), lambda x, y: {{'t': x.t*y.t*cos(o)*cos(o), 'n': x.n+x.t*y.t*cos(o)*cos(o)}}).n)"
+    even = f"sin(o)*list_reduce(list_concat([{{'t': 1.0::DOUBLE, 'n': 1.0::DOUBLE}}], list_transform(range(1, ({v}-2)//2+1), lambda k: {{'t': (2*k-1)/(2.0*k), 'n': 0.0::DOUBLE}})), lambda x, y: {{'t': x.t*y.t*cos(o)*cos(o), 'n': x.n+x.t*y.t*cos(o)*cos(o)}}).n"
+    p = f"(CASE WHEN {v}%2=1 THEN {odd} ELSE {even} END)".replace("(o)", f"({angle})").replace("(o+", f"({angle}+")
+    return f"list_reduce(list_concat([{{'a': 1.9::DOUBLE, 'b': 13.0::DOUBLE}}], list_transform(range(50), lambda z: {{'a': 0.0::DOUBLE, 'b': 0.0::DOUBLE}})), lambda s, z: CASE WHEN {p}<0.95 THEN {{'a': (s.a+s.b)/2, 'b': s.b}} ELSE {{'a': s.a, 'b': (s.a+s.b)/2}} END).a"
+
+
+def _component(k: str) -> str:
+    x, y = f"val_{k}", f"prd_{k}"
+    width = f"t*sqrt(greatest(1-pow(corr({x},{y}),2),0.0)*var_pop({y})/var_pop({x})/(max(n)-2))"
+    return f"round(regr_slope({y},{x}),6)+0.0 AS {k}_a, round(regr_intercept({y},{x}),6)+0.0 AS {k}_b, round(corr({x},{y}),6)+0.0 AS {k}_r, round({width},3)+0.0 AS {k}_a95, round({width}*sqrt(var_pop({x})+pow(avg({x}),2)),2)+0.0 AS {k}_b95"
+
+
+@query(
+    ctes(VEC)
+    + _PAIRS
+    + f""", c AS (SELECT cell, sensor, count(*) AS n FROM p GROUP BY ALL HAVING count(*)>=3 AND count(*)<=30 AND var_pop(val_x)>0 AND var_pop(val_y)>0 AND var_pop(prd_x)>0 AND var_pop(prd_y)>0),
+ v AS (SELECT n, {_quantile("w")} AS t FROM (SELECT DISTINCT n, n-2 AS w FROM c))
+SELECT cell, sensor, n, {_component("x")}, {_component("y")} FROM p JOIN c USING (cell, sensor) JOIN v USING (n) GROUP BY cell, sensor, n, t"""
+)
+def matchup_components(spark, sf_dir):
+    """Regressions of both components of the product on the validation's, each with its 95 % half-widths, for groups of few matchups."""
+    p = vec(spark, sf_dir).select("cell", "sensor", F.col("dx").alias("prd_x"), F.col("dy").alias("prd_y"), (F.col("sigma") * 3 + F.col("obs") % 11).alias("val_x"), (F.col("obs") % 13 - F.col("sigma") * 2).alias("val_y"))
+    moving = p.groupBy("cell", "sensor").agg(F.count(F.lit(1)).alias("n"), *(F.var_pop(c).alias(c) for c in ("prd_x", "prd_y", "val_x", "val_y"))).where("n between 3 and 30 and prd_x > 0 and prd_y > 0 and val_x > 0 and val_y > 0")
+    got = matchups.regression(p.join(moving.select("cell", "sensor"), ["cell", "sensor"]), ["cell", "sensor"], {"x": ("val_x", "prd_x"), "y": ("val_y", "prd_y")})
+    places = {"a": 6, "b": 6, "r": 6, "a95": 3, "b95": 2}
+    return got.select("cell", "sensor", F.col("x_n").alias("n"), *(_R(F.col(f"{k}_{n}"), f"{k}_{n}", d) for k in "xy" for n, d in places.items()))
+
+
+@query(
+    "SELECT event_id, round((epoch_us(ts)-epoch_us(TIMESTAMP '2024-01-05'))/(11*86.4e9),8)+0.0 AS elapsed, round(sqrt(pow(value/10,2)+pow(event_id%7,2))-(event_id%19),6)+0.0 AS mismatch_len, round((event_id%97)/24.0::DOUBLE-(event_id%89)/24.0::DOUBLE,6)+0.0 AS mismatch_dt, round((1+event_id%5+event_id%3)/2.0::DOUBLE,6) AS uncert, CASE upper(event_type) WHEN 'CLICK' THEN 'red' WHEN 'VIEW' THEN 'blue' WHEN 'ERROR' THEN 'green' ELSE 'black' END AS colour FROM events"
+)
+def colour_metrics(spark, sf_dir):
+    """What matchups are coloured by: part of the period, mismatch of length and duration, mean uncertainty, label."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    length = F.sqrt(F.pow(F.col("value") / 10, F.lit(2)) + F.pow(k % 7, F.lit(2)))
+    label = F.when(k % 2 == 0, F.upper("event_type")).otherwise(F.col("event_type"))
+    return e.select(
+        "event_id", _R(matchups.elapsed(F.col("ts").cast("timestamp_ntz"), F.lit("2024-01-05"), F.lit("2024-01-15")), "elapsed", 8), _R(length - k % 19, "mismatch_len"), _R(k % 97 / F.lit(24.0) - k % 89 / F.lit(24.0), "mismatch_dt"),
+        F.round((1 + k % 5 + k % 3) / F.lit(2.0), 6).alias("uncert"), matchups.colours(label, {"click": "red", "View": "blue", "error": "green"}).alias("colour"),
+    )
+
+
 @query(
     ctes(WIND)
     + """, m AS (SELECT cell, month(t0)::INTEGER AS mon, u, v, iu, iv FROM wind),

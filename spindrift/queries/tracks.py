@@ -169,6 +169,17 @@ def buoy_coverage(spark, sf_dir):
     return fix(spark, sf_dir).groupBy("traj_id").agg(r(F.min, "lat"), r(F.max, "lat"), r(F.min, "lon"), r(F.max, "lon"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    ctes(FIX)
+    + """, m AS (SELECT traj_id, ts, lon, lat-75*(traj_id%3) AS lat FROM fix), c AS (SELECT traj_id, min(lat) AS lo, max(lat) AS hi, count(*) AS n FROM m GROUP BY 1)
+SELECT traj_id, round(lo,6)+0.0 AS lat_min, round(hi,6)+0.0 AS lat_max, n, CASE WHEN lo>0 THEN 'Northern Hemisphere' WHEN hi<0 THEN 'Southern Hemisphere' ELSE 'refused' END AS area FROM c"""
+)
+def buoy_areas(spark, sf_dir):
+    """The hemisphere of each trajectory; those that cross the equator are refused (every third lies in the middle, every third in the south)."""
+    got = tr.coverage(fix(spark, sf_dir).withColumn("lat", F.col("lat") - 75 * (F.col("traj_id") % 3)))
+    return got.select("traj_id", (F.round("lat_min", 6) + 0.0).alias("lat_min"), (F.round("lat_max", 6) + 0.0).alias("lat_max"), "n", F.when(F.col("refused"), "refused").otherwise(F.col("area")).alias("area"))
+
+
 @query(
     ctes(FIX)
     + "SELECT traj_id, string_agg(CAST(rec_id AS VARCHAR), ',' ORDER BY ts, rec_id) AS records, count(*) AS n, date_diff('second', min(ts), max(ts))/86400 AS days FROM (SELECT traj_id, rec_id, date_trunc('second', ts) AS ts FROM fix) GROUP BY traj_id"
