@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm import skew
 from spindrift.runtime import cut_lineage
 
 ROUNDS = 60
@@ -14,24 +13,24 @@ ROUNDS = 60
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node that has an edge to another; root is the smallest node reachable.
 
-    Every step is an aggregation with map-side combining and a lookup of its result, in which a
-    hub's edges are not shuffled to one task (skew.lookup). Each round is cut by a checkpoint in
-    the shared folder. Null ends and loops are no edges.
+    Every step is an aggregation with map-side combining and a join with its result, which has a row a
+    node: where a hub's edges make a partition large, adaptive execution splits it. Each round is cut by a
+    checkpoint in the shared folder. Null ends and loops are no edges.
     """
     x = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     x = cut_lineage(x)
-    mark, n = None, x.count()
+    mark = None
     for _ in range(ROUNDS):
         both = x.unionByName(x.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = skew.lookup(both, low, "u", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = skew.lookup(large, low, "u", n).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         x = cut_lineage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
-        mark, n = now, now[0]
+        mark = now
     else:
         raise RuntimeError("components did not settle")
     roots = x.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -17,6 +17,7 @@ through a node of the inner one.
 
 from __future__ import annotations
 
+import json
 import re
 from itertools import combinations
 
@@ -169,8 +170,8 @@ def edges(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
             raise ValueError("radius above 4 is not supported for oversized buckets")
         return found.where("b is not null")
     # two codes at most `radius` apart have one that is within half of it of one of them and within the rest of the other
-    reach = [(int(k > radius // 2), sum(1 << i for i in c)) for k in range((radius + 1) // 2 + 1) for c in combinations(range(BITS), k)]
-    around = F.array(*(F.struct(F.lit(o).cast("byte").alias("outer"), F.lit(signed(m)).alias("m")) for o, m in reach))
+    reach = [{"outer": int(k > radius // 2), "m": signed(sum(1 << i for i in c))} for k in range((radius + 1) // 2 + 1) for c in combinations(range(BITS), k)]
+    around = F.from_json(F.lit(json.dumps(reach)), "array<struct<outer:tinyint,m:bigint>>")  # one literal; a column for each of the 2081 masks takes many seconds to build
     codes = hot.select("fp", F.explode(around).alias("x")).select(F.col("fp").bitwiseXOR(F.col("x.m")).alias("code"), "x.outer", "fp")
     linked = map_arrow(codes.repartition("code").sortWithinPartitions("code", "outer", "fp"), _balls, "a bigint, b bigint")
     return found.where("b is not null").unionByName(linked)
