@@ -150,6 +150,49 @@ def test_no_file_is_left_after_a_failure(spark, tmp_path):
         twice.commit([netcdf3.Written([("p", "a.nc")]), None, netcdf3.Written([("q", "a.nc")])])
 
 
+def test_grids_of_an_image_pair_must_agree(spark, tmp_path):
+    from spindrift.sources import drift
+
+    def put(name, **changes):
+        rows = [(name, y, x, 1.0, 0, 3, x, {"area": changes.get("area", "nh"), "since": changes.get("since", "2024-01-01T12:00:00Z")}) for y in range(3) for x in range(changes.get("nx", 4))]
+        df = spark.createDataFrame(rows, "file string, yc int, xc int, tb37v_Lap double, tb37v_Lap_flag int, ice_edge int, dtime int, attributes map<string,string>")
+        netcdf3.write(df, str(tmp_path), "image", axes={"xc": {"values": [changes.get("x0", 0.0) + k for k in range(changes.get("nx", 4))], "notes": ["m", "x"]}, "yc": {"values": [2.0, 1.0, 0.0]}})
+        return str(tmp_path / name)
+
+    def read(second):
+        pairs = spark.createDataFrame([(7, "one.nc", second)], "pair int, begin string, end string")
+        return drift.image_pairs(spark, str(tmp_path / "*.nc"), pairs, ["tb37v_Lap"])
+
+    put("one.nc")
+    put("two.nc", since="2024-01-02T12:00:00Z")
+    got = read("two.nc").collect()
+    assert len(got) == 24 and {r.time - r.xc for r in got if r.date == 1} == {1704196800} and {r.x for r in got} == {0.0, 1.0, 2.0, 3.0}
+    for name, change in {"area": {"area": "sh"}, "first x": {"x0": 1.0}, "time": {"since": "noon"}}.items():
+        put(f"{name.replace(' ', '_')}.nc", **change)
+        with pytest.raises(ValueError, match=f"pair 7.*: {name}"):
+            read(f"{name.replace(' ', '_')}.nc")
+    with pytest.raises(ValueError, match=": file"):
+        read("none.nc")
+    heads = drift.image_heads(spark, str(tmp_path / "*.nc"))
+    wide = heads.where("name = 'two.nc'").withColumns({"name": F.lit("wide.nc"), "xc": F.array(*(F.lit(float(k)) for k in range(5)))})
+    pairs = spark.createDataFrame([(7, "one.nc", "wide.nc")], "pair int, begin string, end string")
+    assert [tuple(r) for r in drift.grid_faults(heads.unionByName(wide), pairs).collect()] == [(7, "size")]
+
+
+def test_final_files_count_from_1978(spark, tmp_path):
+    from spindrift.sources import drift
+
+    rows = [(f"ice_drift_{d}.nc", y, x, None if x == y else 1.5, 2.5, 60, 120, 30, [86400.0 * d, 86400.0 * (d + 2)], 86400.0 * (d + 2)) for d in (10, 11) for y in range(2) for x in range(3)]
+    df = spark.createDataFrame(rows, "file string, yc int, xc int, dX double, dY double, t0 int, t1 int, status_flag int, time_bnds array<double>, time double")
+    netcdf3.write(df, str(tmp_path), "final")
+    refs = spark.createDataFrame([("ice_drift_10.nc", drift.FINAL_EPOCH + 864000, drift.FINAL_EPOCH + 864000 + 172800), ("ice_drift_11.nc", 5, 6)], "name string, r0 long, r1 long")
+    got = drift.read_for_matchups(spark, str(tmp_path / "ice_drift_*.nc"), refs).collect()
+    assert len(got) == 6 and {r.name for r in got} == {"ice_drift_10.nc"} and all(r.sigdX is None for r in got)
+    assert {(r.t0, r.t1) for r in got if r.xc != r.yc} == {(drift.FINAL_EPOCH + 864060, drift.FINAL_EPOCH + 864000 + 172920)} and all(r.t0 is None for r in got if r.xc == r.yc)
+    with pytest.raises(ValueError, match="neither"):
+        drift.read_for_matchups(spark, str(tmp_path / "other*.nc"), refs)
+
+
 def test_products_are_replaced_by_partition(spark, tmp_path):
     path = str(tmp_path / "p")
     rows = lambda area, n: spark.createDataFrame([(area, "2020-01-01", i) for i in range(n)], "area string, day string, v int")
