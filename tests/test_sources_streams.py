@@ -179,6 +179,18 @@ def test_grids_of_an_image_pair_must_agree(spark, tmp_path):
     assert [tuple(r) for r in drift.grid_faults(heads.unionByName(wide), pairs).collect()] == [(7, "size")]
 
 
+def test_trajectories_over_the_equator_are_not_written(spark, tmp_path):
+    rows = [(k, f"2024-01-0{d}", k * 40.0 - 50 + d, 5.0 * d, 1) for k in (0, 1, 2) for d in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "traj_id int, ts string, lat double, lon double, source int").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    netcdf3.write_trajectories(df, str(tmp_path / "a"))
+    h = netcdf3.Header((tmp_path / "a" / "traj_2.nc").read_bytes())
+    assert h.attributes["area"] == "Northern Hemisphere" and h.attributes["time_coverage_end"] == "2024-01-03T00:00:00Z" and h.attributes["geospatial_lat_min"] == "31.0"
+    assert h.values("lat").tolist() == [31.0, 32.0, 33.0] and h.values("seconds")[0] == 1704067200.0
+    with pytest.raises(ValueError, match="trajectory 1 crosses the equator"):
+        netcdf3.write_trajectories(df.withColumn("lat", F.col("lat") + 8), str(tmp_path / "b"))
+    assert not (tmp_path / "b").exists()
+
+
 def test_final_files_count_from_1978(spark, tmp_path):
     from spindrift.sources import drift
 
