@@ -85,9 +85,21 @@ def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFra
     return df.mapInArrow(run, schema)
 
 
-def rewritten(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared checkpoint folder and read again."""
+def rewritten_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written as Parquet in the shared checkpoint folder and read again, and the folder of its files."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def rewritten(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared checkpoint folder and read again."""
+    return rewritten_at(df)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that rewritten_at made, when nothing reads it any more."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
