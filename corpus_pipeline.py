@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spindrift.llm import decontaminate, exact_dedup, packing, quality, simhash
 from spindrift.llm.queries import GOOD_AT, tokenizer
-from spindrift.runtime import rewritten, table
+from spindrift.runtime import remove, rewritten_at, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +50,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = rewritten(stage(spark, docs, sf_dir))
+        docs, path = rewritten_at(stage(spark, docs, sf_dir))
+        if before:
+            remove(spark, before)  # what this stage has read
+        before = path
     return docs
 
 
