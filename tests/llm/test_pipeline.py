@@ -1,5 +1,7 @@
 import random
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import public_tokenizers
@@ -8,6 +10,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from spindrift.llm import quality, queries
+from spindrift.runtime import shared_folder
 from tests.llm.test_dedup_contamination_simhash import brute_components, brute_fingerprint, brute_hits
 
 SF = "/root/testdata/sf0.001"
@@ -32,13 +35,24 @@ def test_every_operator_has_one_query():
     assert set(queries.QUERIES) == set(CONTRACT)
 
 
-@pytest.mark.parametrize("name", ["op1_toxicity", "op4_exact_dedup", "op6_language", "op7_secrets", "op9_quality", "op10_pii"])
+@pytest.mark.parametrize("name", sorted(CONTRACT))
 def test_contract(spark, name):
+    """The columns, and a row for each document, conversation or query vector (pieces and partners: at least one, at most one)."""
     df = queries.QUERIES[name](spark, SF)
     assert set(CONTRACT[name]) <= set(df.columns)
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = df.toPandas()
-    assert sorted(got.doc_id) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+    key, rows = ("conv_id", "conversations") if name == "op11_conversations" else ("query_id", "embeddings") if name == "op13_topk" else ("doc_id", "documents")
+    table = spark.read.parquet(f"{SF}/{rows}.parquet")
+    if name == "op13_topk":
+        ids = [r.vec_id for r in table.where("vec_id % 20 = 0").collect() for _ in range(20)]
+    elif name == "op11_conversations":
+        ids = [r.conv_id for r in table.select("conv_id").distinct().collect()]
+    else:
+        ids = [r.doc_id for r in table.select("doc_id").collect()]
+    if name in ("op2_passages", "op5_packing"):
+        assert set(got[key]) <= set(ids) and (name == "op2_passages" or set(got[key]) == set(ids))
+    else:
+        assert sorted(got[key]) == sorted(ids)
 
 
 def low(t):
@@ -108,4 +122,7 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    folder = Path(urlparse(shared_folder(spark)).path)
+    before = set(folder.glob("table-*"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    assert len(set(folder.glob("table-*")) - before) == 1  # of five stages' outputs only the last stays
