@@ -15,7 +15,7 @@ import numpy as np
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\s0-9a-zªµºß-öø-ÿ²³¹¼-¾]+")
 #: Characters that neither normalisation nor the two libraries' tables treat differently.
 SAFE = re.compile("[\t\n\r\x20-\x7e\xa0-\xff‐-‧‰-⁞€]*")
-SLICE, KEPT = 1 << 19, 800_000
+SLICE, KEPT = 1 << 19, 200_000
 _made: dict[str, Encoder] = {}
 
 
