@@ -1,9 +1,11 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # many small products: threads that wait for one another only slow them down
 
 
 @pytest.fixture(scope="session")
