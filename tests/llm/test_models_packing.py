@@ -1,3 +1,4 @@
+import json
 import random
 from collections import Counter
 
@@ -228,6 +229,51 @@ def test_long_texts_in_slices(monkeypatch):
     assert encoder.encode(text).tolist() == whole
 
 
+class Counted:
+    """A tokenizer that counts what goes through it."""
+
+    def __init__(self, plain):
+        self.plain, self.calls = plain, 0
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return getattr(self.plain, name)
+
+
+def test_new_words_of_common_characters_spare_the_library():
+    rng = random.Random(8)
+    texts = [prose(rng, [*"abcdefgh", "ß", "é", "'s ", "'LL", ", “", "7½"], 60) for _ in range(100)] + ["", " \n", "it's", "x'", "'re'ves"]
+    encoder = tokens.Encoder(open(JSON).read())
+    plain = encoder.tokenizer
+    encoder.tokenizer = counted = Counted(plain)
+    got = encoder.encode_many(texts)
+    assert counted.calls == 0
+    assert [x.tolist() for x in got] == [x.ids for x in plain.encode_batch_fast(texts, add_special_tokens=False)]
+    lines = "\n".join(texts) * 80  # over one slice, and without blanks
+    assert encoder.encode(lines.replace(" ", "\n")).tolist() == plain.encode(lines, add_special_tokens=False).ids
+    odd = ["y " + "ab" * 1000 + "'s " + "é" * 401 + "!" * 400, "Ω it's", "<|endoftext|>'s", "a'd"]  # a long split, other characters, a special token
+    assert [x.tolist() for x in encoder.encode_many(odd)] == [x.ids for x in plain.encode_batch_fast(odd, add_special_tokens=False)]
+    assert 0 < counted.calls <= 8
+
+
+def test_each_token_is_one_merge_of_earlier_ones_and_its_own_letters_merged():
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in json.loads(open(JSON).read())["model"]["merges"]]
+    rank = {m: i for i, m in enumerate(merges)}
+    made = {"".join(m): i for m, i in rank.items()}
+    assert len(made) == len(merges) == len(rank)
+    assert all(made.get(x, -1) < i for (a, b), i in rank.items() for x in (a, b))
+    for token in made:
+        word = token.removesuffix("</w>")
+        parts = [*word[:-1], word[-1] + token[len(word) :]]
+        while len(parts) > 1:
+            least = min(zip(parts, parts[1:]), key=lambda m: rank.get(m, len(rank)))
+            if least not in rank:
+                break
+            at = next(i for i in range(len(parts)) if tuple(parts[i : i + 2]) == least)
+            parts[at : at + 2] = ["".join(least)]
+        assert parts == [token]
+
+
 @pytest.mark.parametrize("length", [64, 16])
 def test_packing_round_trip(spark, length):
     rng = random.Random(6)
