@@ -56,26 +56,31 @@ def ladder(cells: DataFrame, begin: DataFrame, end: DataFrame, large: float, sma
     return rows.withColumn("product_flag", F.when((c("flag") == 0) & (c("pattern") == 1), SMALLER).otherwise(c("flag")).cast("int"))
 
 
-def laplacian_of_ice(px: DataFrame, stop_at_edge: bool = False, keys: tuple[str, ...] = ("image",)) -> DataFrame:
-    """keys, x, y, lap and flag of pixels (keys, x, y, v, edge); v is null where there are no data.
+def laplacian_of_ice(px: DataFrame, keys: tuple[str, ...] = ("image",)) -> DataFrame:
+    """keys, x, y, lap, flag, edge_lap and edge_flag of pixels (keys, x, y, v, edge); v is null where there are no data.
 
     The mean of the eight neighbours less that of the ring of sixteen around them, of ice only. Flag 0 where five and
     nine of them have values, -1 where more than one neighbour has no data, 1 where too few are there or the
-    pixel itself has no data or no ice. With stop_at_edge a row of the window ends at its first pixel outside
+    pixel itself has no data or no ice. For edge_lap and edge_flag a row of the window ends at its first pixel outside
     the image, which leaves nothing of it within two pixels of the left border.
+
+    Each pixel is handed to the places around it, its own included, and places are grouped: pixels are joined with nothing, so none
+    of them can be broadcast. Repeated pixels count as often as they are there, and keep as many rows.
     """
-    window = [(i, j) for j in range(-2, 3) for i in range(-2, 3) if (i, j) != (0, 0)]
-    good = F.col("v").isNotNull() & is_ice(F.col("edge"))
-    other = px.select(*keys, F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("v").alias("nv"), F.col("edge").alias("ne"), F.lit(True).alias("there"))
-    least = px.groupBy(*keys).agg(F.min("x").alias("x0"))
-    rows = around(px.where(good).select(*keys, "x", "y"), window).join(other, [*keys, "nx", "ny"])
-    if stop_at_edge:
-        rows = rows.join(least, list(keys)).where("x >= x0 + 2")
-    ring = F.greatest(F.abs(F.col("nx") - F.col("x")), F.abs(F.col("ny") - F.col("y")))
-    use = F.col("nv").isNotNull() & is_ice(F.col("ne"))
-    near, far = F.when(use & (ring == 1), F.col("nv")), F.when(use & (ring == 2), F.col("nv"))
-    got = rows.groupBy(*keys, "x", "y").agg(F.avg(near).alias("a"), F.avg(far).alias("b"), F.count(near).alias("n1"), F.count(far).alias("n2"), F.count_if(F.col("nv").isNull()).alias("gone"))
     c = F.col
-    flag = F.when(c("gone") > 1, NODATA).when((c("n1") >= 5) & (c("n2") >= 9), 0).otherwise(UNPROCESSED)
-    rows = px.select(*keys, "x", "y").join(got.select(*keys, "x", "y", flag.alias("f"), (c("a") - c("b")).alias("d")), [*keys, "x", "y"], "left")
-    return rows.select(*keys, "x", "y", F.when(c("f") == 0, c("d")).alias("lap"), F.coalesce("f", F.lit(UNPROCESSED)).cast("int").alias("flag"))
+    window = [(i, j) for j in range(-2, 3) for i in range(-2, 3)]
+    good = c("v").isNotNull() & is_ice(c("edge"))
+    rows = around(px.select(*keys, "x", "y", "v", good.alias("good")), window)
+    ring = F.greatest(F.abs(c("nx") - c("x")), F.abs(c("ny") - c("y")))
+    near, far, own = F.when(c("good") & (ring == 1), c("v")), F.when(c("good") & (ring == 2), c("v")), ring == 0
+    got = rows.groupBy(*keys, c("nx").alias("x"), c("ny").alias("y")).agg(
+        F.avg(near).alias("a"), F.avg(far).alias("b"), F.count(near).alias("n1"), F.count(far).alias("n2"), F.count_if(c("v").isNull() & ~own).alias("gone"), F.count_if(own).alias("copies"), F.count_if(own & c("good")).alias("times"),
+    ).where("copies > 0")
+    least = px.groupBy(*keys).agg(F.min("x").alias("x0"))
+    got = got.join(least.hint("merge"), list(keys), "left")  # a row an image; images without a key lie nowhere
+    n = c("times")
+    flag = F.when(c("gone") * n > 1, NODATA).when((c("n1") * n >= 5) & (c("n2") * n >= 9), 0)
+    got = got.withColumn("f", F.coalesce(F.when(c("x0").isNotNull(), flag), F.lit(UNPROCESSED)).cast("int"))
+    got = got.withColumn("g", F.when(c("x") >= c("x0") + 2, c("f")).otherwise(UNPROCESSED).cast("int")).withColumn("copy", F.explode(F.sequence(F.lit(1), c("copies"))))
+    lap = lambda k, name: F.when(c(k) == 0, c("a") - c("b")).alias(name)
+    return got.select(*keys, "x", "y", lap("f", "lap"), c("f").alias("flag"), lap("g", "edge_lap"), c("g").alias("edge_flag"))

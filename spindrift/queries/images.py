@@ -259,9 +259,7 @@ FROM e LEFT JOIN f ON f.image=e.image AND f.x=e.x AND f.y=e.y"""
 def laplacian_ice(spark, sf_dir):
     """The Laplacian of ice pixels from ice neighbours, with the outside skipped and with rows that end at the border."""
     e = _coded(spark, sf_dir).withColumn("v", F.when(F.col("tc") != -1, F.col("v")))
-    a = patterns.laplacian_of_ice(e).select("image", "x", "y", _R(F.col("lap"), "lap"), "flag")
-    b = patterns.laplacian_of_ice(e, stop_at_edge=True).select("image", "x", "y", _R(F.col("lap"), "edge_lap"), F.col("flag").alias("edge_flag"))
-    return a.join(b, ["image", "x", "y"])
+    return patterns.laplacian_of_ice(e).select("image", "x", "y", _R(F.col("lap"), "lap"), "flag", _R(F.col("edge_lap"), "edge_lap"), "edge_flag")
 
 
 @query(
