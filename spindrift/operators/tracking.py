@@ -2,12 +2,14 @@
 
 Candidates are ranked by Spark; from the best three a Nelder-Mead simplex climbs, and a Hessian at
 the optimum gives the covariance. The climb and the correction of outliers are sequential, so they
-run in numpy, one image pair to a group.
+run in numpy: the functions on one pair define them, and those on `Pairs` take the same steps for many pairs
+side by side, which is what the tasks do. Where these do not end, a simplex has shrunk to the last digits of a
+place that the score jumps at, so that rounding decides; the function on one pair has the last word there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Generator, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame
 
 from spindrift.runtime import ship
 
+OK, FAILED, LOW, REFUSED, CORRECTED, NO_MEAN = 0, 9, 10, 12, 13, 14
 EDGE = 2  # pixels around the pattern, for which the other image is still there when it moves
 MOST_STEPS, ABSOLUTE, RELATIVE, EPSILON = 1000, 1e-6, 1e-9, 1e-4
 REFLECT, EXPAND, CONTRACT_OUT, CONTRACT_IN, SHRINK = 2.0, 3.0, 1.5, 0.5, 0.5
@@ -153,6 +156,183 @@ def track(a: np.ndarray, b: np.ndarray, limit: float, metric: str = "CC", least:
     return float(at[0]), float(at[1]), value, flag
 
 
+class Pairs:
+    """Image pairs [pair, y, x] of one size, whose displacements are scored side by side."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, edge: int = EDGE):
+        self.a, self.b = a, b
+        n, self.ny, self.nx = b.shape
+        core = slice(edge, max(a.shape[1] - edge, edge)), slice(edge, max(a.shape[2] - edge, edge))
+        self.x, self.y = np.arange(a.shape[2])[core[1]], np.arange(a.shape[1])[core[0]]
+        p = a[:, *core].reshape(n, -1)
+        self.there = ~np.isnan(p)
+        self.pattern = np.where(self.there, p, 0.0)
+        # a border of zeros without weight, where all that lies outside is read
+        self.image, self.weight = (np.pad(np.where(np.isnan(b), 0.0, v), ((0, 0), (1, 1), (1, 1))).reshape(-1) for v in (np.nan_to_num(b), np.ones_like(b)))
+        self.size = self.pattern.shape[1]
+
+    def __len__(self) -> int:
+        return len(self.pattern)
+
+    def moved(self, rows: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Patterns of the second images of some rows, moved back by d, 0 where too little is there, and where enough is."""
+        x, y = self.x[None, :] + d[:, 0, None], self.y[:, None].T + d[:, 1, None]
+        fx, fy = np.floor(x), np.floor(y)
+        base = (rows * ((self.ny + 2) * (self.nx + 2)))[:, None, None]
+        wx, wy = ([np.abs(1 - i - (v - f)) for i in (0, 1)] for v, f in ((x, fx), (y, fy)))
+        px = [np.clip(fx + i, -1, self.nx).astype(np.int64) + 1 for i in (0, 1)]
+        py = [(np.clip(fy + j, -1, self.ny).astype(np.int64) + 1) * (self.nx + 2) for j in (0, 1)]
+        total, weight = 0.0, 0.0
+        for i in (0, 1):
+            for j in (0, 1):
+                w = wx[i][:, None, :] * wy[j][:, :, None]
+                at = base + py[j][:, :, None] + px[i][:, None, :]
+                total = total + w * self.image.take(at)
+                weight = weight + w * self.weight.take(at)
+        ok = weight > 0.75
+        return np.where(ok, total / np.where(weight > 0, weight, 1), 0.0).reshape(len(rows), -1), ok.reshape(len(rows), -1)
+
+    def score(self, metric: str, rows: np.ndarray, d: np.ndarray, limit: float, centre: np.ndarray | None = None) -> np.ndarray:
+        """METRICS[metric] of displacements d of the rows, each about its row of `centre`."""
+        none = -1.0 if metric == "CC" else float("-inf")
+        out = np.full(len(rows), none)
+        step = max(1, CHUNK // max(self.size, 1))
+        for k in range(0, len(rows) if self.size else 0, step):
+            part = slice(k, k + step)
+            some, move = rows[part], d[part]
+            s, ok = self.moved(some, move)
+            ok = ok & self.there[some]
+            n = ok.sum(1)
+            div = np.maximum(n, 1)[:, None]
+            p, s = np.where(ok, self.pattern[some], 0.0), np.where(ok, s, 0.0)
+            mp, ms = p.sum(1, keepdims=True) / div, s.sum(1, keepdims=True) / div
+            u, v = np.where(ok, p - mp, 0.0), np.where(ok, s - ms, 0.0)
+            uu, uv = (u * u).sum(1), (u * v).sum(1)
+            away = move if centre is None else move - centre[part]
+            fade_ = 1 / (1 + np.exp(np.minimum(700.0, (np.hypot(away[:, 0], away[:, 1]) - limit) * 10)))
+            good = (n >= 0.75 * self.size) & (uu > 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                if metric == "CC":
+                    vv = (v * v).sum(1)
+                    good &= vv > 0
+                    value = (np.clip(uv / np.sqrt(uu) / np.sqrt(vv), -1, 1) + 1) * fade_ - 1
+                else:
+                    alpha = ((uv / div[:, 0]) / (uu / div[:, 0]))[:, None]
+                    rest = np.where(ok, alpha * p + ms - alpha * mp - s, 0.0)
+                    value = -(0.5 * (rest * rest).sum(1) / np.maximum(fade_, 1e-300))
+            out[part] = np.where(good, value, none)
+        return out
+
+
+CHUNK = 1 << 17  # pixels of patterns that are scored at a time
+
+
+def climb_all(score: Callable[[np.ndarray, np.ndarray], np.ndarray], start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As climb, for many simplexes [row, 3, 2] at once; score(rows, points) has a value for each."""
+    pts, n = np.array(start, float), len(start)
+    every = np.arange(n)
+    val = np.stack([score(every, pts[:, k]) for k in range(3)], 1) if n else np.zeros((0, 3))
+    good, live = np.zeros(n, bool), every
+    for _ in range(MOST_STEPS):
+        order = np.argsort(-val[live], axis=1, kind="stable")
+        pts[live], val[live] = np.take_along_axis(pts[live], order[:, :, None], 1), np.take_along_axis(val[live], order, 1)
+        with np.errstate(invalid="ignore"):
+            done = np.abs(val[live, 2] - val[live, 0]) < np.abs(val[live, 2] + val[live, 0]) * RELATIVE + ABSOLUTE
+        good[live[done]] = True
+        live = live[~done]
+        if not len(live):
+            break
+        own, v0, v1, v2 = pts[live], *val[live].T
+        worst, centre = own[:, 2], own[:, :2].mean(1)
+        p = worst + REFLECT * (centre - worst)
+        v = score(live, p)
+        far, fine = v > v0, v > v1
+        t = np.where(far, EXPAND, np.where(v > v2, CONTRACT_OUT, CONTRACT_IN))[:, None]
+        more = far | ~fine
+        q, u = worst + t * (centre - worst), np.full(len(live), -np.inf)
+        u[more] = score(live[more], q[more])
+        second = np.where(far, u > v, ~fine & (u > np.maximum(v, v2)))  # the second point, else the first, else neither
+        first = ~second & (far | fine)
+        at = live[second]
+        pts[at, 2], val[at, 2] = q[second], u[second]
+        at = live[first]
+        pts[at, 2], val[at, 2] = p[first], v[first]
+        at = live[~second & ~first]
+        if len(at):
+            pts[at, 1:] = pts[at, :1] + SHRINK * (pts[at, 1:] - pts[at, :1])
+            for k in (1, 2):
+                val[at, k] = score(at, pts[at, k])
+    return pts[:, 0], val[:, 0], good
+
+
+def _best_starts(score: Callable[[np.ndarray, np.ndarray], np.ndarray], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best three of the starts [row, start, 2], and their values."""
+    every = np.arange(len(starts))
+    values = np.stack([score(every, starts[:, k]) for k in range(starts.shape[1])], 1) if len(starts) else np.zeros(starts.shape[:2])
+    order = np.argsort(-values, axis=1, kind="stable")[:, :3]
+    return np.take_along_axis(starts, order[:, :, None], 1), np.take_along_axis(values, order, 1)
+
+
+def track_all(pairs: Pairs, limit: float, metric: str = "CC", least: float = 0.3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As track, for each pair."""
+    score = lambda rows, d: pairs.score(metric, rows, d, limit)
+    none, n = -1.0 if metric == "CC" else float("-inf"), len(pairs)
+    starts = np.array([(0.0, 0.0), *candidates(limit, 0.75, 0.75)])
+    best, value = _best_starts(score, np.broadcast_to(starts, (n, *starts.shape)))
+    some = np.nonzero(value[:, 0] > none)[0]
+    at, got, flag = np.full((n, 2), np.nan), np.full(n, none), np.full(n, FAILED)
+    at[some], got[some], good = climb_all(lambda rows, d: score(some[rows], d), best[some] + np.array([[0, 0], [1e-3, 0], [0, 1e-3]]))
+    flag[some] = np.where((got[some] < least) & (metric == "CC"), LOW, OK)
+    for k in some[~good]:
+        *at[k], got[k], flag[k] = track(pairs.a[k], pairs.b[k], limit, metric, least)
+    return at[:, 0], at[:, 1], got, flag
+
+
+def posterior_all(pairs: Pairs, rows: np.ndarray, at: np.ndarray, limit: float, centre: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As posterior, for some rows."""
+    e = EPSILON
+    f = {(i, j): pairs.score("SD", rows, at + np.array([i * e, j * e]), limit, centre) for i in (-1, 0, 1) for j in (-1, 0, 1)}
+    with np.errstate(invalid="ignore", over="ignore"):
+        xx = (f[1, 0] - 2 * f[0, 0] + f[-1, 0]) / e**2
+        yy = (f[0, 1] - 2 * f[0, 0] + f[0, -1]) / e**2
+        xy = (f[1, 1] - f[1, -1] - f[-1, 1] + f[-1, -1]) / (4 * e**2)
+        h = -np.stack([xx, xy, xy, yy], 1).reshape(-1, 2, 2)
+        ok = np.isfinite(h).all((1, 2))
+        ok[ok] = np.abs(np.linalg.det(h[ok])) > 1e-12
+    cov = np.full((len(rows), 2, 2), np.nan)
+    cov[ok] = np.linalg.inv(h[ok])
+    ok &= np.isfinite(cov).all((1, 2))
+    cov[~ok] = np.nan
+    negative = np.minimum(cov[:, 0, 0], cov[:, 1, 1]) < 0
+    return cov[:, 0, 0], cov[:, 1, 1], cov[:, 0, 1], np.where(ok, negative.astype(int), 2)
+
+
+def optima_near(pairs: Pairs, rows: np.ndarray, mean: np.ndarray, within: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As optimum_near, for some rows, each about its own mean."""
+    score = lambda k, d: pairs.score("CC", rows[k], d, within, mean[k])
+    best, value = _best_starts(score, mean[:, None] + np.array(candidates(within, within / 2, within)))
+    some = np.nonzero(value[:, 2] > -1)[0]
+    at, corr, good = np.full((len(rows), 2), np.nan), np.full(len(rows), -1.0), np.zeros(len(rows), bool)
+    at[some], corr[some], good[some] = climb_all(lambda k, d: score(some[k], d), best[some])
+    for k in some[~good[some]]:
+        at[k], corr[k], good[k] = optimum_near(pairs.a[rows[k]], pairs.b[rows[k]], mean[k], within)
+    return at, corr, good
+
+
+def stacks(a: list, b: list, width: int) -> Iterator[tuple[np.ndarray, Pairs]]:
+    """The places of the images of each size, and their pairs; a missing image has no pixel."""
+    a, b = ([None if x is None else np.array(x, float) for x in v] for v in (a, b))
+    sizes: dict[int, list[int]] = {}
+    for k, (one, two) in enumerate(zip(a, b, strict=True)):
+        n = len(one if one is not None else two if two is not None else ())
+        a[k], b[k] = (np.full(n, np.nan) if x is None else x for x in (one, two))
+        if len(a[k]) != len(b[k]):
+            raise ValueError("the two images of a pair differ in size")
+        sizes.setdefault(n, []).append(k)
+    for own in sizes.values():
+        yield np.array(own), Pairs(*(np.stack([x[k] for k in own]).reshape(len(own), -1, width) for x in (a, b)))
+
+
 def optimum_near(a: np.ndarray, b: np.ndarray, mean: np.ndarray, within: float) -> tuple[np.ndarray, float, bool]:
     """Best displacement about `mean`, its correlation, and whether it was found.
 
@@ -174,7 +354,6 @@ class Found(NamedTuple):
     spread: tuple[float, float, float, int] = (np.nan, np.nan, np.nan, -1)
 
 
-OK, FAILED, LOW, REFUSED, CORRECTED, NO_MEAN = 0, 9, 10, 12, 13, 14
 SPREAD = ("var_x", "var_y", "cov_xy", "uflag")
 SPREAD_NONE = (np.nan, np.nan, np.nan, -1)
 
@@ -191,6 +370,17 @@ def correct(
     `again` it takes the mean. In the end what is left of 0 and 13 becomes 14 without enough neighbours
     and 10 below `correlation`. Neighbours may push a vector out again, which is found anew `most` times and then goes, so this ends.
     """
+    steps = corrections(vectors, furthest, least, radius, correlation, mean_correlation, most)
+    try:
+        i, mean = next(steps)
+        while True:
+            i, mean = steps.send(again(i, mean) if again else Found(mean, 1.0))
+    except StopIteration as end:
+        return end.value
+
+
+def corrections(vectors: pd.DataFrame, furthest: float, least: int = 5, radius: float = 1.5, correlation: float = 0.3, mean_correlation: float = 0.3, most: int = 50) -> Generator[tuple[int, np.ndarray], Found, pd.DataFrame]:
+    """The steps of correct: yields (row of vectors, mean) of a vector that is to be found anew, is sent what was found, and returns the rows."""
     v = vectors.sort_values(["y", "x"], kind="stable")
     rows = v.index.to_numpy()
     v = v.reset_index(drop=True)
@@ -226,7 +416,7 @@ def correct(
             gaps[i] = -3.0
             continue
         flag[i], tries[i] = REFUSED, tries[i] + 1
-        got = again(rows[i], means[i].copy()) if again else Found(means[i].copy(), 1.0)
+        got = yield rows[i], means[i].copy()
         if got.good and got.corr >= correlation and tries[i] <= most:
             d[i], corr[i], flag[i] = got.at, got.corr, CORRECTED
             for k, x in enumerate(got.spread):
@@ -246,6 +436,46 @@ def correct(
     return v
 
 
+FIELDS = 1 << 22  # pixels of the images that are held at once, a field being held whole
+
+
+def correct_fields(t: pd.DataFrame, group: str, width: int, limit: float, furthest: float) -> list[pd.DataFrame]:
+    """The corrected vectors of each field; the fields take their steps side by side, so each asks for one vector at a time."""
+    columns = ("dx", "dy", "corr", "flag", *SPREAD)
+    kinds, found = [], np.full((len(t), 8), [np.nan, np.nan, -1.0, FAILED, *SPREAD_NONE])
+    size, place = np.zeros(len(t), int), np.zeros(len(t), int)
+    for k, (own, images) in enumerate(stacks(list(t["a"]), list(t["b"]), width)):
+        kinds.append(images)
+        size[own], place[own] = k, np.arange(len(own))
+        found[own, :4] = np.stack(track_all(images, limit, least=-2.0), 1)
+        good = np.nonzero(found[own, 3] == OK)[0]
+        found[own[good], 4:] = np.stack(posterior_all(images, good, found[own[good], :2], limit), 1)
+    v = t[[group, "x", "y"]].assign(**{c: found[:, k].astype(int) if c in ("flag", "uflag") else found[:, k] for k, c in enumerate(columns)})
+
+    def again(rows: np.ndarray, means: np.ndarray) -> list[Found]:
+        out: list[Found] = [None] * len(rows)
+        for k, images in enumerate(kinds):
+            mine = np.nonzero(size[rows] == k)[0]
+            at, corr, good = optima_near(images, place[rows[mine]], means[mine], furthest)
+            spread = np.full((len(mine), 4), SPREAD_NONE)
+            spread[good] = np.stack(posterior_all(images, place[rows[mine[good]]], at[good], furthest, means[mine[good]]), 1)
+            for j, m in enumerate(mine):
+                out[m] = Found(at[j], corr[j], good[j], (*spread[j, :3], int(spread[j, 3])))
+        return out
+
+    runs = [corrections(x, furthest) for _, x in v.groupby(group, dropna=False, sort=False)]
+    done, asked, answers = [None] * len(runs), {}, dict.fromkeys(range(len(runs)))
+    while answers:
+        for k, answer in answers.items():
+            try:
+                asked[k] = runs[k].send(answer)
+            except StopIteration as end:
+                done[k] = end.value
+        got = again(np.array([i for i, _ in asked.values()]), np.stack([m for _, m in asked.values()])) if asked else []
+        answers, asked = dict(zip(asked, got, strict=True)), {}
+    return done
+
+
 def correct_images(pairs: DataFrame, group: str, width: int, limit: float, furthest: float) -> DataFrame:
     """(group, x, y, dx, dy, corr, flag, var_x, var_y, cov_xy, uflag) for rows (group, x, y, a, b) of image pairs on a grid.
 
@@ -254,32 +484,56 @@ def correct_images(pairs: DataFrame, group: str, width: int, limit: float, furth
     """
     ship(pairs.sparkSession)
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.reset_index(drop=True)
-        images = [tuple(np.array(t[c][i], float).reshape(-1, width) for c in "ab") for i in range(len(t))]
-        found = [track(a, b, limit, least=-2.0) for a, b in images]
-        v = t[[group, "x", "y"]].assign(**{n: [f[k] for f in found] for k, n in enumerate(("dx", "dy", "corr", "flag"))})
-        spreads = [posterior(*images[i], np.array(f[:2]), limit) if f[3] == OK else SPREAD_NONE for i, f in enumerate(found)]
-        v = v.assign(**{c: [x[k] for x in spreads] for k, c in enumerate(SPREAD)})
-
-        def again(i: int, mean: np.ndarray) -> Found:
-            at, corr, good = optimum_near(*images[i], mean, furthest)
-            return Found(at, corr, good, posterior(*images[i], at, furthest, centre=mean) if good else SPREAD_NONE)
+    def fields(batches):
+        """Rows in whole fields, some fields at a time."""
+        held, size, last = [], 0, None
+        for t in batches:
+            for value, part in t.groupby(group, dropna=False):
+                if size >= FIELDS and not (value == last or pd.isna(value) and pd.isna(last)):
+                    yield pd.concat(held, ignore_index=True)
+                    held, size = [], 0
+                held.append(part)
+                size, last = size + sum(0 if x is None else 2 * len(x) for x in part["a"]), value
+        if held:
+            yield pd.concat(held, ignore_index=True)
 
-        return correct(v, furthest, again=again)
+    def run(batches):
+        for t in fields(batches):
+            yield pd.concat(correct_fields(t, group, width, limit, furthest), ignore_index=True)
 
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
     schema = f"{group} {kinds[group]}, x {kinds['x']}, y {kinds['y']}, dx double, dy double, corr double, flag int, var_x double, var_y double, cov_xy double, uflag int"
-    return pairs.select(group, "x", "y", "a", "b").groupBy(group).applyInPandas(run, schema)
+    return dealt(pairs.select(group, "x", "y", "a", "b"), group).sortWithinPartitions(group).mapInPandas(run, schema)
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by a key to as many tasks as a shuffle has, which adaptive execution leaves as they are: its rows are few bytes and much work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def track_pairs(pairs: DataFrame, width: int, limit: float = 3.0, metric: str = "CC") -> DataFrame:
-    """(pair, dx, dy, corr, flag) for rows (pair, a, b) of two images as arrays, row by row; corr is the value of the metric."""
+    """(pair, dx, dy, corr, flag) for rows (pair, a, b) of two images as arrays; corr is the value of the metric."""
     ship(pairs.sparkSession)
 
     def run(batches):
         for t in batches:
-            rows = [(p, *track(np.array(a, float).reshape(-1, width), np.array(b, float).reshape(-1, width), limit, metric)) for p, a, b in zip(t["pair"], t["a"], t["b"], strict=True)]
-            yield pd.DataFrame(rows, columns=["pair", "dx", "dy", "corr", "flag"])
+            for own, images in stacks(list(t["a"]), list(t["b"]), width):
+                yield pd.DataFrame(dict(zip(("dx", "dy", "corr", "flag"), track_all(images, limit, metric), strict=True))).assign(pair=t["pair"].to_numpy()[own])
+
+    return dealt(pairs.select("pair", "a", "b"), "pair").mapInPandas(run, "pair bigint, dx double, dy double, corr double, flag int")
 
-    return pairs.select("pair", "a", "b").mapInPandas(run, "pair bigint, dx double, dy double, corr double, flag int")
+
+def posterior_pairs(pairs: DataFrame, width: int, limit: float = 3.0) -> DataFrame:
+    """(pair, var_x, var_y, cov_xy, uflag) at the optimum of each of the rows (pair, a, b) of two images as arrays; without one uflag is 2."""
+    ship(pairs.sparkSession)
+
+    def run(batches):
+        for t in batches:
+            for own, images in stacks(list(t["a"]), list(t["b"]), width):
+                dx, dy, _, flag = track_all(images, limit)
+                found = np.nonzero(flag != FAILED)[0]
+                out = np.full((len(own), 4), [np.nan, np.nan, np.nan, 2])
+                out[found] = np.stack(posterior_all(images, found, np.stack([dx, dy], 1)[found], limit), 1)
+                yield pd.DataFrame(out, columns=list(SPREAD)).astype({"uflag": int}).assign(pair=t["pair"].to_numpy()[own])
+
+    return dealt(pairs.select("pair", "a", "b"), "pair").mapInPandas(run, "pair bigint, var_x double, var_y double, cov_xy double, uflag int")

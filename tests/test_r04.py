@@ -5,6 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from spindrift.operators import tracking
 from spindrift.queries import ORACLES, QUERIES
 from tests import test_queries
 
@@ -30,3 +31,39 @@ def test_laplacian_of_ice_broadcasts_no_pixels_and_keeps_repeated_images(spark,
     df = QUERIES["laplacian_ice"](spark, str(tmp_path))
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     assert rows(df.toPandas()) == by_sql("laplacian_ice", str(tmp_path), "embeddings")
+
+
+def some_images(seed: int = 3, n: int = 12, side: int = 8):
+    """Pairs of images in motion; some lack pixels, some are plain."""
+    rng = np.random.default_rng(seed)
+    y, x = np.mgrid[:side, :side]
+    image = lambda dx, dy: np.sin((x - dx) * 0.7) + np.cos((y - dy) * 0.5 + 0.3 * (x - dx)) + 0.02 * rng.normal(size=x.shape)
+    a, b = [image(0, 0) for _ in range(n)], [image(*rng.uniform(-2, 2, 2)) for _ in range(n)]
+    b[1][rng.random(x.shape) < 0.15], a[2][:], b[3][:], a[4][:3] = np.nan, 1.0, np.nan, np.nan
+    return a, b
+
+
+def test_fields_are_corrected_side_by_side_as_one_by_one(spark):
+    a, b = some_images(5, 60)
+    places = [(k // 20, k % 5, k % 20 // 5) for k in range(60)]
+    df = spark.createDataFrame([(None if f == 2 else f, x, y, p.ravel().tolist(), q.ravel().tolist()) for (f, x, y), p, q in zip(places, a, b, strict=True)], "field int, x int, y int, a array<double>, b array<double>")
+    columns = ["x", "y", "dx", "dy", "corr", "flag", "var_x", "var_y", "cov_xy", "uflag"]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # fields lie across batches
+    try:
+        found = tracking.correct_images(df, "field", 8, 3.0, 0.5).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for f in range(3):
+        own = [k for k in range(60) if places[k][0] == f]
+        first = [tracking.track(a[k], b[k], 3.0, least=-2.0) for k in own]
+        spread = [tracking.posterior(a[k], b[k], np.array(t[:2]), 3.0) if t[3] == 0 else tracking.SPREAD_NONE for k, t in zip(own, first, strict=True)]
+        v = pd.DataFrame([(*places[k][1:], *t, *s) for k, t, s in zip(own, first, spread, strict=True)], columns=columns)
+
+        def again(i, mean, own=own):
+            at, corr, good = tracking.optimum_near(a[own[i]], b[own[i]], mean, 0.5)
+            return tracking.Found(at, corr, good, tracking.posterior(a[own[i]], b[own[i]], at, 0.5, centre=mean) if good else tracking.SPREAD_NONE)
+
+        want = tracking.correct(v, 0.5, again=again)
+        got = found[found.field.isna() if f == 2 else found.field == f]
+        assert len(set(want.flag)) > 1
+        assert np.allclose(*(x.sort_values(["y", "x"])[columns].to_numpy(float) for x in (got, want)), rtol=1e-4, atol=1e-6, equal_nan=True)
