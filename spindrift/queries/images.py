@@ -161,23 +161,7 @@ def posterior_cov(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     b = e.select((F.col("vec_id") - 1).alias("pair"), F.col("embedding").alias("b"))
     pairs = e.select(F.col("vec_id").alias("pair"), F.col("embedding").alias("a")).join(b, "pair")
-
-    def run(batches):
-        import numpy as np
-        import pandas as pd
-
-        for t in batches:
-            rows = []
-            for p, a, b in zip(t["pair"], t["a"], t["b"], strict=True):
-                a, b = np.array(a, float).reshape(8, 8), np.array(b, float).reshape(8, 8)
-                dx, dy, _, flag = tracking.track(a, b, 3.0)
-                rows.append((p, *(tracking.posterior(a, b, np.array([dx, dy]), 3.0) if flag != 9 else (float("nan"),) * 3 + (2,))))
-            yield pd.DataFrame(rows, columns=["pair", "var_x", "var_y", "cov_xy", "uflag"])
-
-    from spindrift.runtime import ship
-
-    ship(spark)
-    return pairs.mapInPandas(run, "pair bigint, var_x double, var_y double, cov_xy double, uflag int")
+    return tracking.posterior_pairs(pairs, 8)
 
 
 @query()

@@ -67,3 +67,13 @@ def test_fields_are_corrected_side_by_side_as_one_by_one(spark):
         got = found[found.field.isna() if f == 2 else found.field == f]
         assert len(set(want.flag)) > 1
         assert np.allclose(*(x.sort_values(["y", "x"])[columns].to_numpy(float) for x in (got, want)), rtol=1e-4, atol=1e-6, equal_nan=True)
+
+
+def test_covariances_of_many_pairs(spark):
+    a, b = some_images()
+    df = spark.createDataFrame([(k, p.ravel().tolist(), q.ravel().tolist()) for k, (p, q) in enumerate(zip(a, b, strict=True))], "pair long, a array<double>, b array<double>")
+    got = {r.pair: tuple(r)[1:] for r in tracking.posterior_pairs(df, 8).selectExpr("pair", "var_x", "var_y", "cov_xy", "uflag").collect()}
+    for k, (p, q) in enumerate(zip(a, b, strict=True)):
+        dx, dy, _, flag = tracking.track(p, q, 3.0)
+        want = tracking.posterior(p, q, np.array([dx, dy]), 3.0) if flag != 9 else (np.nan, np.nan, np.nan, 2)
+        assert np.allclose(np.array(got[k], float), want, rtol=1e-4, equal_nan=True)
