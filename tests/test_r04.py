@@ -77,3 +77,18 @@ def test_covariances_of_many_pairs(spark):
         dx, dy, _, flag = tracking.track(p, q, 3.0)
         want = tracking.posterior(p, q, np.array([dx, dy]), 3.0) if flag != 9 else (np.nan, np.nan, np.nan, 2)
         assert np.allclose(np.array(got[k], float), want, rtol=1e-4, equal_nan=True)
+
+
+@pytest.mark.parametrize("metric", ["CC"])
+def test_many_pairs_are_tracked_as_one(metric):
+    a, b = some_images()
+    got = np.array(tracking.track_all(tracking.Pairs(np.stack(a), np.stack(b)), 3.0, metric)).T
+    assert np.allclose(got, [tracking.track(p, q, 3.0, metric) for p, q in zip(a, b, strict=True)], atol=1e-6, equal_nan=True)
+
+
+@pytest.mark.parametrize("name", ["simplex_track"])
+def test_a_missing_image_has_no_motion(spark, tmp_path, name):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id < 6")
+    e.selectExpr("vec_id", "if(vec_id = 3, null, embedding) as embedding", "label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.pair: r.flag for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4] and got[2] == got[3] == 9
