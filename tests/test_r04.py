@@ -79,14 +79,14 @@ def test_covariances_of_many_pairs(spark):
         assert np.allclose(np.array(got[k], float), want, rtol=1e-4, equal_nan=True)
 
 
-@pytest.mark.parametrize("metric", ["CC"])
+@pytest.mark.parametrize("metric", ["CC", "SD"])
 def test_many_pairs_are_tracked_as_one(metric):
     a, b = some_images()
     got = np.array(tracking.track_all(tracking.Pairs(np.stack(a), np.stack(b)), 3.0, metric)).T
     assert np.allclose(got, [tracking.track(p, q, 3.0, metric) for p, q in zip(a, b, strict=True)], atol=1e-6, equal_nan=True)
 
 
-@pytest.mark.parametrize("name", ["simplex_track"])
+@pytest.mark.parametrize("name", ["simplex_track", "simplex_track_sd"])
 def test_a_missing_image_has_no_motion(spark, tmp_path, name):
     e = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id < 6")
     e.selectExpr("vec_id", "if(vec_id = 3, null, embedding) as embedding", "label").write.parquet(f"{tmp_path}/embeddings.parquet")
