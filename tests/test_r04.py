@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from spindrift.operators import tracking
+from spindrift.operators import spatial, tracking
 from spindrift.queries import ORACLES, QUERIES
 from tests import test_queries
 
@@ -92,3 +92,42 @@ def test_a_missing_image_has_no_motion(spark, tmp_path, name):
     e.selectExpr("vec_id", "if(vec_id = 3, null, embedding) as embedding", "label").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r.pair: r.flag for r in QUERIES[name](spark, str(tmp_path)).collect()}
     assert sorted(got) == [0, 1, 2, 3, 4] and got[2] == got[3] == 9
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_nearest_points_however_dense(spark, k):
+    rng = np.random.default_rng(2)
+    a = np.concatenate([rng.uniform(-30, 30, (60, 2)), rng.normal(0, 0.3, (60, 2)), [[500.0, 500.0]], rng.integers(-3, 3, (30, 2))])
+    b = np.concatenate([rng.uniform(-30, 30, (40, 2)), rng.normal(0, 0.3, (300, 2)), rng.integers(-3, 3, (200, 2)), np.ones((50, 2))])
+    ids = [None, *range(1, len(a) - 1), 1]  # one is missing, one is repeated
+    da = spark.createDataFrame([(i, *map(float, p)) for i, p in zip(ids, a, strict=True)], "id int, x double, y double")
+    db = spark.createDataFrame([(j, *map(float, q)) for j, q in enumerate(b)] + [(9999, None, 0.0)], "sid int, sx double, sy double")
+    got = [(r.id, r.place, r.sid, r.d2) for r in spatial.nearest(da, db, 5.0, k).collect()]
+    want = []
+    for i in set(ids):
+        near = sorted((float(((p - q) ** 2).sum()), j) for m, p in zip(ids, a, strict=True) if m == i for j, q in enumerate(b))
+        want += [(i, n + 1, j, d) for n, (d, j) in enumerate([x for x in near if x[0] <= 25][:k])]
+    show = lambda x: sorted((str(i), n, j, round(d, 9)) for i, n, j, d in x)
+    assert show(got) == show(want) and len(want) > 100
+
+
+@pytest.mark.parametrize("name", ["knn_join"])
+def test_a_join_of_near_points_meets_few_of_them(spark, name, tmp_path):
+    """Repeated suppliers lie in the same places: the work must not grow with them."""
+    spark.read.parquet(f"{SF}/customer.parquet").write.parquet(f"{tmp_path}/customer.parquet")
+    s = spark.read.parquet("/root/testdata/sf0.1/supplier.parquet")
+    s.crossJoin(spark.range(40).selectExpr("id as k")).selectExpr("s_suppkey + 8633 * k as s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    seen = []
+    within = spatial.within
+
+    def counted(*a):
+        rows = within(*a)
+        seen.append(rows.count())
+        return rows
+
+    spatial.within = counted
+    try:
+        got = rows(QUERIES[name](spark, str(tmp_path)).toPandas())
+    finally:
+        spatial.within = within
+    assert seen and sum(seen) < 150 * 40 and got == by_sql(name, str(tmp_path), "customer", "supplier")
