@@ -111,7 +111,7 @@ def test_nearest_points_however_dense(spark, k):
     assert show(got) == show(want) and len(want) > 100
 
 
-@pytest.mark.parametrize("name", ["knn_join"])
+@pytest.mark.parametrize("name", ["knn_join", "nn_join"])
 def test_a_join_of_near_points_meets_few_of_them(spark, name, tmp_path):
     """Repeated suppliers lie in the same places: the work must not grow with them."""
     spark.read.parquet(f"{SF}/customer.parquet").write.parquet(f"{tmp_path}/customer.parquet")
