@@ -133,7 +133,7 @@ def test_a_join_of_near_points_meets_few_of_them(spark, name, tmp_path):
     assert seen and sum(seen) < 150 * 40 and got == by_sql(name, str(tmp_path), "customer", "supplier")
 
 
-@pytest.mark.parametrize("name", ["collocation_flat", "collocation_timed"])
+@pytest.mark.parametrize("name", ["collocation_flat", "collocation_timed", "collocation_delayed"])
 def test_collocation_of_repeated_records(spark, tmp_path, name):
     e = spark.read.parquet("/root/testdata/sf0.01/events.parquet").where("event_id < 3000")
     e.union(e.where("event_id % 7 = 0")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
