@@ -194,3 +194,19 @@ def test_a_long_file_is_written_a_block_at_a_time(tmp_path, monkeypatch):
     monkeypatch.setattr(netcdf3, "BUNDLE", 1 << 17)
     r = netcdf3.Reader([path], asked)
     assert len(r.partitions()) > 1 and [x for part in r.partitions() for x in r.read(part)] == want
+
+
+def test_names_of_many_files_are_packed(tmp_path):
+    for k in range(3000):
+        (tmp_path / f"image_{k}.nc").write_bytes(b"x")
+    paths = sorted(str(p) for p in tmp_path.iterdir())
+    parts = netcdf3.bundles(paths)
+    assert [p for part in parts for p in part.paths] == paths
+    assert len(pickle.dumps(parts)) < 30 * len(paths)
+    files = [(f".{'a' * 32}.{'b' * 32}.{k}.tmp", f"image_{k}.nc") for k in range(3000)]
+    done = netcdf3.Written(files)
+    assert done.files == files and len(pickle.dumps(done)) < 20 * len(files)
+
+
+def test_images_are_not_broadcast(spark):
+    assert "Broadcast" not in QUERIES["image_files"](spark, SF)._jdf.queryExecution().executedPlan().toString()
